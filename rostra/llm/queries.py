@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import sentences
+from rostra.llm import scans, sentences
 from rostra.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def _p1(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(web, "speech_id", "speech_text")
 
 
+def _p3(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_marks(table(spark, d, "enriched"), "speech_id", "speech_text", F.col("text_origin") == "scan")
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (_p1, None),
+    "p3_found": (_p3, None),
 }
