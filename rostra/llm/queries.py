@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import scans, sentences
+from rostra.llm import consensus, scans, sentences, splitting
 from rostra.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,18 @@ def _p3(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_marks(table(spark, d, "enriched"), "speech_id", "speech_text", F.col("text_origin") == "scan")
 
 
+P5_SQL = """
+SELECT DISTINCT speech_id, 'oversized' AS kind FROM enriched WHERE length(speech_text) > 400
+UNION ALL
+SELECT DISTINCT speech_id, 'no_boundary' FROM enriched WHERE regexp_matches(speech_text, '[^\\s\\pZ\\pP\\pS]{401}')
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (_p1, None),
     "p3_found": (_p3, None),
+    "p5_found": (lambda s, d: splitting.oversized(table(s, d, "enriched"), "speech_id", "speech_text"), P5_SQL),
+    "p5_pieces": (lambda s, d: splitting.numbered(splitting.split_texts(table(s, d, "enriched"), "speech_id", "speech_text"), "speech_id").drop("uid"), None),
+    "p4_found": (lambda s, d: consensus.found(table(s, d, "extraction")), None),
+    "p4_reliability": (lambda s, d: consensus.worth(table(s, d, "extraction")), None),
 }
