@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import consensus, scans, sentences, splitting
+from rostra.llm import consensus, pairs, scans, sentences, splitting
 from rostra.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,8 @@ SELECT DISTINCT speech_id, 'no_boundary' FROM enriched WHERE regexp_matches(spee
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (_p1, None),
     "p3_found": (_p3, None),
+    "p6_found": (lambda s, d: pairs.found(table(s, d, "call_result")), None),
+    "p6_defects": (lambda s, d: pairs.defects(table(s, d, "call_result")).withColumn("p", F.round("p", 4)), None),
     "p5_found": (lambda s, d: splitting.oversized(table(s, d, "enriched"), "speech_id", "speech_text"), P5_SQL),
     "p5_pieces": (lambda s, d: splitting.numbered(splitting.split_texts(table(s, d, "enriched"), "speech_id", "speech_text"), "speech_id").drop("uid"), None),
     "p4_found": (lambda s, d: consensus.found(table(s, d, "extraction")), None),
