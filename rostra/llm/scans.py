@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.runtime import map_rows, small_rows
+from rostra.runtime import checkpointed, map_rows, small_rows
 
 # Glyphs and glyph pairs that scanners take for each other, by the primitive strokes they share.
 STROKES = {
@@ -169,28 +169,27 @@ def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame
     key is kept; other columns are ignored, an empty table gives an empty one.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(scanned, F.lit(False)).alias("s"))
-    words = vocabulary(rows, "t", ~F.col("s"))
+    words = checkpointed(vocabulary(rows, "t", ~F.col("s")))
     frequent = words.filter("n_clean > 0 and form not rlike '[^a-z]'").orderBy(F.desc("n_clean"), "form").limit(KNOWN)
     known = {r["form"] for r in small_rows(frequent.select("form"), KNOWN, "known words")}
     lines = line_table(rows.filter("s"), "k", "t")
     pages = lines.groupBy("uid").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("line", "body", "kind"))).alias("lines"))
     kind = df.schema[key].dataType.simpleString()
     marks = map_rows(pages.select("k", "lines"), _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string").distinct()
+    # What needs no lookup gets a key of its own that no group has, so that it spreads over the partitions.
+    own = lambda c: F.coalesce(c, F.concat(F.lit("\0"), "form"))
+    marks = marks.withColumn("skel", own("skel")).withColumn("kept_skel", own("kept_skel"))
     groups = glyph_groups(words)
     other = groups.select(F.col("skel").alias("kept_skel"), F.col("best").alias("kept_best"), F.col("best_n").alias("kept_n"), F.col("valid").alias("kept_valid"))
-    found = marks.filter("skel is not null").join(groups, "skel", "left").join(other, "kept_skel", "left")
+    found = marks.join(groups, "skel", "left").join(other, "kept_skel", "left")
     right = lambda form, best, valid: F.when(best.isNull() | F.array_contains(valid, form), form).otherwise(best)
-    capital = F.col("kept").startswith("^")
     kept = F.regexp_replace("kept", r"^\^", "")
-    whole = right(F.col("form"), F.col("best"), F.col("valid"))
-    compound = right(kept, F.col("kept_best"), F.col("kept_valid"))
-    as_compound = F.coalesce("kept_n", F.lit(0)) > F.coalesce("best_n", F.lit(0))
-    fixed = F.when(F.col("kind") == "hyphen", F.when(as_compound | (capital & F.col("best").isNull()), compound).otherwise(whole)).otherwise(whole)
-    plain = F.when((F.col("kind") == "hyphen") & (as_compound | (capital & F.col("best").isNull())), kept).otherwise(F.col("form"))
-    fixed_rows = found.select("k", "kind", fixed.alias("fixed"), (fixed != plain).alias("changed"))
-    out = (
-        marks.filter("skel is null").select("k", "kind", F.col("form").alias("fixed"))
-        .unionAll(fixed_rows.filter("kind = 'hyphen' or changed").select("k", "kind", "fixed"))
-        .unionAll(fixed_rows.filter("kind = 'hyphen' and changed").select("k", F.lit("misread"), "fixed"))
-    )
-    return out.distinct().withColumnRenamed("k", key)
+    as_compound = (F.col("kind") == "hyphen") & (
+        (F.coalesce("kept_n", F.lit(0)) > F.coalesce("best_n", F.lit(0))) | (F.col("kept").startswith("^") & F.col("best").isNull())
+    )
+    plain = F.when(as_compound, kept).otherwise(F.col("form"))
+    fixed = F.when(as_compound, right(kept, F.col("kept_best"), F.col("kept_valid"))).otherwise(right(F.col("form"), F.col("best"), F.col("valid")))
+    fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).otherwise(fixed)
+    rows = found.select("k", "kind", fixed.alias("fixed"), (fixed != plain).alias("changed"))
+    kinds = F.array_compact(F.array(F.when(F.col("kind") != "misread", F.col("kind")), F.when(F.col("kind").isin("misread", "hyphen") & F.col("changed"), "misread")))
+    return rows.select("k", F.explode(kinds).alias("kind"), "fixed").distinct().withColumnRenamed("k", key)
