@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import consensus, pairs, scans, sentences, splitting
+from rostra.llm import consensus, leaks, packing, pairs, sampling, scans, sentences, spans, splitting
 from rostra.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def _p3(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_marks(table(spark, d, "enriched"), "speech_id", "speech_text", F.col("text_origin") == "scan")
 
 
+P8_SQL = "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > 4096"
 P5_SQL = """
 SELECT DISTINCT speech_id, 'oversized' AS kind FROM enriched WHERE length(speech_text) > 400
 UNION ALL
@@ -32,10 +33,17 @@ SELECT DISTINCT speech_id, 'no_boundary' FROM enriched WHERE regexp_matches(spee
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (_p1, None),
     "p3_found": (_p3, None),
-    "p6_found": (lambda s, d: pairs.found(table(s, d, "call_result")), None),
-    "p6_defects": (lambda s, d: pairs.defects(table(s, d, "call_result")).withColumn("p", F.round("p", 4)), None),
-    "p5_found": (lambda s, d: splitting.oversized(table(s, d, "enriched"), "speech_id", "speech_text"), P5_SQL),
-    "p5_pieces": (lambda s, d: splitting.numbered(splitting.split_texts(table(s, d, "enriched"), "speech_id", "speech_text"), "speech_id").drop("uid"), None),
     "p4_found": (lambda s, d: consensus.found(table(s, d, "extraction")), None),
     "p4_reliability": (lambda s, d: consensus.worth(table(s, d, "extraction")), None),
+    "p5_found": (lambda s, d: splitting.oversized(table(s, d, "enriched"), "speech_id", "speech_text"), P5_SQL),
+    "p5_pieces": (lambda s, d: splitting.numbered(splitting.split_texts(table(s, d, "enriched"), "speech_id", "speech_text"), "speech_id").drop("uid"), None),
+    "p6_found": (lambda s, d: pairs.found(table(s, d, "call_result")), None),
+    "p6_defects": (lambda s, d: pairs.defects(table(s, d, "call_result")).withColumn("p", F.round("p", 4)), None),
+    "p7_sample": (lambda s, d: sampling.speech_sample(table(s, d, "meta")), sampling.SQL),
+    "p8_found": (lambda s, d: packing.split_keys(table(s, d, "documents"), "doc_id", "text"), P8_SQL),
+    "p8_packing": (lambda s, d: packing.pack(table(s, d, "documents"), "doc_id", "text"), None),
+    "p9_found": (lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")), None),
+    "p9_leaks": (lambda s, d: leaks.leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_items"), "item_id", "text"), None),
+    "p10_found": (lambda s, d: spans.found(table(s, d, "documents")), None),
+    "p10_shared": (lambda s, d: spans.shared_parts(table(s, d, "documents"), "doc_id", "text"), None),
 }
