@@ -30,7 +30,7 @@ KNOWN = 200_000
 
 _STROKE = str.maketrans(STROKES)
 _TOKEN = re.compile(r"!?[^\W_](?:[^\W_]|!(?=[^\W_])|['’\-](?=[^\W_]))*")
-_BROKEN = re.compile(rf"([^\W_][^\s{HYPHENS}]*(?:[\-‐][^\s{HYPHENS}]+)*)[{HYPHENS}]\s*$")
+_JOIN = re.compile(rf"([^\W_][^\s—–“”()]*?)[{HYPHENS}][ \t]*\n(\S+)")
 _ENDING = re.compile(rf"\S+[{HYPHENS}][ \t]*\n\s*\S+")
 _PLAIN = re.compile(r"[a-z]+(?:['’-][a-z]+)*$")
 
@@ -129,33 +129,20 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _marks(known: set[str]):
     def marks(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, lines in rows:
-            texts = []
-            for x in lines:
-                if x["kind"] in ("header", "pageno"):
-                    yield (k, x["kind"], x["body"], None, None, None)
-                elif x["kind"] == "text":
-                    texts.append(x["body"])
-            seen: set[str] = set()
-            left = ""
-            for line in texts:
-                if left:
-                    head, _, line = line.partition(" ")
-                    m = _TOKEN.match(head.lstrip("“\"'("))
-                    more = _BROKEN.match(head) if not line else None
-                    if m and not more:
-                        right = m[0]
-                        joined, kept = left + right, f"{left}-{right}"
-                        yield (k, "hyphen", joined.lower(), skeleton(joined), kept.lower() if not right[0].isupper() else "^" + kept.lower(), skeleton(kept))
-                    left = ""
-                if m := _BROKEN.search(line):
-                    word = _TOKEN.search(m[1])
-                    if word and any(c.isalpha() for c in m[1]):
-                        left = m[1].lstrip("“\"'([‘")
-                        line = line[: m.start()]
-                seen.update(_TOKEN.findall(line))
-            for w in {w.lower() for w in seen} - known:
-                if not w.isdigit() and len(w) > 1:
+        for k, furniture, body in rows:
+            for x in furniture:
+                kind, _, line = x.partition("\t")
+                yield (k, kind, line, None, None, None)
+            if not body:
+                continue
+            for m in _JOIN.finditer(body):
+                left, right = m[1], _TOKEN.match(m[2].lstrip("“\"'("))
+                if right and m[2][-1] not in HYPHENS and not left.isdigit():
+                    right = right[0]
+                    joined, kept = left + right, f"{left}-{right}"
+                    yield (k, "hyphen", joined.lower(), skeleton(joined), ("^" if right[0].isupper() else "") + kept.lower(), skeleton(kept))
+            for w in {*_TOKEN.findall(_JOIN.sub("\n", body).lower())} - known:
+                if len(w) > 1 and not w.isdigit():
                     yield (k, "misread", w, skeleton(w), None, None)
 
     return marks
@@ -173,9 +160,12 @@ def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame
     frequent = words.filter("n_clean > 0 and form not rlike '[^a-z]'").orderBy(F.desc("n_clean"), "form").limit(KNOWN)
     known = {r["form"] for r in small_rows(frequent.select("form"), KNOWN, "known words")}
     lines = line_table(rows.filter("s"), "k", "t")
-    pages = lines.groupBy("uid").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("line", "body", "kind"))).alias("lines"))
+    pages = lines.groupBy("uid").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("line", "body", "kind"))).alias("x"))
+    furniture = F.transform(F.filter("x", lambda x: x["kind"].isin("header", "pageno")), lambda x: F.concat(x["kind"], F.lit("\t"), x["body"]))
+    body = F.array_join(F.transform(F.filter("x", lambda x: x["kind"] == "text"), lambda x: x["body"]), "\n")
+    pages = pages.select("k", furniture.alias("furniture"), body.alias("body"))
     kind = df.schema[key].dataType.simpleString()
-    marks = map_rows(pages.select("k", "lines"), _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string").distinct()
+    marks = map_rows(pages, _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string").distinct()
     # What needs no lookup gets a key of its own that no group has, so that it spreads over the partitions.
     own = lambda c: F.coalesce(c, F.concat(F.lit("\0"), "form"))
     marks = marks.withColumn("skel", own("skel")).withColumn("kept_skel", own("kept_skel"))
