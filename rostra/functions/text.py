@@ -69,14 +69,9 @@ def pack_units(units: list[str], size: int = CHUNK, overlap: int = OVERLAP) -> l
     return chunks
 
 
-def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Sentence-packed chunks of a text; sentences beyond the size are cut into windows first. Empty text has none."""
-
-    @F.pandas_udf("array<string>")
-    def packed(units):  # noqa: ANN001, ANN202
-        return units.map(lambda u: pack_units(list(u), size, overlap) if u is not None else [])
-
-    return packed(F.flatten(F.transform(plain_sentences(F.trim(F.coalesce(text, F.lit("")))), lambda s: hard_windows(s, size, overlap))))
+def chunk_units(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Sentences of a text, those beyond the size cut into windows: what chunks are packed from."""
+    return F.flatten(F.transform(plain_sentences(F.trim(F.coalesce(text, F.lit("")))), lambda s: hard_windows(s, size, overlap)))
 
 
 def content_hash(text: Column) -> Column:

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.functions.text import CHUNK, OVERLAP, chunk_units, pack_units
 from rostra.functions.vectors import cosine
+from rostra.runtime import map_rows
 
 #: Most queries that are sent to every task with the documents.
 QUERIES = 10_000
 
 
+def chunk_rows(df: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Sentence-packed chunks of every text: (``key``, chunk_ix, chunk). Null and empty texts have none; no text is lost."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for k, units in rows:
+            for i, chunk in enumerate(pack_units(units, size, overlap)):
+                yield (k, i, chunk)
+
+    units = df.select(F.col(key).alias("k"), chunk_units(F.col(text), size, overlap).alias("units"))
+    return map_rows(units, pack, f"k {kind}, chunk_ix int, chunk string").withColumnRenamed("k", key)
+
+
 def dense_scores(docs: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
     """Cosine of every document with every query, the queries a stated set whose size is checked."""
     if len(queries.limit(QUERIES + 1).select(query_key).collect()) > QUERIES:

@@ -390,7 +390,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _windows,
         """SELECT doc_id, CAST(i AS INT) AS i, md5(substr(text, i * 320 + 1, 400)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 400) / 320) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0)""",
     ),
-    "str3_chunks": (lambda s, d: table(s, d, "enriched").select("speech_id", text.chunks(F.col("speech_text")).alias("c")).select("speech_id", F.posexplode("c").alias("chunk_ix", "chunk")).distinct(), None),
+    "str3_chunks": (lambda s, d: retrieval.chunk_rows(table(s, d, "enriched").select("speech_id", "speech_text").distinct(), "speech_id", "speech_text"), None),
     "str4_names": (_names, _NAMES),
     "str5_blocks": (lambda s, d: table(s, d, "speaker_parties_without_url").select(names.block_key(names.clean_name(F.col("speaker_name"))).alias("block")).groupBy("block").agg(F.count("*").alias("n")), None),
     "str8_scalars": (_text_scalars, _TEXT_SCALARS),
