@@ -103,16 +103,15 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     title = F.col("core").rlike(rf"^[(“\"]?(?:\p{{Lu}}|[\d!](?=\S*\p{{L}}))\S*(?: (?:{small}|\(?\p{{Lu}}\S*|[\d!]\S*|&|—))*$") & ~F.col("body").rlike(r"[.,;?!”\-¬‐­]$") & ~F.col("core").rlike(rf"(?:^| ){small}$")
     at = Window.partitionBy("uid").orderBy("line")
     whole = Window.partitionBy("uid")
-    filled = F.when(F.col("size") > 0, F.struct("body", "size"))
-    before, after = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(1, Window.unboundedFollowing)
+    near = at.rowsBetween(1, 8)  # the text goes on within a few lines of page matter
     marked = lines.withColumns({
         "width": F.max("size").over(whole), "lines": F.count("*").over(whole),
-        "prev": F.last(F.when(~numbered, filled), True).over(before), "next": F.first(F.when(~numbered, filled), True).over(after),
+        "next": F.first(F.when(~numbered & (F.col("size") > 0), F.col("body")), True).over(near),
         "above": F.lag("size").over(at), "below": F.lead("size").over(at),
     })
     same = Window.partitionBy("uid", F.lower("core"))
     marked = marked.withColumn("again", F.count(F.when(title & (F.length("core") > 0), 1)).over(same))
-    first_next = F.length(F.regexp_extract("next.body", r"^\S+", 0))
+    first_next = F.length(F.regexp_extract("next", r"^\S+", 0))
     # A line that had room for the next word is no line of running text, unless a paragraph ends there.
     room = F.col("size") + 1 + F.coalesce(first_next, F.lit(0)) <= F.col("width")
     loose = (F.coalesce(F.col("above"), F.lit(0)) == 0) & (F.coalesce(F.col("below"), F.lit(0)) == 0)

@@ -49,7 +49,8 @@ _LINES = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _SITE = re.compile(rf"[.!?…]+(?:[{CLOSERS}]+|[\s]+[»›])*(?=\s|$|[぀-ヿ㐀-鿿])|[。！？｡]+[{CLOSERS}]*|[।॥؟۔։።፧။།]+[{CLOSERS}]*|[;;][{CLOSERS}]*(?=\s|$)")
 _QUOTE = re.compile(r"[“„«(\[「『（【《\"‘'‹]")
 _BEFORE = re.compile(r"[^\s(\[“„«‘\"']*$")
-_LATIN_TAIL = re.compile(r"[^\W\d_]+$")
+_OPENS = {"(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》"}
+_BRACKET = re.compile("[" + re.escape("".join(_OPENS) + "".join(_OPENS.values())) + "]")
 _NO_MARKS = re.compile(r"[฀-໿ក-៿]")
 _NO_MARKS_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
 _SHORT = re.compile(rf"(?<![^\s(\[“\"'])([^\W\d_]{{1,{STAT_LETTERS}}})\.(?:([,;:])|\s+([^\W\d_]+))")
@@ -57,33 +58,46 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _WIDE_ON = frozenset("とってのはがをにもへで，、,")
 
 
+def _brackets(line: str) -> dict[int, int]:
+    """Places of opening brackets and of what closes them, from one pass."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = defaultdict(list)
+    for m in _BRACKET.finditer(line):
+        c = m[0]
+        if c in _OPENS:
+            open_[_OPENS[c]].append(m.start())
+        elif open_[c]:
+            out[open_[c].pop()] = m.start()
+    return out
+
+
 def _spans(line: str) -> list[tuple[int, int]]:
     """Outermost quoted and bracketed spans of a line that are closed in it, as (start, end exclusive)."""
     spans, at = [], 0
-    size = len(line)
+    pairs = None
+    hopeless: set[str] = set()  # marks that nothing closes any more
     while m := _QUOTE.search(line, at):
         i, mark = m.start(), m[0]
         at = i + 1
         before = line[i - 1] if i else " "
-        if mark in "'‘\"" and (before.isalnum() or before in ".,!?"):
+        if mark in hopeless or mark in "'‘\"" and (before.isalnum() or before in ".,!?"):
             continue
         closers, end = PAIRS[mark], -1
-        if mark in "([（【":
-            depth = 0
-            for j in range(i, size):
-                depth += (line[j] == mark) - (line[j] == closers)
-                if not depth:
-                    end = j
-                    break
-        elif mark in "'‘":
-            j = i
-            while (j := line.find(closers, j + 1)) > 0:
-                if line[j - 1] in ".,!?…;:" and not line[j + 1 : j + 2].isalnum():
-                    end = j
-                    break
+        if mark in _OPENS:
+            pairs = _brackets(line) if pairs is None else pairs
+            end = pairs.get(i, -1)
         else:
-            ends = [j for c in closers if (j := line.find(c, i + 1)) > 0]
-            end = min(ends) if ends else -1
+            if mark in "'‘":
+                j = i
+                while (j := line.find(closers, j + 1)) > 0:
+                    if line[j - 1] in ".,!?…;:" and not line[j + 1 : j + 2].isalnum():
+                        end = j
+                        break
+            else:
+                ends = [j for c in closers if (j := line.find(c, i + 1)) > 0]
+                end = min(ends) if ends else -1
+            if end < 0:
+                hopeless.add(mark)
         if end > 0:
             spans.append((i, end + 1))
             at = end + 1
@@ -95,6 +109,8 @@ class Judge:
 
     def __init__(self, text: str, corpus: dict[str, str]):
         self.text, self.corpus, self._seen, self._lower = text, corpus, None, None
+        self._bare: dict[str, bool] = {}
+        self._inside: dict[str, bool] = {}
 
     def evidence(self) -> dict[str, int]:
         """Types that this document writes with a full stop where a sentence cannot end."""
@@ -104,13 +120,17 @@ class Judge:
 
     def bare(self, word: str) -> bool:
         """Does the document write the word without a full stop?"""
-        return re.search(rf"(?<!\w){re.escape(word)}(?![\w.])", self.text) is not None
+        if word not in self._bare:
+            self._bare[word] = re.search(rf"(?<!\w){re.escape(word)}(?![\w.])", self.text) is not None
+        return self._bare[word]
 
     def proper(self, word: str) -> bool:
         """Is a capitalised word a name here: written so inside a sentence, and nowhere in lower case?"""
         if self._lower is None:
             self._lower = {*re.findall(r"[^\W\d_]+", self.text)}
-        return word.lower() not in self._lower and re.search(rf"[a-z,;] {re.escape(word)}\b", self.text) is not None
+        if word not in self._inside:
+            self._inside[word] = word.lower() not in self._lower and re.search(rf"[a-z,;] {re.escape(word)}\b", self.text) is not None
+        return self._inside[word]
 
     def ends(self, token: str, nxt: str, word: str) -> bool:
         """Does a full stop after ``token`` end a sentence, if ``nxt`` is the first character of what follows, ``word`` its first word?"""
