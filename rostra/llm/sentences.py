@@ -53,6 +53,7 @@ _OPENS = {"(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "
 _BRACKET = re.compile("[" + re.escape("".join(_OPENS) + "".join(_OPENS.values())) + "]")
 _NO_MARKS = re.compile(r"[฀-໿ក-៿]")
 _NO_MARKS_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
+_ARTICLE = re.compile(r"(?:^|\W)(?:le|la|les|l|du|au|ce|un|et|voir|sous|selon|of|in|the|see)\W+$", re.I)
 _SHORT = re.compile(rf"(?<![^\s(\[“\"'])([^\W\d_]{{1,{STAT_LETTERS}}})\.(?:([,;:])|\s+([^\W\d_]+))")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _WIDE_ON = frozenset("とってのはがをにもへで，、,")
@@ -132,14 +133,16 @@ class Judge:
             self._inside[word] = word.lower() not in self._lower and re.search(rf"[a-z,;] {re.escape(word)}\b", self.text) is not None
         return self._inside[word]
 
-    def ends(self, token: str, nxt: str, word: str) -> bool:
-        """Does a full stop after ``token`` end a sentence, if ``nxt`` is the first character of what follows, ``word`` its first word?"""
+    def ends(self, token: str, nxt: str, word: str, lead: str) -> bool:
+        """Does a full stop after ``token`` end a sentence, if ``nxt`` is the first character of what follows, ``word`` its first word, and ``lead`` stands before the token?"""
         if nxt.islower():
             return False
         tail = token.rpartition("-")[2] if token not in TITLES else token
         digit = nxt.isdigit()
         if tail in TITLES or tail in OPENING:
             return False
+        if tail == "no" and digit:  # a number in French, an answer in English
+            return _ARTICLE.search(lead) is None
         if tail in NUMBERED and (digit or tail.islower() and len(tail) < 3 or re.fullmatch(r"[IVXLC]+", word)):
             return False if digit or word else True
         if word in ORDINAL_NEXT and len(tail) < 3 and tail.isdigit():
@@ -229,7 +232,7 @@ def sentence_spans(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
                 if opened >= 0 and len(mark) > 1 and line[opened] not in BRACKETS:
                     if nxt.islower():
                         continue
-                elif not judge.ends(m[0], nxt, word):
+                elif not judge.ends(m[0], nxt, word, line[max(begin, m.start() - 12) : m.start()]):
                     continue
             cuts.append(b)
             begin = b

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.operators.intervals import _islands
-from rostra.runtime import checkpointed, map_rows, struct
+from rostra.runtime import checkpointed, map_rows, sized, struct
 
 LEAST, WINDOW, REACH = 200, 150, 24
 #: Copies of one text that are paired with each other; more are paired with the least of them alone.
 COPIES = 64
+#: Rows of ids up to which a side of a join is sent to all tasks, some tens of MB.
+SMALL = 1_000_000
 #: Characters whose hashes are worked out at a time.
 BLOCK = 1 << 20
 
@@ -134,13 +136,15 @@ def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     classes = checkpointed(copies(df, key, text))
     texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
-    single = texts.join(classes.filter("k <> rep"), "k", "left_anti")
+    single = texts.join(sized(classes.filter("k <> rep").select("k"), SMALL), "k", "left_anti")
     over = Window.partitionBy("h")
     marked = windows(single, "k", "t", False).select("h", "k", F.min("k").over(over).alias("low"), F.max("k").over(over).alias("high"))
     repeated = checkpointed(marked.filter("low <> high").select("h", "k").distinct())
     other = repeated.select("h", F.col("k").alias("b"))
     pairs = checkpointed(repeated.join(other, "h").filter("k < b").select(F.col("k").alias("a"), "b").distinct())
-    bodies = texts.dropDuplicates(["k"])
+    # Only the texts of candidates are moved.
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    bodies = texts.join(sized(ids, SMALL), "k", "left_semi").dropDuplicates(["k"])
     left = bodies.select(F.col("k").alias("a"), F.col("t").alias("x"))
     right = bodies.select(F.col("k").alias("b"), F.col("t").alias("y"))
     checked = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _verify, "a long, b long")
