@@ -151,8 +151,8 @@ def whole_date(text: Column) -> Column:
     t = F.trim(text)
     t = F.regexp_replace(F.regexp_replace(t, r"^(\d{4})-00-00$", "$1-01-01"), r"^(\d{4}-\d{2})-00$", "$1-01")
     year = F.when(t.rlike(r"^\d{4}$") & t.between("1000", "2026"), F.concat(t, F.lit("-01-01")))
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).when(t.rlike(r"^\d{4}-\d{2}$"), F.concat(t, F.lit("-01"))).otherwise(
-        F.coalesce(year, F.date_format(F.try_to_timestamp(t, F.lit("d MMMM yyyy")), "yyyy-MM-dd"), F.date_format(F.try_to_timestamp(t), "yyyy-MM-dd"), F.lit(""))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).when(t.rlike(r"^\d{4}-\d{2}$"), F.concat(t, F.lit("-01"))).when(t.rlike(r"^\d+$"), F.coalesce(year, F.lit(""))).otherwise(
+        F.coalesce(F.date_format(F.try_to_timestamp(t, F.lit("d MMMM yyyy")), "yyyy-MM-dd"), F.date_format(F.try_to_timestamp(t), "yyyy-MM-dd"), F.lit(""))
     )
 
 

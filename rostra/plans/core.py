@@ -147,7 +147,7 @@ def _chunk_scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vec")).withColumnRenamed("label", "query_id")
     chunks = v.select((F.col("vec_id") % 60).alias("doc"), F.col("embedding").alias("vector"))
     docs = s.range(64).select(F.col("id").alias("doc"))
-    return docs, q, retrieval.dense_scores(chunks, q, "doc", "vector")
+    return docs, q, retrieval.dense_scores(chunks, q, "doc", "vector").withColumn("score", F.round("score", 9))
 
 
 def _vec5(s: SparkSession, d: str) -> DataFrame:

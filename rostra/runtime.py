@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -57,3 +58,8 @@ def small_rows(df: DataFrame, bound: int, what: str) -> list:
     if len(rows) > bound:
         raise ValueError(f"{what}: more than {bound} rows")
     return rows
+
+
+def sized(df: DataFrame, bound: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``bound`` rows; joined by shuffle beyond."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
