@@ -149,14 +149,14 @@ def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     right = bodies.select(F.col("k").alias("b"), F.col("t").alias("y"))
     checked = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _verify, "a long, b long")
     # Classes of copies: members stand for the least one, all of them while the class is small.
-    sized = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")), "rep")
-    members = sized.filter((F.col("n") <= COPIES) | (F.col("k") == F.col("rep"))).select("rep", "k")
+    classed = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+    members = classed.filter((F.col("n") <= COPIES) | (F.col("k") == F.col("rep"))).select("rep", "k")
     of = lambda c, name: (F.coalesce(F.col(f"{c}m.k"), F.col(f"p.{c}"))).alias(name)
     spread = (
         checked.alias("p").join(members.alias("am"), F.col("am.rep") == F.col("p.a"), "left").join(members.alias("bm"), F.col("bm.rep") == F.col("p.b"), "left").select(of("a", "a"), of("b", "b"))
     )
     within = members.alias("m").join(members.alias("n"), "rep").filter("m.k < n.k").select(F.col("m.k").alias("a"), F.col("n.k").alias("b"))
-    star = sized.filter((F.col("n") > COPIES) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    star = classed.filter((F.col("n") > COPIES) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("k").alias("b"))
     every = spread.unionByName(within).unionByName(star)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
