@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.runtime import map_rows, small_rows
+from rostra.runtime import checkpointed, map_rows, small_rows
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 #: Posterior from which a defect is kept, validated on seeded pairs in the tests.
@@ -96,8 +96,11 @@ def _grams(words: list[str], n: int) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(n))))
 
 
-def votes(prompt: str | None, text: str | None, finish: str | None, error: str | None) -> tuple[dict[str, int], str | None]:
-    """Votes of the labelling functions on one pair, and the last item of a list that ends the answer, to be judged by the corpus."""
+def votes(prompt: str | None, text: str | None, finish: str | None, error: str | None, tongues: dict | None = None) -> tuple[dict[str, int], str | None]:
+    """Votes of the labelling functions on one pair, and the last item of a list that ends the answer, to be judged by the corpus.
+
+    ``tongues`` remembers the languages of tasks, which many prompts share.
+    """
     v = dict.fromkeys(START, 0)
     raw = text or ""
     body = _INVISIBLE.sub(" ", raw).strip()
@@ -125,8 +128,8 @@ def votes(prompt: str | None, text: str | None, finish: str | None, error: str |
     free = _VERDICT.sub("", prose, count=1).strip(" .,:;") if verdict else prose
     own = _QUOTED.sub(" ", free)
     # copy
-    theirs = _WORDS.findall((prompt or "").lower())
-    if not is_json and theirs and len(words) >= 4:
+    theirs = _WORDS.findall(prompt.lower()) if prompt and not is_json and len(words) >= 4 else []
+    if theirs:
         mine = _grams(words, 3)
         share = len(mine & _grams(theirs, 3)) / len(mine) if mine else 0.0
         v["contained"] = 1 if share >= 0.6 else -1
@@ -163,7 +166,10 @@ def votes(prompt: str | None, text: str | None, finish: str | None, error: str |
     v["limit_hit"] = 1 if finish in ("length", "max_tokens") else 0
     # language
     task = re.split(r"\n\s*\n", prompt or "", maxsplit=1)[0]
-    asked = language(task)
+    tongues = {} if tongues is None else tongues
+    if task not in tongues:
+        tongues[task] = language(task)
+    asked = tongues[task]
     spoken = language(own)
     if asked and spoken:
         v["prose_differs"] = 1 if asked != spoken else -1
@@ -210,8 +216,9 @@ def labelled(df: DataFrame) -> DataFrame:
     rows = df.select("call_id", "prompt_text", "text", "finish_reason", "error").distinct()
 
     def judge(batch: Iterator[tuple]) -> Iterator[tuple]:
+        tongues: dict = {}
         for key, prompt, text, finish, error in batch:
-            v, last = votes(prompt, text, finish, error)
+            v, last = votes(prompt, text, finish, error, tongues)
             inner = []
             if text:
                 found = [m[1].strip().lower() for x in text.splitlines() if (m := _ITEM.match(x))]
@@ -220,7 +227,7 @@ def labelled(df: DataFrame) -> DataFrame:
             yield (key, last, inner, *(v[n] for n in names))
 
     kind = df.schema["call_id"].dataType.simpleString()
-    judged = map_rows(rows, judge, f"call_id {kind}, last string, inside array<string>, " + ", ".join(f"{n} byte" for n in names))
+    judged = checkpointed(map_rows(rows, judge, f"call_id {kind}, last string, inside array<string>, " + ", ".join(f"{n} byte" for n in names)))
     # An item that other answers list before their last item is whole.
     whole = judged.select(F.explode("inside").alias("last")).groupBy("last").agg(F.count("*").alias("seen")).filter("seen >= 3")
     judged = judged.drop("inside").join(whole, "last", "left")
@@ -235,7 +242,7 @@ def defects(df: DataFrame) -> DataFrame:
     Null and blank answers are 'empty'; a null prompt leaves copy and language open. Repeated rows are judged once, rows
     that differ under one call_id each by itself; other columns are ignored; an empty table gives an empty one.
     """
-    marked = labelled(df).persist()
+    marked = labelled(df)
     spark = df.sparkSession
     # One scan counts the vote patterns of all defects.
     sets = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.concat_ws(",", *(F.col(f).cast("string") for f in FUNCTIONS[d])).alias("pattern")) for d in DEFECTS)))
