@@ -30,9 +30,14 @@ SELECT DISTINCT speech_id, 'no_boundary' FROM enriched WHERE regexp_matches(spee
 """
 
 
+def _p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "enriched"), "speech_id", "speech_text", F.col("text_origin") == "scan").drop("uid").distinct()
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (_p1, None),
     "p3_found": (_p3, None),
+    "p3_paragraphs": (_p3_paragraphs, None),
     "p4_found": (lambda s, d: consensus.found(table(s, d, "extraction")), None),
     "p4_reliability": (lambda s, d: consensus.worth(table(s, d, "extraction")), None),
     "p5_found": (lambda s, d: splitting.oversized(table(s, d, "enriched"), "speech_id", "speech_text"), P5_SQL),

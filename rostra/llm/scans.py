@@ -147,13 +147,8 @@ def _marks(known: set[str]):
     return marks
 
 
-def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
-    """What page and scanner added to the scanned rows, and the right words: distinct (``key``, kind, fixed).
-
-    Kinds: 'hyphen' and 'misread' with the right word in lower case, 'header' and 'pageno' with the line. Rows that are
-    not ``scanned`` only count as corpus. Null and empty texts give nothing, repeated rows give their marks once, a null
-    key is kept; other columns are ignored, an empty table gives an empty one.
-    """
+def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> tuple[DataFrame, DataFrame]:
+    """Lines of the scanned rows, and every mark with its right word: (k, kind, form, fixed, changed)."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(scanned, F.lit(False)).alias("s"))
     words = checkpointed(vocabulary(rows, "t", ~F.col("s")))
     frequent = words.filter("n_clean > 0 and form not rlike '[^a-z]'").orderBy(F.desc("n_clean"), "form").limit(KNOWN)
@@ -179,6 +174,61 @@ def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame
     plain = F.when(as_compound, kept).otherwise(F.col("form"))
     fixed = F.when(as_compound, right(kept, F.col("kept_best"), F.col("kept_valid"))).otherwise(right(F.col("form"), F.col("best"), F.col("valid")))
     fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).otherwise(fixed)
-    rows = found.select("k", "kind", fixed.alias("fixed"), (fixed != plain).alias("changed"))
+    return lines, found.select("k", "kind", "form", fixed.alias("fixed"), (fixed != plain).alias("changed"))
+
+
+def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
+    """What page and scanner added to the scanned rows, and the right words: distinct (``key``, kind, fixed).
+
+    Kinds: 'hyphen' and 'misread' with the right word in lower case, 'header' and 'pageno' with the line. Rows that are
+    not ``scanned`` only count as corpus. Null and empty texts give nothing, repeated rows give their marks once, a null
+    key is kept; other columns are ignored, an empty table gives an empty one.
+    """
+    rows = _repairs(df, key, text, scanned)[1]
     kinds = F.array_compact(F.array(F.when(F.col("kind") != "misread", F.col("kind")), F.when(F.col("kind").isin("misread", "hyphen") & F.col("changed"), "misread")))
     return rows.select("k", F.explode(kinds).alias("kind"), "fixed").distinct().withColumnRenamed("k", key)
+
+
+def _cased(word: str, like: str) -> str:
+    return word.upper() if len(like) > 1 and like.isupper() else word[:1].upper() + word[1:] if like[:1].isupper() else word
+
+
+def _mend(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for k, uid, para, lines, fixes in rows:
+        right = dict(fixes or ())
+
+        def join(m: re.Match) -> str:
+            token = _TOKEN.match(m[2].lstrip("“\"'("))
+            if not token or m[2][-1] in HYPHENS:
+                return m[1] + m[2] + "\n"
+            whole = m[1] + token[0]
+            return _cased(right.get(whole.lower(), whole), m[1]) + m[2].lstrip("“\"'(")[token.end() :] + "\n"
+
+        body = " ".join(_JOIN.sub(join, "\n".join(lines)).split())
+        yield (k, uid, para, _TOKEN.sub(lambda m: _cased(right[w], m[0]) if (w := m[0].lower()) in right else m[0], body))
+
+
+def paragraphs(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
+    """Readable paragraphs of the scanned rows: (``key``, uid, para, body), ``uid`` telling rows of one key apart.
+
+    Page matter is gone, a paragraph that a page break cuts goes on, broken and misread words are mended. A blank line
+    ends a paragraph, but for one beside page matter after a line that does not end a sentence.
+    """
+    lines, marks = _repairs(df, key, text, scanned)
+    at = Window.partitionBy("uid").orderBy("line")
+    is_text = F.col("kind") == "text"
+    seen = lines.withColumns({
+        "texts": F.sum(is_text.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, -1)),
+        "before": F.last(F.when(is_text, F.col("body")), True).over(at.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    gap = Window.partitionBy("uid", "texts")
+    seen = seen.withColumns({"blank": F.max((F.col("kind") == "blank").cast("int")).over(gap), "page": F.max(F.col("kind").isin("header", "pageno").cast("int")).over(gap)})
+    ended = F.col("before").rlike(r"[.?!:”\"')\]]$")
+    opens = (F.col("blank") == 1) & F.col("before").isNotNull() & (ended | (F.col("page") == 0))
+    placed = seen.filter(is_text).withColumn("para", F.sum(opens.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    paras = placed.groupBy("uid", "para").agg(F.first("k").alias("k"), F.transform(F.sort_array(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]).alias("lines"))
+    one = marks.filter("kind = 'hyphen' or changed").groupBy("k", "form").agg(F.max("fixed").alias("fixed"))
+    fixes = one.groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.array("form", "fixed")).alias("fixes"))
+    joined = paras.join(fixes, F.col("k").eqNullSafe(F.col("_k")), "left").select("k", "uid", "para", "lines", "fixes")
+    kind = df.schema[key].dataType.simpleString()
+    return map_rows(joined, _mend, f"k {kind}, uid long, para long, body string").withColumnRenamed("k", key)

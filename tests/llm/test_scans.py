@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rostra.llm.scans import scan_marks, skeleton
+from rostra.llm.scans import paragraphs, scan_marks, skeleton
 
 CLEAN = "The harbour board would explain the harvest before the committee which had repealed that well-known statute of the municipalities. " * 12
 
@@ -23,3 +23,6 @@ def test_marks(spark, clash):
     want = {("header", header), ("pageno", "p. 138"), ("pageno", "p. 139"), ("misread", "harbour"), ("misread", "would"), ("hyphen", "harvest"), ("hyphen", "committee"), ("hyphen", "well-known"), ("hyphen", "municipalities")}
     assert got == {(1, *w) for w in want}
     assert scan_marks(df.limit(0), "speech_id", "body", F.col("scan")).count() == 0
+
+    paras = {r["body"] for r in paragraphs(df.filter("speech_id is null or speech_id <> 5"), "speech_id", "body", F.col("scan")).filter("speech_id = 1").collect()}
+    assert paras == {"The harbour board would explain the harvest before the committee which had repealed that well-known statute of the municipalities in the year of 1959."}
