@@ -29,7 +29,7 @@ def jobs(speeches: DataFrame, variants: DataFrame, models: DataFrame, conditions
 
     Variants, models and conditions are the small dimensions of a plan; ``conditions`` has temperature, seed and reps.
     """
-    dims = variants.crossJoin(models).crossJoin(conditions).withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("reps") - 1))).drop("reps")
+    dims = variants.coalesce(1).crossJoin(models.coalesce(1)).crossJoin(conditions.coalesce(1)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("reps") - 1))).drop("reps")
     cells = speeches.crossJoin(F.broadcast(dims))
     return cells if done is None else cells.join(done, same_cell(cells, done), "left_anti")
 

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rostra.plans.core import QUERIES
+from rostra.plans import core, more
 
+QUERIES = core.QUERIES | more.QUERIES
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
