@@ -1,7 +1,8 @@
 """Repair of text from scanned pages: broken words, misread characters, running headers and page numbers.
 
 Lines are laid out as rows and judged with SQL windows; words are grouped over the whole corpus by the skeleton that
-confusable glyphs leave, and a rare form gives way to the form that the group supports.
+confusable glyphs leave, and a rare form gives way to a form that the group supports: the one that the same document
+writes elsewhere, else the most frequent.
 """
 
 from __future__ import annotations
@@ -128,6 +129,7 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _marks(known: set[str]):
     def marks(rows: Iterator[tuple]) -> Iterator[tuple]:
+        strokes: dict[str, str] = {}
         for k, furniture, body in rows:
             for x in furniture:
                 kind, _, line = x.partition("\t")
@@ -140,9 +142,18 @@ def _marks(known: set[str]):
                     right = right[0]
                     joined, kept = left + right, f"{left}-{right}"
                     yield (k, "hyphen", joined.lower(), skeleton(joined), ("^" if right[0].isupper() else "") + kept.lower(), skeleton(kept))
-            for w in {*_TOKEN.findall(_JOIN.sub("\n", body).lower())} - known:
-                if len(w) > 1 and not w.isdigit():
-                    yield (k, "misread", w, skeleton(w), None, None)
+            words = {*_TOKEN.findall(_JOIN.sub("\n", body).lower())}
+            odd = [w for w in words - known if len(w) > 1 and not w.isdigit()]
+            if not odd:
+                continue
+            # Words that the document writes well elsewhere, the context that speaks for a form.
+            near: dict[str, str] = {}
+            for w in words & known:
+                if w not in strokes:
+                    strokes[w] = skeleton(w)
+                near[strokes[w]] = max(w, near.get(strokes[w], ""))
+            for w in odd:
+                yield (k, "misread", w, skel := skeleton(w), near.get(skel), None)
 
     return marks
 
@@ -173,7 +184,8 @@ def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> tuple[DataF
     )
     plain = F.when(as_compound, kept).otherwise(F.col("form"))
     fixed = F.when(as_compound, right(kept, F.col("kept_best"), F.col("kept_valid"))).otherwise(right(F.col("form"), F.col("best"), F.col("valid")))
-    fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).otherwise(fixed)
+    beside = (F.col("kind") == "misread") & ~F.array_contains("valid", F.col("form")) & F.array_contains("valid", F.col("kept"))
+    fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).when(beside, F.col("kept")).otherwise(fixed)
     return lines, found.select("k", "kind", "form", fixed.alias("fixed"), (fixed != plain).alias("changed"))
 
 
