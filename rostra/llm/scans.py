@@ -116,7 +116,7 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     # A line that had room for the next word is no line of running text, unless a paragraph ends there.
     room = F.col("size") + 1 + F.coalesce(first_next, F.lit(0)) <= F.col("width")
     loose = (F.coalesce(F.col("above"), F.lit(0)) == 0) & (F.coalesce(F.col("below"), F.lit(0)) == 0)
-    bare = title & (F.length("core") > 3) & (F.col("size") <= 70) & (room | loose | (F.col("again") > 1))
+    bare = title & ~F.col("core").rlike(r"[,;]|^\d+(?:st|nd|rd|th)\b") & (F.length("core") > 3) & (F.col("size") <= 70) & (room | loose | (F.col("again") > 1))
     kind = (
         F.when(F.col("size") == 0, "blank")
         .when(F.col("lines") < 2, "text")

@@ -56,6 +56,8 @@ _NO_MARKS_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
 _ARTICLE = re.compile(r"(?:^|\W)(?:le|la|les|l|du|au|ce|un|et|voir|sous|selon|of|in|the|see)\W+$", re.I)
 _SHORT = re.compile(rf"(?<![^\s(\[“\"'])([^\W\d_]{{1,{STAT_LETTERS}}})\.(?:([,;:])|\s+([^\W\d_]+))")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
+# Words by which a sentence goes on behind a quotation, in Chinese.
+_WIDE_AFTER = ("随后", "然后", "接着", "于是", "并", "但", "而", "便", "就", "说", "道", "的")
 _WIDE_ON = frozenset("とってのはがをにもへで，、,")
 
 
@@ -216,7 +218,7 @@ def sentence_spans(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
                     continue
             elif lead in "。！？｡" or rest == b:
                 if mark[-1] in CLOSED_WIDE and rest == b:
-                    if opened >= 0 and line[begin:opened].strip() and (line[opened - 1] not in "：:" or nxt in _WIDE_ON or line[rest:rest + 2] == "随后"):
+                    if opened >= 0 and line[begin:opened].strip() and (line[opened - 1] not in "：:" or nxt in _WIDE_ON or line.startswith(_WIDE_AFTER, rest)):
                         continue
                     if nxt in _WIDE_ON:
                         continue
