@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def test_sampling_eras_differ(spark):
     assert one(spark, era_of(x(), SAMPLING_ERAS), "1946") == "1945_1980"
 
 
+def test_seed_terms_and_pattern_agree(spark):
+    rng = random.Random(1)
+    words = [w.replace(r"\b", "") for w in text.SEED.split("|")] + ["x", "nhss", "paupers", "unvaccination", "feeble-minded", "care", "social"]
+    rows = [(rng.choice(["", "un", " "]).join((w := rng.choice(words))[: rng.choice([3, 30, 30])].title() + rng.choice([" ", "", "s "]) for _ in range(2)),) for _ in range(1500)]
+    got = spark.createDataFrame([*rows, (None,)], "x string").select("x", text.seed_present(x()).alias("a"), F.lower("x").rlike(text.SEED).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and 300 < sum(bool(r["a"]) for r in got) < 1500
+
+
 def test_plain_sentences(spark):
     said = "Mr. A. B. Smith, e.g. of No. 3, paid 3.5 pounds. He said no. Then we left!\nNew line"
     assert one(spark, text.plain_sentences(x()), said) == ["Mr. A. B. Smith, e.g. of No. 3, paid 3.5 pounds.", "He said no.", "Then we left!", "New line"]
