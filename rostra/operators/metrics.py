@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostra.operators.strata import first_of_each
+
+#: Bands of scores that running sums are worked out in.
+BANDS = 1024
 FACTORS = ("role", "task", "output_format", "model_id")
 THRESHOLDS = [i / 20 for i in range(4, 17)]
 
@@ -110,25 +114,42 @@ def determinism(df: DataFrame, cell: Sequence[str], text: str, rating: str, mode
     return cells.groupBy(model).agg(F.count("*").alias("cells"), F.round(F.avg("bytes"), 6).alias("byte_identical"), F.round(F.avg("labels"), 6).alias("label_stable"))
 
 
+def _running(s: DataFrame, group: Sequence[str], score: str) -> DataFrame:
+    """Counts (n, tp) of each score with the sums below it (n_below, tp_below) and of its group (all_n, all_tp).
+
+    Scores are cut into bands of equal width: sums run within a band and over the short table of bands, so a ranking of
+    any length is no single task.
+    """
+    edge = s.groupBy(*group).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    band = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BANDS)).otherwise(0)
+    s = s.join(edge, list(group)).withColumn("_band", band).drop("_lo", "_hi")
+    bands = s.groupBy(*group, "_band").agg(F.sum("n").alias("_n"), F.sum("tp").alias("_tp"))
+    per = Window.partitionBy(*group)
+    under = per.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    bands = bands.select(*group, "_band", zero(F.sum("_n").over(under)).alias("_un"), zero(F.sum("_tp").over(under)).alias("_utp"), F.sum("_n").over(per).alias("all_n"), F.sum("_tp").over(per).alias("all_tp"))
+    local = Window.partitionBy(*group, "_band").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    out = s.join(bands, [*group, "_band"])
+    return out.withColumns({"n_below": F.col("_un") + zero(F.sum("n").over(local)), "tp_below": F.col("_utp") + zero(F.sum("tp").over(local))}).drop("_band", "_un", "_utp")
+
+
 def ranking(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """AUROC by average ranks and average precision by distinct scores, for every group that has both classes."""
-    per = Window.partitionBy(*group)
     s = df.groupBy(*group, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("tp"))
-    below = F.coalesce(F.sum("n").over(per.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    down = per.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"rank": below + (F.col("n") + 1) / 2, "ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down), "P": F.sum("tp").over(per), "N": F.sum("n").over(per) - F.sum("tp").over(per)})
-    s = s.filter("P > 0 and N > 0")
-    out = s.groupBy(*group, "P", "N").agg(F.sum(F.col("rank") * F.col("tp")).alias("r"), F.sum(F.col("tp") / F.col("P") * F.col("ctp") / F.col("cn")).alias("ap"))
-    auc = (F.col("r") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N"))
-    return out.select(*group, F.round(auc, 6).alias("auroc"), F.round("ap", 6).alias("ap"), F.col("P").alias("positives"), F.col("N").alias("negatives"))
+    s = _running(s, group, score).withColumns({"pos": F.col("all_tp"), "neg": F.col("all_n") - F.col("all_tp")}).filter("pos > 0 and neg > 0")
+    rank = F.col("n_below") + (F.col("n") + 1) / 2
+    ctp, cn = F.col("all_tp") - F.col("tp_below"), F.col("all_n") - F.col("n_below")
+    out = s.groupBy(*group, "pos", "neg").agg(F.sum(rank * F.col("tp")).alias("r"), F.sum(F.col("tp") / F.col("pos") * ctp / cn).alias("ap"))
+    auc = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
+    return out.select(*group, F.round(auc, 6).alias("auroc"), F.round("ap", 6).alias("ap"), F.col("pos").alias("positives"), F.col("neg").alias("negatives"))
 
 
 def at_k(df: DataFrame, group: Sequence[str], score: str, label: str, key: str, ks: Sequence[int]) -> DataFrame:
     """Precision and recall of the first k by score, ties by key."""
-    over = Window.partitionBy(*group)
-    ranked = df.withColumns({"r": F.row_number().over(over.orderBy(F.desc(score), key)), "P": F.sum(F.col(label).cast("long")).over(over)})
-    cut = ranked.filter(F.col("r") <= max(ks)).withColumn("k", F.explode(F.lit(list(ks)))).filter("r <= k")
-    out = cut.groupBy(*group, "k").agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n"), F.first("P").alias("P"))
+    positives = df.groupBy(*group).agg(F.sum(F.col(label).cast("long")).alias("P"))
+    first = first_of_each(df, group, [F.desc(score), F.col(key)], key, max(ks), "r")
+    cut = first.withColumn("k", F.explode(F.lit(list(ks)))).filter("r <= k")
+    out = cut.groupBy(*group, "k").agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n")).join(positives, list(group))
     return out.select(*group, "k", F.round(F.col("hits") / F.col("n"), 6).alias("precision"), F.round(F.when(F.col("P") > 0, F.col("hits") / F.col("P")), 6).alias("recall"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.vectors import soft_jaccard
+from rostra.operators.strata import first_of_each
 
 
 def theme_agreement(cells: DataFrame, vectors: DataFrame, tau: float = 0.72) -> DataFrame:
@@ -32,8 +33,7 @@ def threshold_at(sweep: DataFrame, group: Sequence[str], recall: float) -> DataF
 
 def top(df: DataFrame, group: Sequence[str], score: str, key: str, k: int) -> DataFrame:
     """The first k rows of each group by score, nulls last, ties by key."""
-    order = Window.partitionBy(*group).orderBy(F.col(score).desc_nulls_last(), key)
-    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return first_of_each(df, group, [F.col(score).desc_nulls_last(), F.col(key)], key, k, "rank")
 
 
 def coverage(base: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
