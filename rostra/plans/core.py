@@ -132,7 +132,7 @@ def _agg7(s: SparkSession, d: str) -> DataFrame:
 
 def _models_as_rankings(s: SparkSession, d: str) -> DataFrame:
     # Every query is a ranking of the same vectors, as every embedder is of the same speeches.
-    return scores(s, d).filter("query_id < 4").select("vec_id", F.col("query_id").alias("model"), "score")
+    return scores(s, d).select("vec_id", F.col("query_id").alias("model"), "score")
 
 
 _RANKINGS = f"""WITH {SCORES}, f AS (SELECT vec_id, query_id AS model, score FROM score WHERE query_id < 4),

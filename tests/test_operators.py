@@ -37,6 +37,24 @@ def test_core_grid_keeps_nulls(spark):
     assert metrics.core_grid(df).count() == 1
 
 
+def test_rank_agreement_pairs_every_ranking(spark, tmp_path):
+    from rostra.plans.core import QUERIES
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(120, 4)).round(3)
+    rows = [(i, i % 7, v.tolist()) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cosine = lambda a, b: round(float(a @ b / ((np.linalg.norm(a) + 1e-12) * (np.linalg.norm(b) + 1e-12))), 9)
+    score = {q: np.array([cosine(v, vectors[q]) for v in vectors]) for q in range(7)}
+    rank = {q: np.array([(s < x).sum() + ((s == x).sum() + 1) / 2 for x in s]) for q, s in score.items()}
+    top = {q: {*sorted(range(120), key=lambda i: (-s[i], i))[:100]} for q, s in score.items()}
+    got = {(r["a"], r["b"]): r for r in QUERIES["met9_rank_agreement"][0](spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in range(7) for b in range(a + 1, 7)}
+    for (a, b), r in got.items():
+        assert r["spearman"] == pytest.approx(np.corrcoef(rank[a], rank[b])[0, 1], abs=2e-6)
+        assert (r["overlap"], r["n"]) == (len(top[a] & top[b]) / 100, 120)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     nodes = [(i,) for i in range(41)] + [(100,), (101,), (7777,)]
