@@ -3,27 +3,79 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.functions.vectors import soft_jaccard
 from rostra.operators.strata import first_of_each
+from rostra.runtime import map_rows
+
+#: Theme lists of a speech that are compared with each other at a time, and numbers in one table of cosines.
+BLOCK, CELLS = 256, 1 << 22
+
+
+def _matched(x: list, y: list, tau: float) -> np.ndarray:
+    """Soft Jaccard of every list of vectors of ``x`` with every one of ``y``, matched greedily in the order of the first."""
+    sizes, widths = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    most, dim = widths.max(), len(y[0][0])
+    right = np.zeros((len(y), most, dim))
+    for i, v in enumerate(y):
+        right[i, : len(v)] = v
+    flat, out = right.reshape(-1, dim).T, np.empty((len(x), len(y)))
+    step = max(1, CELLS // flat.shape[1])
+    for low in range(0, len(x), step):
+        n = sizes[low : low + step]
+        free = np.repeat((np.arange(most) < widths[:, None])[None], len(n), axis=0)
+        met = np.zeros((len(n), len(y)))
+        for i in range(n.max()):
+            rows = np.flatnonzero(n > i)
+            sims = np.round(np.array([x[low + r][i] for r in rows]) @ flat, 9).reshape(len(rows), len(y), most)
+            sims = np.where(free[rows], sims, -np.inf)
+            best = sims.argmax(axis=2)
+            r, c = np.nonzero(sims.max(axis=2) >= tau)
+            free[rows[r], c, best[r, c]] = False
+            met[rows[r], c] += 1
+        out[low : low + step] = met / (n[:, None] + widths - met)
+    return out
 
 
 def theme_agreement(cells: DataFrame, vectors: DataFrame, tau: float = 0.72) -> DataFrame:
-    """Mean over speeches of the mean soft Jaccard over pairs of non-empty cells: (speech_id, agreement, pairs).
+    """Mean soft Jaccard over all pairs of non-empty cells of a speech: (speech_id, agreement, pairs).
 
-    ``cells`` has speech_id, cell and themes; ``vectors`` has theme and vector. Cells of a speech are the models, prompts
-    and formats of a grid, few for any speech.
+    ``cells`` has speech_id and themes, a row for each cell; ``vectors`` has theme and vector. Equal lists of a speech are
+    counted: two lists stand for the product of their counts, and n cells of one list for n (n - 1) / 2 pairs of it with
+    itself. The list with the lesser hash is matched in its order. Lists of a speech are paired by blocks of about
+    ``BLOCK``, so the pairs of a large speech are spread over tasks and never written out.
     """
-    named = cells.filter(F.size("themes") > 0).select("speech_id", "cell", F.posexplode("themes").alias("i", "theme")).join(vectors, "theme")
-    sets = named.groupBy("speech_id", "cell").agg(F.sort_array(F.collect_list(F.struct("i", "vector"))).alias("v"))
-    sets = sets.select("speech_id", "cell", F.transform("v", lambda x: x["vector"]).alias("v"))
-    a, b = sets.alias("a"), sets.alias("b")
-    pairs = a.join(b, (F.col("a.speech_id") == F.col("b.speech_id")) & (F.col("a.cell") < F.col("b.cell"))).select(F.col("a.speech_id").alias("speech_id"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
-    return pairs.withColumn("j", soft_jaccard(tau)("x", "y")).groupBy("speech_id").agg(F.round(F.avg("j"), 6).alias("agreement"), F.count("*").alias("pairs"))
+    lists = cells.filter("speech_id is not null and size(themes) > 0").groupBy("speech_id", "themes").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("themes"))
+    sizes = lists.groupBy("speech_id").agg(F.sum("n").alias("cells"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("cells > 1")
+    named = lists.join(sizes, "speech_id").select("speech_id", "h", "themes", "n", "blocks", F.posexplode("themes").alias("i", "theme")).join(vectors, "theme")
+    sets = named.groupBy("speech_id", "h", "themes", "n", "blocks").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "vector"))), lambda x: x["vector"]).alias("v"))
+    # Blocks are ranges of the hash, so that their order is the order of its values.
+    block = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("blocks")).cast("int"), F.col("blocks") - 1)
+    blocks = sets.withColumn("block", block).groupBy("speech_id", "blocks", "block").agg(F.collect_list(F.struct("h", "themes", "n", "v")).alias("lists"))
+    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = spread.groupBy("speech_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("block", "lists")).alias("sides"))
+
+    def score(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for speech, low, high, sides in rows:
+            by = {s["block"]: sorted(s["lists"], key=lambda x: (x["h"], [t or "" for t in x["themes"]])) for s in sides}
+            if low not in by or high not in by:
+                continue
+            x, y = by[low], by[high]
+            n, m = (np.array([s["n"] for s in side], dtype=float) for side in (x, y))
+            weight = np.outer(n, m)
+            if low == high:
+                weight = np.triu(weight, 1) + np.diag(n * (n - 1) / 2)
+            total = int(weight.sum())
+            if total:
+                yield (speech, float((weight * _matched([s["v"] for s in x], [s["v"] for s in y], tau)).sum()), total)
+
+    kind = cells.schema["speech_id"].dataType.simpleString()
+    parts = map_rows(pairs, score, f"speech_id {kind}, j double, n long")
+    return parts.groupBy("speech_id").agg(F.round(F.sum("j") / F.sum("n"), 6).alias("agreement"), F.sum("n").alias("pairs"))
 
 
 def threshold_at(sweep: DataFrame, group: Sequence[str], recall: float) -> DataFrame:

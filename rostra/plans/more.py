@@ -123,7 +123,8 @@ def _themes_clean(s: SparkSession, d: str) -> DataFrame:
 
 
 def _theme_agreement(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "extraction").filter("mentions_topic").groupBy("speech_id", F.col("model_id").alias("cell")).agg(F.max("subthemes").alias("themes"))
+    # A cell is a call; rows that deliver it again are one.
+    x = table(s, d, "extraction").filter("mentions_topic").select("speech_id", "model_id", "rep", F.col("subthemes").alias("themes")).distinct()
     lower = x.withColumn("themes", F.transform("themes", lambda t: F.lower(F.trim(t))))
     words = lower.select(F.explode("themes").alias("theme")).distinct()
     return reports.theme_agreement(lower, words.withColumn("vector", hashed_embedding(64)("theme")))

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,43 @@ def test_rank_agreement_pairs_every_ranking(spark, tmp_path):
         assert (r["overlap"], r["n"]) == (len(top[a] & top[b]) / 100, 120)
 
 
+def test_theme_agreement_counts_every_call(spark, tmp_path, monkeypatch):
+    import itertools
+    import random
+
+    from rostra.functions.vectors import hashed_embedding
+    from rostra.operators import reports
+    from rostra.plans.more import QUERIES
+
+    rng = random.Random(3)
+    themes = ["rents", "damp housing", "housing damp", "fever", "fever hospitals", "schools", "poor schools"]
+    calls = [(s, f"m{rng.randint(0, 2)}", rep, rng.random() < 0.9, rng.choices(themes, k=rng.randint(0, 3))) for s, n in ((1, 60), (2, 5), (3, 1)) for rep in range(n)]
+    rows = [*calls, calls[0], calls[7], (4, "m0", 0, True, None)]
+    spark.createDataFrame(rows, "speech_id long, model_id string, rep int, mentions_topic boolean, subthemes array<string>").write.parquet(str(tmp_path / "extraction.parquet"))
+    embed = hashed_embedding(64).func
+    vector = dict(zip(themes, map(np.array, embed(pd.Series(themes)))))
+
+    def jaccard(a, b):
+        free, met = list(b), 0
+        for x in a:
+            best = max(free, key=lambda y: round(vector[x] @ vector[y], 9), default=None)
+            if best is not None and vector[x] @ vector[best] >= 0.72:
+                free.remove(best)
+                met += 1
+        return met / (len(a) + len(b) - met)
+
+    want = {}
+    for s in (1, 2, 3):
+        lists = [t for k, _, _, yes, t in calls if k == s and yes and t]
+        if pairs := [jaccard(a, b) for a, b in itertools.combinations(lists, 2)]:
+            want[s] = (pytest.approx(np.mean(pairs), abs=2e-6), len(pairs))
+    assert want[1][1] > 500
+    for block in (256, 5):
+        monkeypatch.setattr(reports, "BLOCK", block, raising=False)
+        got = {r["speech_id"]: (r["agreement"], r["pairs"]) for r in QUERIES["met12_theme_agreement"][0](spark, str(tmp_path)).collect()}
+        assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     nodes = [(i,) for i in range(41)] + [(100,), (101,), (7777,)]
