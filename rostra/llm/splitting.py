@@ -47,16 +47,54 @@ def _best(text: str, low: int, high: int) -> int:
     return -1
 
 
-def pieces(text: str, begin: int, end: int, limit: int, overlap: int) -> Iterator[tuple[int, int, bool]]:
-    """Pieces (start, end, forced) that cover text[begin:end], each within ``limit``; forced: no natural cut was possible."""
+def _first(text: str, low: int, high: int) -> int:
+    """The first place in (low, high] beside a loose character; -1 if there is none."""
+    return next((at for at in range(low + 1, high + 1) if _loose(text[at - 1]) or at < len(text) and _loose(text[at])), -1)
+
+
+def _natural(text: str, at: int) -> bool:
+    """May a piece start here: behind white space, punctuation or a symbol, or with an opening mark?"""
+    here, before = unicodedata.category(text[at]), unicodedata.category(text[at - 1])
+    if here in ("Ps", "Pi"):
+        return True
+    return _loose(text[at - 1]) and before not in ("Ps", "Pi") and not _loose(text[at])
+
+
+def _back(text: str, cut: int, low: int, limit: int, overlap: int) -> int:
+    """Where the piece after ``cut`` starts, at ``low`` or later: the natural place nearest to ``overlap`` before the cut.
+
+    White space first, then other marks, behind that place before in front of it, each within half of the overlap; the
+    place itself if there is neither. So no text, with or without spaces, loses more than half of the overlap.
+    """
+    back, half = max(cut - overlap, low), min(overlap, limit - overlap) // 2
+    near = [*range(back, min(back + half, cut - 1) + 1), *range(back - 1, max(back - half, low) - 1, -1)]
+    for at in near:
+        if text[at - 1].isspace() and not text[at].isspace():
+            return at
+    return next((at for at in near if _natural(text, at)), min(back, cut))
+
+
+def pieces(text: str, begin: int, end: int, limit: int, overlap: int, lead: bool = False) -> Iterator[tuple[int, int, bool]]:
+    """Pieces (start, end, forced) that cover text[begin:end], each within ``limit``; forced: no natural cut was possible.
+
+    ``lead``: the first piece shares the overlap with what stands before ``begin``.
+    """
     start = reached = begin
+    if lead and begin:
+        start = _back(text, begin, 1, limit, overlap)
     while end - start > limit:
-        cut, forced = _best(text, max(reached, start + overlap), start + limit) if max(reached, start + overlap) < start + limit else -1, False
-        if cut <= reached and start < reached:  # the overlap leaves no room for a natural cut
-            start = reached
-            if end - start <= limit:
-                break
-            cut = _best(text, start, start + limit)
+        low = max(reached, start + overlap)
+        cut, forced = _best(text, low, start + limit) if low < start + limit else -1, False
+        if cut <= reached and start < reached:  # the overlap leaves no room for a natural cut: as much of it as does
+            after = _first(text, reached, min(reached + limit, end))
+            if after < 0 and end - reached <= limit:
+                after = end
+            if after > 0:
+                low = max(start, after - limit)
+                start = next((at for at in range(max(low, 1), reached) if _natural(text, at)), low)
+                if end - start <= limit:
+                    break
+                cut = _best(text, reached, start + limit)
         elif cut <= reached:
             cut = _best(text, reached, start + limit)
         if cut <= reached:
@@ -64,10 +102,7 @@ def pieces(text: str, begin: int, end: int, limit: int, overlap: int) -> Iterato
         yield (start, cut, forced)
         reached = cut
         # Back by the overlap to a natural place, but never to the start of this piece.
-        back = max(cut - overlap, start + 1)
-        natural = _best(text, back - 1, cut - 1) if cut - back > 1 else -1
-        near = next((m.end() for m in re.compile(r"\s+").finditer(text, back, cut) if m.end() < cut), -1)
-        start = near if near > 0 else natural if natural > 0 else back
+        start = _back(text, cut, start + 1, limit, overlap)
         if end - reached <= 0:
             return
     if reached < end or begin == end or reached == begin:
@@ -89,7 +124,9 @@ def _ranges(limit: int, overlap: int, size: int, halo: int):
             begin, stop = no * size, min((no + 1) * size, total)
             a = 0 if no == 0 else _anchor(text, base, begin, halo, False)[0]
             b, natural = _anchor(text, base, stop, halo, stop == total)
-            for i, (s, e, forced) in enumerate(pieces(text, a - base, b - base, limit, overlap)):
+            if no and a >= b:
+                continue
+            for i, (s, e, forced) in enumerate(pieces(text, a - base, b - base, limit, overlap, no > 0)):
                 yield (uid, k, no, i, s + base, e + base, forced or e + base == b and not natural)
 
     return split
@@ -98,8 +135,9 @@ def _ranges(limit: int, overlap: int, size: int, halo: int):
 def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
     """Pieces of every text: (``key``, uid, piece, start_char, end_char, forced), offsets in code points.
 
-    ``uid`` tells rows apart that share a key. Consecutive pieces share about ``overlap`` characters, but where a range of
-    ``size`` ends, pieces only meet. A text within the limit is one piece, an empty text one empty piece; null texts have
+    ``uid`` tells rows apart that share a key. Consecutive pieces share about ``overlap`` characters, also where a range of
+    ``size`` ends: there a piece may start before a short one that it follows. Less is shared only where a run without
+    white space, punctuation or symbol leaves no room. A text within the limit is one piece, an empty text one empty piece; null texts have
     none. Repeated rows are split again under their own uid. ``forced`` marks a cut inside a run of more than ``limit``
     characters without white space, punctuation or symbol.
     """
@@ -132,7 +170,7 @@ def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: i
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE) -> DataFrame:
     """Pieces of giant UTF-8 files on a shared file system: (path, no, i, start_byte, end_byte, forced).
 
-    A worker reads the bytes of its range and the halos only. Pieces end at byte offsets of whole characters.
+    A worker reads the bytes of its range and the halos only. Neighbours share the overlap as in ``split_texts``. Pieces end at byte offsets of whole characters.
     """
     ranges = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, total long").withColumn(
         "no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("total") - 1) / size).cast("int"))))
@@ -156,12 +194,18 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 return low + skip + len(near[:cut].encode())
 
             a, b = anchor(no * size), anchor(min((no + 1) * size, total))
+            if no and a >= b:
+                continue
+            low = max(0, a - 8 * overlap) if no else a
             with open(path, "rb") as file:
-                file.seek(a)
-                body = file.read(b - a).decode("utf-8", "replace")
-            at, chars = a, 0
-            places = {0: a}
-            cuts = list(pieces(body, 0, len(body), limit, overlap))
+                file.seek(low)
+                before, raw = file.read(a - low), file.read(b - a)
+            skip = next(i for i in range(4) if i >= len(before) or before[i] & 0xC0 != 0x80)
+            head = before[skip:].decode("utf-8", "replace")
+            body = head + raw.decode("utf-8", "replace")
+            at, chars = low + skip, 0
+            places = {0: at}
+            cuts = list(pieces(body, len(head), len(body), limit, overlap, no > 0))
             for p in sorted({x for s, e, _ in cuts for x in (s, e)}):
                 at += len(body[chars:p].encode())
                 chars = p

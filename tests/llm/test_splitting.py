@@ -61,3 +61,23 @@ def test_files_by_byte_ranges(spark, tmp_path):
     assert own[0][2] == 0 and own[-1][3] == len(raw) and len({x[0] for x in own}) > 5
     assert all(len(raw[s:e].decode()) <= 50 for *_, s, e in own)
     assert all(b[2] <= a[3] < b[3] for a, b in zip(own, own[1:]))
+
+
+def test_overlap_without_spaces_and_at_range_bounds(spark, tmp_path):
+    rng = random.Random(8)
+    chars = [chr(c) for c in range(0x4E00, 0x4F00)]
+    wide = "".join("".join(rng.choices(chars, k=rng.choice([4, 9, 30, 70]))) + rng.choice("，。；") for _ in range(400))
+    spaced = "".join(rng.choice(["word ", "another. ", "x\n"]) for _ in range(3000))
+    bare = "".join(rng.choices(chars, k=395)) + "。" + "".join(rng.choices(chars, k=3000))
+    for text in (wide, spaced, bare, "。".join("".join(rng.choices(chars, k=190)) for _ in range(30)), " ".join("".join(rng.choices(chars, k=99)) for _ in range(60))):
+        own = list(S.pieces(text, 0, len(text), 400, 80))
+        assert all(40 <= a[1] - b[0] <= 120 for a, b in zip(own, own[1:]))
+    df = spark.createDataFrame([(1, wide), (2, spaced)], "doc long, body string")
+    for doc in (1, 2):
+        rows = sorted(S.split_texts(df.filter(f"doc = {doc}"), "doc", "body", size=2000).collect(), key=lambda r: (r["no"], r["i"]))
+        assert len({r["no"] for r in rows}) > 4 and all(40 <= a["end_char"] - b["start_char"] <= 120 for a, b in zip(rows, rows[1:]))
+        assert all(r["end_char"] - r["start_char"] <= 400 for r in rows)
+    (tmp_path / "c.txt").write_text(wide)
+    raw = wide.encode()
+    rows = sorted(tuple(r)[1:5] for r in S.split_files(spark, [str(tmp_path / "c.txt")], size=6000).collect())
+    assert len({r[0] for r in rows}) > 3 and all(40 <= len(raw[b[2] : a[3]].decode()) <= 120 for a, b in zip(rows, rows[1:]))
