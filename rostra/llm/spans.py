@@ -129,6 +129,69 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
                 break
 
 
+def _same(x: str, y: str, i: int, j: int, step: int) -> int:
+    """Characters that agree from x[i] and y[j] on, or before them if ``step`` is -1, by slices of doubling and halving length."""
+    room = min(len(x) - i, len(y) - j) if step > 0 else min(i, j)
+    n, size = 0, 32
+    grow = True
+    while size and n < room:
+        m = min(size, room - n)
+        same = x[i + n : i + n + m] == y[j + n : j + n + m] if step > 0 else x[i - n - m : i - n] == y[j - n - m : j - n]
+        if same:
+            n += m
+        else:
+            grow = False
+        size = size * 2 if grow else size // 2
+    return n
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _common(x: str, y: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What of each text lies in spans of ``LEAST`` characters that both have, as (first, last) character."""
+    if len(x) > len(y):
+        return _common(y, x)[::-1]
+    half = LEAST // 2
+    mine, other = [], []
+    reached: dict[int, int] = {}  # for each shift of the texts, where the last span of it ends
+    for i in range(0, len(x) - half + 1, half):
+        part = x[i : i + half]
+        j = y.find(part)
+        while j >= 0:
+            if reached.get(j - i, 0) < i + half:
+                left, right = _same(x, y, i, j, -1), half + _same(x, y, i + half, j + half, 1)
+                reached[j - i] = i + right
+                if left + right >= LEAST:
+                    mine.append((i - left, i + right - 1))
+                    other.append((j - left, j + right - 1))
+            j = y.find(part, j + 1)
+    return _merged(mine), _merged(other)
+
+
+def _spans(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for a, b, x, y in rows:
+        for k, spans in zip((a, b), _common(x, y)):
+            for first, last in spans:
+                yield (k, first, last)
+
+
+def _candidates(single: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of keys whose texts share a window."""
+    over = Window.partitionBy("h")
+    marked = windows(single, "k", "t", False).select("h", "k", F.min("k").over(over).alias("low"), F.max("k").over(over).alias("high"))
+    repeated = checkpointed(marked.filter("low <> high").select("h", "k").distinct())
+    other = repeated.select("h", F.col("k").alias("b"))
+    return checkpointed(repeated.join(other, "h").filter("k < b").select(F.col("k").alias("a"), "b").distinct())
+
+
 def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of records whose texts have at least ``LEAST`` characters in a row in common: (a, b), a < b.
 
@@ -139,11 +202,7 @@ def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     classes = checkpointed(copies(df, key, text))
     texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
     single = texts.join(sized(classes.filter("k <> rep").select("k"), SMALL), "k", "left_anti")
-    over = Window.partitionBy("h")
-    marked = windows(single, "k", "t", False).select("h", "k", F.min("k").over(over).alias("low"), F.max("k").over(over).alias("high"))
-    repeated = checkpointed(marked.filter("low <> high").select("h", "k").distinct())
-    other = repeated.select("h", F.col("k").alias("b"))
-    pairs = checkpointed(repeated.join(other, "h").filter("k < b").select(F.col("k").alias("a"), "b").distinct())
+    pairs = _candidates(single)
     # Only the texts of candidates are moved.
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
     bodies = texts.join(sized(ids, SMALL), "k", "left_semi").dropDuplicates(["k"])
@@ -171,12 +230,25 @@ def found(docs: DataFrame) -> DataFrame:
 def shared_parts(df: DataFrame, key: str, text: str) -> DataFrame:
     """How much of each record stands elsewhere: (``key``, n_chars, spans, shared_chars, share), a row for every key.
 
-    Windows that more than one record has are merged into maximal intervals; those of at least ``LEAST`` characters count.
+    A span is what a record has in a row in common with one other, at least ``LEAST`` characters, to its exact limits; spans
+    with several others that overlap or adjoin are merged. A text that another record has too is one span. Records that
+    share a window are compared exactly, copies by their least key alone.
     """
-    over = Window.partitionBy("h")
-    marked = windows(df, key, text, True).withColumns({"low": F.min("k").over(over), "high": F.max("k").over(over)})
-    hits = marked.filter("low <> high").select("k", F.col("a").cast("long").alias("a"), (F.col("a") + WINDOW - 1).cast("long").alias("b")).distinct()
-    merged = _islands(hits, ["k"]).filter(F.col("b") - F.col("a") + 1 >= LEAST)
+    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
+    digest = F.struct(F.xxhash64("t").alias("x"), F.md5("t").alias("m"))
+    digests = texts.select("k", digest.alias("d"), F.length("t").alias("size"))
+    reps = digests.groupBy("d").agg(F.min("k").alias("rep"), F.max("k").alias("top")).filter("rep < top")
+    classes = checkpointed(digests.join(reps, "d").select("k", "d", "size", "rep").distinct())
+    rest = sized(classes.filter("k <> rep").select("k", "d"), SMALL)
+    single = texts.withColumn("d", digest).join(rest, ["k", "d"], "left_anti").select("k", "t")
+    pairs = _candidates(single)
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    bodies = texts.join(sized(ids, SMALL), "k", "left_semi").distinct()
+    left = bodies.select(F.col("k").alias("a"), F.col("t").alias("x"))
+    right = bodies.select(F.col("k").alias("b"), F.col("t").alias("y"))
+    exact = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _spans, "k long, a long, b long")
+    whole = classes.select("k", F.lit(0).cast("long").alias("a"), (F.col("size") - 1).cast("long").alias("b"))
+    merged = _islands(exact.unionByName(whole).distinct(), ["k"])
     sums = merged.groupBy("k").agg(F.count("*").alias("spans"), F.sum(F.col("b") - F.col("a") + 1).alias("shared_chars"))
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")).filter("k is not null")
     rows = rows.groupBy("k").agg(F.max("n_chars").alias("n_chars"))

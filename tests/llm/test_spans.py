@@ -55,3 +55,23 @@ def test_hashes_depend_on_the_window_alone():
         window = texts[o][p : p + spans.WINDOW]
         assert len(window) == spans.WINDOW and seen.setdefault(window, h) == h
     assert len(set(map(int, hashes))) == len(seen) and isinstance(hashes, np.ndarray)
+
+
+def test_shared_parts_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = [make(rng, 120)[:n] for n in range(196, 216)]
+    # Two parts of 160 characters, each with another partner: together above 200, but no partner shares 200.
+    one, two = make(rng, 80)[:160], make(rng, 80)[:160]
+    texts = {0: make(rng, 20) + one + two + make(rng, 20), 1: "A" + one + "b", 2: "C" + two + "d" + make(rng, 9)}
+    for i in range(3, 60):
+        texts[i] = "".join(make(rng, rng.randint(0, 12)) + "x" * rng.randint(0, 3) + rng.choice(pool) + "y" * rng.randint(0, 3) for _ in range(rng.randint(1, 3)))
+    texts[60] = texts[61] = make(rng, 90)
+    texts |= {62: "k" * 430, 63: "m" + "k" * 350, 64: "", 65: pool[5] + pool[6] + pool[9], 66: texts[60][:300]}
+    want = {}
+    for a, x in texts.items():
+        have = {y[i : i + 200] for b, y in texts.items() if b != a for i in range(len(y) - 199)}
+        in_span = {p for i in range(len(x) - 199) if x[i : i + 200] in have for p in range(i, i + 200)}
+        want[a] = (sum(p - 1 not in in_span for p in in_span), len(in_span))
+    df = spark.createDataFrame([*texts.items(), (5, texts[5]), (70, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["shared_chars"]) for r in spans.shared_parts(df, "doc_id", "text").collect()}
+    assert got == want | {70: (0, 0)} and sum(n > 0 for n, _ in want.values()) > 40
