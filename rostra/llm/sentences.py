@@ -28,12 +28,6 @@ NUMBERED = frozenset(
 )
 # Abbreviations that announce something and never end a sentence.
 OPENING = frozenset("i.e e.g ie eg cf viz vs z d.h e.e h.y т.е т е напр δηλ π.χ π p.ej vgl т.к".split())
-# Abbreviations that may stand inside a sentence or close it.
-NEUTRAL = frozenset(
-    "etc Ltd Co Inc Bt Esq Jr Jun Sen cent lb lbs cwt cwts qr qrs gal gals oz ft yd yds ins bu doz al ibid approx dept govt "
-    "Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec usw bzw ca Mio B d h env Cía Cia Ltda "
-    "г гг руб коп тыс млн др пр κλπ κτλ χ ج".split()
-)
 # Months that follow a day written as an ordinal with a full stop.
 ORDINAL_NEXT = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert".split())
 MONTHS = frozenset("Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec".split())
@@ -55,6 +49,7 @@ _NO_MARKS = re.compile(r"[฀-໿ក-៿]")
 _NO_MARKS_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
 _ARTICLE = re.compile(r"(?:^|\W)(?:le|la|les|l|du|au|ce|un|et|voir|sous|selon|of|in|the|see)\W+$", re.I)
 _SHORT = re.compile(rf"(?<![^\s(\[“\"'])([^\W\d_]{{1,{STAT_LETTERS}}})\.(?:([,;:])|\s+([^\W\d_]+))")
+_STOPPED = re.compile(r"(?<![^\s(\[“\"'])([^\W\d_]++)\.(?:([,;:])|\s+([^\W\d_]+))")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 # Words by which a sentence goes on behind a quotation, in Chinese.
 _WIDE_AFTER = ("随后", "然后", "接着", "于是", "并", "但", "而", "便", "就", "说", "道", "的")
@@ -118,7 +113,7 @@ class Judge:
     def evidence(self) -> dict[str, int]:
         """Types that this document writes with a full stop where a sentence cannot end."""
         if self._seen is None:
-            self._seen = Counter(m[1] for m in _SHORT.finditer(self.text) if m[2] or m[3][0].islower())
+            self._seen = Counter(m[1] for m in _STOPPED.finditer(self.text) if m[2] or m[3][0].islower())
         return self._seen
 
     def bare(self, word: str) -> bool:
@@ -141,6 +136,13 @@ class Judge:
             return False
         tail = token.rpartition("-")[2] if token not in TITLES else token
         digit = nxt.isdigit()
+        if tail.isalpha() and not digit:
+            # What the document shows, of types of any length, then the corpus; the lexicon decides what they leave open.
+            if tail in self.evidence() and not self.bare(tail) and self.proper(word):
+                return False
+            kind = self.corpus.get(tail)
+            if kind and not self.bare(tail) and (kind == "title" or self.proper(word)):
+                return False
         if tail in TITLES or tail in OPENING:
             return False
         if tail == "no" and digit:  # a number in French, an answer in English
@@ -154,16 +156,6 @@ class Judge:
         letters = tail.replace(".", "")
         if len(letters) == 1 and letters.isalpha() and letters.isupper() and "." not in tail:
             return False
-        if tail in NEUTRAL or "." in tail and letters.isalpha() and all(len(x) <= 2 for x in tail.split(".")):
-            return True
-        if len(tail) <= STAT_LETTERS and tail.isalpha() and not digit:
-            kind = self.corpus.get(tail)
-            if tail in self.evidence() and not self.bare(tail):
-                kind = kind or "abbr"
-            if kind == "title" and not self.bare(tail):
-                return False
-            if kind == "abbr" and not self.bare(tail):
-                return not self.proper(word)
         return True
 
 

@@ -33,6 +33,15 @@ def test_document_and_corpus_evidence():
     assert len(sentence_spans("Visc. Oxmere spoke.", {"Visc": "title"})) == 1 and len(sentence_spans("Visc. Oxmere spoke.", {})) == 2
 
 
+def test_document_comes_before_the_lexicon():
+    shown = "We met Smith Ltd. of Ox and saw Harris. They of Smith Ltd. Harris came."
+    assert [shown[a:b] for a, b in sentence_spans(shown, {})] == ["We met Smith Ltd. of Ox and saw Harris.", "They of Smith Ltd. Harris came."]
+    assert len(sentence_spans("They of Smith Ltd. Harris came.", {})) == 2 and len(sentence_spans("They of Smith Ltd. Harris came.", {"Ltd": "title"})) == 1
+    long = "The Commiss. of Ox saw Oxmere. The Commiss. Oxmere spoke."
+    assert len(sentence_spans(long, {})) == 2
+    assert len(sentence_spans("The hon. members rose. The hon. Member spoke.", {"hon": "abbr"})) == 2
+
+
 def test_spans_cover_all_text():
     text = " \n ".join(t for t, _ in CASES) + "\r\n\f“unclosed (. x"
     spans = sentence_spans(text, {})
