@@ -93,3 +93,8 @@ def bands(df: DataFrame, group: Sequence[str], score: str, key: str, size: int,
     once = every.withColumn("_n", F.row_number().over(Window.partitionBy(*group, key).orderBy(turn))).filter("_n = 1").drop("_n")
     pick = F.row_number().over(Window.partitionBy(*group, "band").orderBy("draw", key))
     return once.withColumn("_pick", pick).filter((F.col("band") != "mid") | (F.col("_pick") <= size)).drop("_pick", "draw")
+
+
+def verification(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """Up to ``size`` keys for a check by hand, drawn without replacement: each once, null none."""
+    return df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(draw_order(key, seed), key).limit(size)

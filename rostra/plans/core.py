@@ -332,6 +332,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         """WITH o AS (SELECT speech_id, CAST(avg(mentions_topic::INT) >= 0.5 AS INT) AS label FROM extraction WHERE mentions_topic IS NOT NULL GROUP BY 1), f AS (SELECT speech_id, max(seed_present::INT) AS flag FROM meta GROUP BY 1),
         j AS (SELECT label, flag FROM o JOIN f USING (speech_id) WHERE flag IS NOT NULL) SELECT round(sum(flag * label) / sum(flag), 6) AS precision, round(sum(flag * label) / sum(label), 6) AS recall FROM j""",
     ),
+    "smp8_verification": (lambda s, d: strata.verification(table(s, d, "enriched"), "speech_id", 50, SEED_EVAL), f"SELECT speech_id FROM (SELECT DISTINCT speech_id FROM enriched WHERE speech_id IS NOT NULL) ORDER BY {_draw(SEED_EVAL)} LIMIT 50"),
     "met9_rank_agreement": (lambda s, d: metrics.rank_agreement(_models_as_rankings(s, d), "vec_id", "model", "score", 100), _RANKINGS),
     "met10_length_bias": (
         lambda s, d: metrics.length_bias(scores(s, d).join(table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 97).alias("words")), "vec_id"), ["query_id"], "score", "words"),

@@ -19,6 +19,13 @@ def test_draw_is_stable(spark):
     assert sorted(one) == sorted(two) and len(one) == 21
 
 
+def test_verification_draws_each_key_once(spark):
+    df = spark.createDataFrame([(i % 30,) for i in range(90)] + [(None,)], "k int")
+    one = [r["k"] for r in strata.verification(df, "k", 12, 1).collect()]
+    assert len({*one}) == 12 and None not in one and one == [r["k"] for r in strata.verification(df.repartition(7), "k", 12, 1).collect()]
+    assert strata.verification(df, "k", 100, 1).count() == 30 and one != [r["k"] for r in strata.verification(df, "k", 12, 2).collect()]
+
+
 def test_alpha_by_hand(spark):
     rows = [(1, True), (1, True), (2, True), (2, False), (3, False), (3, None)]
     got = metrics.krippendorff(spark.createDataFrame(rows, "u int, v boolean"), ["u"], "v").first()
