@@ -29,6 +29,17 @@ UNION ALL
 SELECT DISTINCT speech_id, 'no_boundary' FROM enriched WHERE regexp_matches(speech_text, '[^\\s\\pZ\\pP\\pS]{401}')
 """
 
+# Every window of 200 characters of every document, each once for a document.
+_P10_WINDOWS = """w AS (SELECT doc_id, s, substr(text, s + 1, 200) AS g FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM documents WHERE length(text) >= 200)),
+twice AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1)"""
+P10_SQL = f"""WITH {_P10_WINDOWS}, m AS (SELECT DISTINCT g, doc_id FROM w WHERE g IN (SELECT g FROM twice))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.g = b.g AND a.doc_id < b.doc_id"""
+P10_SHARED_SQL = f"""WITH {_P10_WINDOWS}, s AS (SELECT DISTINCT doc_id, s FROM w WHERE g IN (SELECT g FROM twice)),
+o AS (SELECT *, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step FROM s),
+p AS (SELECT doc_id, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) AS spans, sum(CASE WHEN step <= 200 THEN step ELSE 200 END) AS chars FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(spans, 0)::INT AS spans, coalesce(chars, 0)::BIGINT AS shared_chars,
+  round(CASE WHEN length(text) > 0 THEN coalesce(chars, 0) / length(text) ELSE 0 END, 4) AS share FROM documents d LEFT JOIN p USING (doc_id)"""
+
 
 def _p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(table(spark, d, "enriched"), "speech_id", "speech_text", F.col("text_origin") == "scan").drop("uid").distinct()
@@ -49,6 +60,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p8_packing": (lambda s, d: packing.pack(table(s, d, "documents"), "doc_id", "text"), None),
     "p9_found": (lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")), None),
     "p9_leaks": (lambda s, d: leaks.leaks(table(s, d, "documents"), "doc_id", "text", table(s, d, "eval_items"), "item_id", "text"), None),
-    "p10_found": (lambda s, d: spans.found(table(s, d, "documents")), None),
-    "p10_shared": (lambda s, d: spans.shared_parts(table(s, d, "documents"), "doc_id", "text"), None),
+    "p10_found": (lambda s, d: spans.found(table(s, d, "documents")), P10_SQL),
+    "p10_shared": (lambda s, d: spans.shared_parts(table(s, d, "documents"), "doc_id", "text"), P10_SHARED_SQL),
+    "p10_classes": (lambda s, d: spans.classes(table(s, d, "documents"), "doc_id", "text"), None),
 }

@@ -1,225 +1,237 @@
-"""Long spans that stand verbatim in more than one record, by Rabin-Karp hashes of fixed-length windows.
-
-A window of ``WINDOW`` characters starts at every token. Where tokens start depends on the ``REACH`` characters before
-alone, and no stretch of ``REACH`` characters is without a start; so two records that share ``WINDOW + 2 * REACH + 2``
-characters, wherever they stand, share a window. Spark counts the windows; repeated ones are all that is looked at again.
+"""Long spans that stand verbatim in more than one record, by Rabin-Karp hashes of fixed-length windows of tokens.
+
+A token is a character, as in the byte-level scheme of the project, so that "at least ``LEAST``, exactly as written" is a
+window of ``LEAST`` tokens that two records share. Hashes of every such window would outweigh the corpus; so a first pass
+hashes the window behind every *anchor*. An anchor has the least hash of ``GRAM`` characters within some stretch of
+``STRETCH`` neighbours, so any ``LEAST`` characters that two records share hold a common anchor and the whole window
+behind it: what has no repeated anchor window is in no shared span, and what has one is hashed at every place. Spark
+counts both kinds of windows with partial aggregates. Repeated windows merge into maximal intervals; the set of records of
+a window is its class. Hashes of the second pass have 96 bits over randomised characters and are taken for the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.operators.intervals import _islands
 from rostra.runtime import checkpointed, map_rows, sized, struct
 
-LEAST, WINDOW, REACH = 200, 150, 24
-#: Copies of one text that are paired with each other; more are paired with the least of them alone.
-COPIES = 64
-#: Rows of ids up to which a side of a join is sent to all tasks, some tens of MB.
-SMALL = 1_000_000
-#: Characters whose hashes are worked out at a time.
+LEAST, GRAM, STRETCH = 200, 8, 48
+WINDOW = LEAST - STRETCH + 1
+#: Rows of ids up to which the texts of candidates are picked by a broadcast, some MB; by a shuffle beyond.
+SMALL = 500_000
+#: Characters whose hashes are worked out at a time; longer texts go through in parts that overlap by a window.
 BLOCK = 1 << 20
+#: Members of a class that are paired with each other in one task.
+MEMBERS = 1024
+
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """A random number for each code point, so that no two texts collide for how their characters are numbered."""
+    return _mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
+@lru_cache(2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2 ** 64, as long as a block."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        line = np.full(BLOCK + 1, b, dtype=np.uint64)
+        line[0] = 1
+        out.append(np.multiply.accumulate(line))
+    return out[0], out[1]
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
+def _sums(letters: np.ndarray, base: int) -> np.ndarray:
+    sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+    np.cumsum(letters * _powers(base)[0][: len(letters)], out=sums[1:])
+    return sums
 
-def _kinds() -> np.ndarray:
-    """For each code point 1 if it belongs to a word, 2 if it is a token of its own, as in scripts without spaces."""
-    kinds = np.zeros(0x110000, dtype=np.uint8)
-    kinds[[c for c in range(0x30000) if chr(c).isalnum()]] = 1
-    for a, b in ((0x0E00, 0x0EFF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)):
-        kinds[a : b + 1] = 2
-    return kinds
 
+def rolled(sums: np.ndarray, base: int, at: np.ndarray, size: int) -> np.ndarray:
+    """Rabin-Karp hashes of the windows of ``size`` at some places, from running sums."""
+    return _mixed((sums[at + size] - sums[at]) * _powers(base)[1][at])
 
-def window_hashes(texts: list[str], kinds: np.ndarray, up: np.ndarray, down: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of some texts: (number of the text, start in it, hash)."""
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+def _extreme(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """Least or greatest value of every ``size`` neighbours, by windows that double."""
+    out, width = x, 1
+    while width * 2 <= size:
+        out = of(out[:-width], out[width:])
+        width *= 2
+    return of(out[: len(x) - size + 1], out[size - width : size - width + len(x) - size + 1]) if width < size else out
+
+
+def anchors(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows behind the anchors of some texts of at most a block in all: (number of the text, start in it, hash)."""
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(codes)
+    none = np.empty(0, dtype=np.int64)
+    if n < LEAST:
+        return none, none, none.astype(np.uint64)
+    sums = _sums(_letters()[codes], _BASES[0])
+    grams = np.full(n, _LAST)
+    grams[: n - GRAM + 1] = rolled(sums, _BASES[0], np.arange(n - GRAM + 1), GRAM)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(n) - (ends - lengths)[owner]
-    kind = kinds[codes]
-    before = np.empty(n, dtype=np.uint8)
-    before[1:] = kind[:-1]
-    before[place == 0] = 0
-    start = (kind == 2) | (kind == 1) & (before != 1)
-    last = np.maximum.accumulate(np.where(start | (place == 0), np.arange(n), 0))
-    at = np.flatnonzero((start | (np.arange(n) - last >= reach)) & (ends[owner] - np.arange(n) >= window))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = (sums[at + window] - sums[at]) * down[at]
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    # 56 bits: the zero byte that is left compresses away, and what collides is told apart by its text.
-    hashes ^= hashes >> np.uint64(32)
-    hashes >>= np.uint64(8)
-    return owner[at], place[at], hashes
-
-
-def windows(df: DataFrame, key: str, text: str, places: bool) -> DataFrame:
-    """Hashes of the windows of every text: (h, k) and, if asked for, the start ``a``."""
-    schema = struct("h long, k long, a int" if places else "h long, k long")
+    # What runs over the end of a text is no gram of it.
+    for back in range(1, GRAM):
+        grams[np.maximum(ends - back, 0)] = _LAST
+    least = _extreme(grams, STRETCH, np.minimum)
+    low = np.zeros(n + STRETCH - 1, dtype=np.uint64)
+    low[STRETCH - 1 : STRETCH - 1 + len(least)] = least
+    at = np.flatnonzero((grams == _extreme(low, STRETCH, np.maximum)) & (grams != _LAST))
+    owner = np.searchsorted(ends, at, side="right")
+    fits = ends[owner] - at >= WINDOW
+    at, owner = at[fits], owner[fits]
+    return owner, at - (ends - lengths)[owner], rolled(sums, _BASES[0], at, WINDOW)
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Texts in blocks, as numbers, offsets and parts; parts of a long text overlap by a window."""
+    numbers, offsets, parts, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - LEAST + 1), BLOCK - LEAST + 1):
+            part = t[at : at + BLOCK] if len(t) > BLOCK else t
+            if len(part) < LEAST:
+                continue
+            if size + len(part) > BLOCK:
+                yield numbers, offsets, parts
+                numbers, offsets, parts, size = [], [], [], 0
+            numbers.append(i)
+            offsets.append(at)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield numbers, offsets, parts
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """Anchor windows of texts (k, t): (h, k, a, b), neighbours of one hash as one row from place a to b."""
+    schema = struct("h long, k long, a int, b int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for numbers, offsets, parts in _parts(batch.column(1).to_pylist()):
+                owner, place, hashes = anchors(parts)
+                if not len(owner):
+                    continue
+                opens = np.ones(len(owner), dtype=bool)
+                opens[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                first = np.flatnonzero(opens)
+                place = place + np.asarray(offsets)[owner]
+                last = place[np.append(first[1:], len(owner)) - 1]
+                cols = (hashes[first].view(np.int64), keys[np.asarray(numbers)[owner[first]]].astype(np.int64), place[first].astype(np.int32), last.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
+
+    return texts.select("k", "t").mapInArrow(run, schema)
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """Keys that have one text each, and the same: (k, rep), rep the least of them. Their windows are worked out once."""
+    digest = F.struct(F.xxhash64("t").alias("x"), F.unhex(F.md5("t")).alias("m"))
+    one = texts.select("k", digest.alias("d")).groupBy("k").agg(F.min("d").alias("d"), F.max("d").alias("e")).filter("d = e").select("k", "d")
+    reps = one.groupBy("d").agg(F.min("k").alias("rep"), F.max("k").alias("top")).filter("rep < top").select("d", "rep")
+    return one.join(reps, "d").select("k", "rep")
+
+
+def _every(rows: Iterator[tuple], places: bool) -> Iterator[pa.RecordBatch]:
+    """Hashes of all windows of ``LEAST`` in the marked regions of each record's texts: (h, g, k, many, s)."""
+    for k, many, texts, spans in rows:
+        spans = np.array([(s["a"], s["b"]) for s in spans])
+        found = []
+        for _, offsets, parts in _parts(texts):
+            for offset, part in zip(offsets, parts):
+                codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                if not (room := len(codes) - LEAST + 1) > 0:
+                    continue
+                marked = np.zeros(len(codes) + 1, dtype=np.int32)
+                a, b = np.clip(spans[:, 0] - STRETCH + 1 - offset, 0, room), np.clip(spans[:, 1] + 1 - offset, 0, room)
+                np.add.at(marked, a, 1)
+                np.add.at(marked, b, -1)
+                at = np.flatnonzero(np.cumsum(marked)[:room] > 0)
+                letters = _letters()[codes]
+                h, g = (rolled(_sums(letters, base), base, at, LEAST) for base in _BASES)
+                found.append((h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), at + offset))
+        if not found:
+            continue
+        h, g, s = (np.concatenate(x) for x in zip(*found))
+        if not places:
+            _, once = np.unique(h, return_index=True)
+            h, g, s = h[once], g[once], s[once]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(np.full(len(h), k)), pa.array(np.full(len(h), many)), pa.array(s.astype(np.int32))], names=["h", "g", "k", "many", "s"])
+
+
+def repeated(texts: DataFrame, same: DataFrame, places: bool) -> DataFrame:
+    """Windows of ``LEAST`` in what may be shared: (h, g, k, many, s); ``many``: other records have this text as a whole."""
+    found = windows(texts)
+    twice = found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h")
+    marks = windows(texts).join(twice, "h").select("k", "a", "b").join(same.filter("k <> rep").select("k"), "k", "left_anti")
+    marks = marks.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    regions = checkpointed(marks.join(same.filter("k = rep").select("k", F.lit(True).alias("many")), "k", "left"))
+    # Only the texts of candidates are moved.
+    bodies = texts.join(sized(regions.select("k"), SMALL), "k", "left_semi").groupBy("k").agg(F.collect_set("t").alias("texts"))
+    rows = bodies.join(regions, "k").select("k", F.coalesce("many", F.lit(False)).alias("many"), "texts", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = up = down = None
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
-                    size += len(texts[end])
-                    end += 1
-                if size >= WINDOW:
-                    if kinds is None:
-                        kinds = _kinds()
-                    if up is None or len(up) < size:
-                        up, down = _powers(_BASE, max(size, BLOCK)), _powers(_INVERSE, max(size, BLOCK))
-                    owner, place, hashes = window_hashes(texts[at:end], kinds, up, down)
-                    if len(owner):
-                        cols = [pa.array(hashes.view(np.int64)), pa.array(keys[at:end][owner].astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(cols + [pa.array(place.astype(np.int32))] * places, names=schema.names)
-                at = end
-
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null").mapInArrow(run, schema)
-
-
-def copies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Classes of equal texts of at least ``LEAST`` characters: (k, rep), rep the least key of the class."""
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
-    digests = rows.select("k", F.struct(F.xxhash64("t").alias("x"), F.md5("t").alias("m")).alias("d"))
-    reps = digests.groupBy("d").agg(F.min("k").alias("rep"), F.max("k").alias("top")).filter("rep < top")
-    return digests.join(reps, "d").select("k", "rep").distinct()
-
-
-def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for a, b, x, y in rows:
-        if len(x) > len(y):
-            x, y = y, x
-        # Every LEAST-th place of the shorter text, grown both ways, meets a span of LEAST characters with half of it.
-        half = LEAST // 2
-        hit = False
-        for i in range(0, len(x) - half + 1, half):
-            part = x[i : i + half]
-            j = y.find(part)
-            while j >= 0 and not hit:
-                left = right = 0
-                while i - left > 0 and j - left > 0 and left < LEAST and x[i - left - 1] == y[j - left - 1]:
-                    left += 1
-                while i + half + right < len(x) and j + half + right < len(y) and right < LEAST and x[i + half + right] == y[j + half + right]:
-                    right += 1
-                hit = left + half + right >= LEAST
-                j = y.find(part, j + 1)
-            if hit:
-                yield (a, b)
-                break
-
-
-def _same(x: str, y: str, i: int, j: int, step: int) -> int:
-    """Characters that agree from x[i] and y[j] on, or before them if ``step`` is -1, by slices of doubling and halving length."""
-    room = min(len(x) - i, len(y) - j) if step > 0 else min(i, j)
-    n, size = 0, 32
-    grow = True
-    while size and n < room:
-        m = min(size, room - n)
-        same = x[i + n : i + n + m] == y[j + n : j + n + m] if step > 0 else x[i - n - m : i - n] == y[j - n - m : j - n]
-        if same:
-            n += m
-        else:
-            grow = False
-        size = size * 2 if grow else size // 2
-    return n
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _common(x: str, y: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """What of each text lies in spans of ``LEAST`` characters that both have, as (first, last) character."""
-    if len(x) > len(y):
-        return _common(y, x)[::-1]
-    half = LEAST // 2
-    mine, other = [], []
-    reached: dict[int, int] = {}  # for each shift of the texts, where the last span of it ends
-    for i in range(0, len(x) - half + 1, half):
-        part = x[i : i + half]
-        j = y.find(part)
-        while j >= 0:
-            if reached.get(j - i, 0) < i + half:
-                left, right = _same(x, y, i, j, -1), half + _same(x, y, i + half, j + half, 1)
-                reached[j - i] = i + right
-                if left + right >= LEAST:
-                    mine.append((i - left, i + right - 1))
-                    other.append((j - left, j + right - 1))
-            j = y.find(part, j + 1)
-    return _merged(mine), _merged(other)
-
-
-def _spans(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for a, b, x, y in rows:
-        for k, spans in zip((a, b), _common(x, y)):
-            for first, last in spans:
-                yield (k, first, last)
-
-
-def _candidates(single: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of keys whose texts share a window."""
-    over = Window.partitionBy("h")
-    marked = windows(single, "k", "t", False).select("h", "k", F.min("k").over(over).alias("low"), F.max("k").over(over).alias("high"))
-    repeated = checkpointed(marked.filter("low <> high").select("h", "k").distinct())
-    other = repeated.select("h", F.col("k").alias("b"))
-    return checkpointed(repeated.join(other, "h").filter("k < b").select(F.col("k").alias("a"), "b").distinct())
+            yield from _every(zip(*(c.to_pylist() for c in batch.columns)), places)
+
+    return rows.mapInArrow(run, struct("h long, g int, k long, many boolean, s int"))
+
+
+def shared_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Classes of records that share ``LEAST`` characters in a row: (h, g, k), a row for each member of a class.
+
+    A class is the set of records that hold some window, told by the hash (h, g) of one of its windows; each set comes once.
+    Any two members share a span, and any two records that share one are in some class together, so the classes are all
+    links in the size of their memberships, however many records hold a span. Records with equal texts are members alike.
+    """
+    texts = _texts(df, key, text)
+    same = checkpointed(copies(texts))
+    rows = repeated(texts, same, False)
+    sets = rows.groupBy("h", "g").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"), F.bool_or("many").alias("many")
+    ).filter("n > 1 or many")
+    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g")
+    held = rows.join(first, ["h", "g"]).select("h", "g", F.col("k").alias("rep"))
+    return held.join(same, "rep", "left").select("h", "g", F.coalesce("k", "rep").alias("k"))
 
 
 def shared_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of records whose texts have at least ``LEAST`` characters in a row in common: (a, b), a < b.
+    """Pairs of records whose texts have at least ``LEAST`` characters in a row in common: (a, b), a < b, all of them.
 
-    Copies of one text are found by their digest and stand for each other: a class of up to ``COPIES`` is written out in
-    full, a larger one as pairs with its least key. Null keys and texts, and texts below ``LEAST``, are in no pair; repeated
-    rows change nothing; other columns are ignored; an empty table gives an empty one.
+    The pairs of a class are written by blocks of its members, so that no class is one task; where classes are too large
+    for pairs, `shared_classes` says the same. Null keys and texts, and texts below ``LEAST``, are in no pair; repeated rows
+    change nothing; texts under one key count together; other columns are ignored; an empty table gives an empty one.
     """
-    classes = checkpointed(copies(df, key, text))
-    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
-    single = texts.join(sized(classes.filter("k <> rep").select("k"), SMALL), "k", "left_anti")
-    pairs = _candidates(single)
-    # Only the texts of candidates are moved.
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    bodies = texts.join(sized(ids, SMALL), "k", "left_semi").dropDuplicates(["k"])
-    left = bodies.select(F.col("k").alias("a"), F.col("t").alias("x"))
-    right = bodies.select(F.col("k").alias("b"), F.col("t").alias("y"))
-    checked = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _verify, "a long, b long")
-    # Classes of copies: members stand for the least one, all of them while the class is small.
-    classed = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")), "rep")
-    members = classed.filter((F.col("n") <= COPIES) | (F.col("k") == F.col("rep"))).select("rep", "k")
-    of = lambda c, name: (F.coalesce(F.col(f"{c}m.k"), F.col(f"p.{c}"))).alias(name)
-    spread = (
-        checked.alias("p").join(members.alias("am"), F.col("am.rep") == F.col("p.a"), "left").join(members.alias("bm"), F.col("bm.rep") == F.col("p.b"), "left").select(of("a", "a"), of("b", "b"))
-    )
-    within = members.alias("m").join(members.alias("n"), "rep").filter("m.k < n.k").select(F.col("m.k").alias("a"), F.col("n.k").alias("b"))
-    star = classed.filter((F.col("n") > COPIES) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    every = spread.unionByName(within).unionByName(star)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    members = checkpointed(shared_classes(df, key, text))
+    sizes = members.groupBy("h", "g").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    placed = members.join(sizes, ["h", "g"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    left = placed.select("h", "g", F.col("k").alias("a"), F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"))
+    right = placed.select("h", "g", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"))
+    pairs = left.join(right, ["h", "g", "low", "high"]).filter("low < high or a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -227,32 +239,37 @@ def found(docs: DataFrame) -> DataFrame:
     return shared_pairs(docs, "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
 
+def classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Membership in shared spans: (class_id, ``key``, members), a row for each record of each class of `shared_classes`."""
+    members = checkpointed(shared_classes(df, key, text))
+    sizes = members.groupBy("h", "g").agg(F.count("*").alias("members"))
+    return members.join(sizes, ["h", "g"]).select(F.format_string("%016x%08x", "h", "g").alias("class_id"), F.col("k").alias(key), "members")
+
+
+def _runs(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for k, starts in rows:
+        s = np.unique(np.asarray(starts, dtype=np.int64))
+        cuts = np.flatnonzero(np.diff(s) > LEAST)
+        first, last = s[np.append(0, cuts + 1)], s[np.append(cuts, len(s) - 1)]
+        yield (k, len(first), int((last + LEAST - first).sum()))
+
+
 def shared_parts(df: DataFrame, key: str, text: str) -> DataFrame:
     """How much of each record stands elsewhere: (``key``, n_chars, spans, shared_chars, share), a row for every key.
 
-    A span is what a record has in a row in common with one other, at least ``LEAST`` characters, to its exact limits; spans
-    with several others that overlap or adjoin are merged. A text that another record has too is one span. Records that
-    share a window are compared exactly, copies by their least key alone.
+    Repeated windows of ``LEAST`` characters that overlap or adjoin merge into maximal intervals, so shared_chars counts the
+    characters that lie in some span of ``LEAST`` which some other record has too. Nulls count as empty texts.
     """
-    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null").filter(F.length("t") >= LEAST)
-    digest = F.struct(F.xxhash64("t").alias("x"), F.md5("t").alias("m"))
-    digests = texts.select("k", digest.alias("d"), F.length("t").alias("size"))
-    reps = digests.groupBy("d").agg(F.min("k").alias("rep"), F.max("k").alias("top")).filter("rep < top")
-    classes = checkpointed(digests.join(reps, "d").select("k", "d", "size", "rep").distinct())
-    rest = sized(classes.filter("k <> rep").select("k", "d"), SMALL)
-    single = texts.withColumn("d", digest).join(rest, ["k", "d"], "left_anti").select("k", "t")
-    pairs = _candidates(single)
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    bodies = texts.join(sized(ids, SMALL), "k", "left_semi").distinct()
-    left = bodies.select(F.col("k").alias("a"), F.col("t").alias("x"))
-    right = bodies.select(F.col("k").alias("b"), F.col("t").alias("y"))
-    exact = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _spans, "k long, a long, b long")
-    whole = classes.select("k", F.lit(0).cast("long").alias("a"), (F.col("size") - 1).cast("long").alias("b"))
-    merged = _islands(exact.unionByName(whole).distinct(), ["k"])
-    sums = merged.groupBy("k").agg(F.count("*").alias("spans"), F.sum(F.col("b") - F.col("a") + 1).alias("shared_chars"))
+    texts = _texts(df, key, text)
+    same = checkpointed(copies(texts))
+    rows = repeated(texts, same, True)
+    twice = rows.groupBy("h", "g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.bool_or("many").alias("many")).filter("lo < hi or many").select("h", "g")
+    starts = rows.join(twice, ["h", "g"]).groupBy("k").agg(F.collect_list("s").alias("starts"))
+    runs = map_rows(starts, _runs, "rep long, spans int, shared_chars long")
+    sums = runs.join(same, "rep", "left").select(F.coalesce("k", "rep").alias("k"), "spans", "shared_chars")
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")).filter("k is not null")
     rows = rows.groupBy("k").agg(F.max("n_chars").alias("n_chars"))
     out = rows.join(sums, "k", "left").select(
-        F.col("k").alias(key), "n_chars", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars")
+        F.col("k").alias(key), "n_chars", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("shared_chars", F.lit(0)).cast("long").alias("shared_chars")
     )
     return out.withColumn("share", F.round(F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0), 4))

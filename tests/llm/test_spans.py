@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -26,35 +27,76 @@ def test_pairs_against_brute_force(spark, clash):
         texts[i] = body
     texts[200] = texts[201] = texts[202] = make(rng, 100)
     texts[203] = texts[204] = ""
+    texts[205] = texts[200][:250] + "!"
     rows = [*texts.items(), (300, None), (None, texts[200]), (5, texts[5])]
     want = {(a, b) for a in texts for b in texts if a < b and share(texts[a], texts[b], 200)}
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in spans.found(df).collect()} == want and len(want) > 20
     assert spans.found(df.limit(0)).count() == 0
+    held = {}
+    for r in spans.classes(df, "doc_id", "text").collect():
+        held.setdefault(r["class_id"], []).append((r["doc_id"], r["members"]))
+    assert all(len(m) == n == len({k for k, _ in m}) for m in held.values() for _, n in m)
+    assert {(a, b) for m in held.values() for a, _ in m for b, _ in m if a < b} == want
     parts = {r["doc_id"]: r for r in spans.shared_parts(df, "doc_id", "text").collect()}
-    assert parts[200]["share"] > 0.9 and parts[203]["shared_chars"] == 0 and set(parts) == {*texts, 300}
+    assert parts[200]["share"] == 1.0 and parts[203]["shared_chars"] == 0 and set(parts) == {*texts, 300}
     assert all(parts[a]["shared_chars"] <= parts[a]["n_chars"] for a in parts)
 
 
-def test_many_copies_become_a_star(spark):
+def test_large_classes_keep_every_link(spark, monkeypatch):
     rng = random.Random(8)
-    same = make(rng, 120)
-    rows = [(i, same) for i in range(100)]
-    got = {tuple(r) for r in spans.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(0, i) for i in range(1, 100)}
+    monkeypatch.setattr(spans, "MEMBERS", 16)
+    same, other = make(rng, 120), make(rng, 120)
+    # A hundred copies of one text, a partial sharer, and a header over texts that differ.
+    rows = [(i, same) for i in range(100)] + [(100, other + same[:300])] + [(200 + i, same[100:400] + make(rng, 40)) for i in range(60)]
+    texts = dict(rows)
+    want = {(a, b) for a in texts for b in texts if a < b and share(texts[a], texts[b], 200)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in spans.found(df).collect()} == want and len(want) > 12_000
+    assert spans.classes(df, "doc_id", "text").count() < 10 * len(rows)
+
+
+def test_a_common_header_is_fast(spark):
+    rng = random.Random(3)
+    head = make(rng, 200)[:300]
+    df = spark.createDataFrame([(i, head + make(rng, 30)) for i in range(2000)], "doc_id long, text string")
+    began = time.time()
+    assert spans.found(df).count() == 2000 * 1999 // 2 and time.time() - began < 60
+
+
+def test_parts_of_long_texts_overlap(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(spans, "BLOCK", 1000)
+    spans._powers.cache_clear()
+    text = make(rng, 3000)
+    for size in (1, 700, 1000, 1001, 1799, 1800, 4000):
+        seen = {p + o for n, offs, parts in spans._parts([text[:size]]) for o, part in zip(offs, parts) for p in range(len(part) - 199)}
+        assert seen == set(range(size - 199 if size >= 200 else 0))
+    piece = text[900:1130]
+    owner, place, _ = spans.anchors([text[:1000]])
+    assert len(owner) and place.max() + spans.WINDOW <= 1000
+    spans._powers.cache_clear()
+    assert len(piece) == 230
 
 
 def test_hashes_depend_on_the_window_alone():
     rng = random.Random(9)
-    kinds, up, down = spans._kinds(), spans._powers(spans._BASE, 5000), spans._powers(spans._INVERSE, 5000)
     core = make(rng, 90)[:400]
-    texts = ["abc " + core, "other words before it " + core, ""]
-    owner, place, hashes = spans.window_hashes(texts, kinds, up, down)
+    texts = ["abc " + core, "other words before it " + core, "", "tail " + core[100:310]]
+    owner, place, hashes = spans.anchors(texts)
     seen = {}
     for o, p, h in zip(owner, place, hashes):
         window = texts[o][p : p + spans.WINDOW]
         assert len(window) == spans.WINDOW and seen.setdefault(window, h) == h
     assert len(set(map(int, hashes))) == len(seen) and isinstance(hashes, np.ndarray)
+    # Whatever stands around them, the shared characters keep an anchor in common, within a stretch of their start.
+    for size in (200, 201, 230):
+        for at in (0, 57, 133):
+            piece = core[at : at + size]
+            sides = [make(rng, 20) + piece + make(rng, 20), "" + piece, make(rng, 3) + piece]
+            owner, place, hashes = spans.anchors(sides)
+            common = set.intersection(*({int(h) for o, h in zip(owner, hashes) if o == i} for i in range(3)))
+            assert common
 
 
 def test_shared_parts_against_brute_force(spark):
