@@ -12,7 +12,6 @@ a window is its class. Hashes of the second pass have 96 bits over randomised ch
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,32 +39,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """A random number for each code point, so that no two texts collide for how their characters are numbered."""
-    return _mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class Roll:
+    """Rabin-Karp hashes modulo 2 ** 64 over texts of at most a block; built once for a task."""
 
+    def __init__(self, block: int):
+        # A random number for each code point, so that no two texts collide for how their characters are numbered.
+        self.letters = _mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.powers = [[self._powers(b, block) for b in (base, pow(base, -1, 1 << 64))] for base in _BASES]
 
-@lru_cache(2)
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2 ** 64, as long as a block."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        line = np.full(BLOCK + 1, b, dtype=np.uint64)
+    @staticmethod
+    def _powers(base: int, block: int) -> np.ndarray:
+        line = np.full(block + 1, base, dtype=np.uint64)
         line[0] = 1
-        out.append(np.multiply.accumulate(line))
-    return out[0], out[1]
+        return np.multiply.accumulate(line)
 
+    def sums(self, codes: np.ndarray, base: int) -> np.ndarray:
+        """Running sums of the characters, each times its power of a base."""
+        out = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(self.letters[codes] * self.powers[base][0][: len(codes)], out=out[1:])
+        return out
 
-def _sums(letters: np.ndarray, base: int) -> np.ndarray:
-    sums = np.zeros(len(letters) + 1, dtype=np.uint64)
-    np.cumsum(letters * _powers(base)[0][: len(letters)], out=sums[1:])
-    return sums
-
-
-def rolled(sums: np.ndarray, base: int, at: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hashes of the windows of ``size`` at some places, from running sums."""
-    return _mixed((sums[at + size] - sums[at]) * _powers(base)[1][at])
+    def hashes(self, sums: np.ndarray, base: int, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the windows of ``size`` at some places: a sum that is rolled on by two look-ups."""
+        return _mixed((sums[at + size] - sums[at]) * self.powers[base][1][at])
 
 
 def _extreme(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
@@ -77,7 +73,7 @@ def _extreme(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
     return of(out[: len(x) - size + 1], out[size - width : size - width + len(x) - size + 1]) if width < size else out
 
 
-def anchors(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(parts: list[str], roll: Roll) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows behind the anchors of some texts of at most a block in all: (number of the text, start in it, hash)."""
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -85,9 +81,9 @@ def anchors(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, dtype=np.int64)
     if n < LEAST:
         return none, none, none.astype(np.uint64)
-    sums = _sums(_letters()[codes], _BASES[0])
+    sums = roll.sums(codes, 0)
     grams = np.full(n, _LAST)
-    grams[: n - GRAM + 1] = rolled(sums, _BASES[0], np.arange(n - GRAM + 1), GRAM)
+    grams[: n - GRAM + 1] = roll.hashes(sums, 0, np.arange(n - GRAM + 1), GRAM)
     ends = np.cumsum(lengths)
     # What runs over the end of a text is no gram of it.
     for back in range(1, GRAM):
@@ -99,7 +95,7 @@ def anchors(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.searchsorted(ends, at, side="right")
     fits = ends[owner] - at >= WINDOW
     at, owner = at[fits], owner[fits]
-    return owner, at - (ends - lengths)[owner], rolled(sums, _BASES[0], at, WINDOW)
+    return owner, at - (ends - lengths)[owner], roll.hashes(sums, 0, at, WINDOW)
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -126,10 +122,11 @@ def windows(texts: DataFrame) -> DataFrame:
     schema = struct("h long, k long, a int, b int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = Roll(BLOCK)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for numbers, offsets, parts in _parts(batch.column(1).to_pylist()):
-                owner, place, hashes = anchors(parts)
+                owner, place, hashes = anchors(parts, roll)
                 if not len(owner):
                     continue
                 opens = np.ones(len(owner), dtype=bool)
@@ -155,7 +152,7 @@ def copies(texts: DataFrame) -> DataFrame:
     return one.join(reps, "d").select("k", "rep")
 
 
-def _every(rows: Iterator[tuple], places: bool) -> Iterator[pa.RecordBatch]:
+def _every(rows: Iterator[tuple], roll: Roll, places: bool) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows of ``LEAST`` in the marked regions of each record's texts: (h, g, k, many, s)."""
     for k, many, texts, spans in rows:
         spans = np.array([(s["a"], s["b"]) for s in spans])
@@ -170,8 +167,7 @@ def _every(rows: Iterator[tuple], places: bool) -> Iterator[pa.RecordBatch]:
                 np.add.at(marked, a, 1)
                 np.add.at(marked, b, -1)
                 at = np.flatnonzero(np.cumsum(marked)[:room] > 0)
-                letters = _letters()[codes]
-                h, g = (rolled(_sums(letters, base), base, at, LEAST) for base in _BASES)
+                h, g = (roll.hashes(roll.sums(codes, base), base, at, LEAST) for base in (0, 1))
                 found.append((h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), at + offset))
         if not found:
             continue
@@ -194,8 +190,9 @@ def repeated(texts: DataFrame, same: DataFrame, places: bool) -> DataFrame:
     rows = bodies.join(regions, "k").select("k", F.coalesce("many", F.lit(False)).alias("many"), "texts", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = Roll(BLOCK)
         for batch in batches:
-            yield from _every(zip(*(c.to_pylist() for c in batch.columns)), places)
+            yield from _every(zip(*(c.to_pylist() for c in batch.columns)), roll, places)
 
     return rows.mapInArrow(run, struct("h long, g int, k long, many boolean, s int"))
 
