@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.runtime import map_rows, small_rows
+from rostra.runtime import checkpointed, map_rows
 
 # Abbreviations that stand before a name and never end a sentence.
 TITLES = frozenset(
@@ -35,9 +35,10 @@ CLOSERS = "\"'”’»)\\]」』）】〕〉》›"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", '"': '"', "‘": "’", "'": "'", "‹": "›"}
 BRACKETS = frozenset("([（【")
 CLOSED_WIDE = "」』）】》"
-#: Longest type in letters whose statistics the corpus keeps. It bounds the table that every task gets: words of so many letters of one alphabet.
-STAT_LETTERS = 4
-STAT_ROWS = 1_500_000
+#: Facts of the corpus about a word, as bits: an abbreviation; an abbreviation before names; a word of the lower case.
+ABBR, TITLE, LOWER = 1, 2, 4
+#: Facts up to which every task gets all; beyond, each document gets those of its own words by a join, with one result.
+FACTS = 1_000_000
 
 _LINES = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _SITE = re.compile(rf"[.!?…]+(?:[{CLOSERS}]+|[\s]+[»›])*(?=\s|$|[぀-ヿ㐀-鿿])|[。！？｡]+[{CLOSERS}]*|[।॥؟۔։።፧။།]+[{CLOSERS}]*|[;;][{CLOSERS}]*(?=\s|$)")
@@ -48,8 +49,8 @@ _BRACKET = re.compile("[" + re.escape("".join(_OPENS) + "".join(_OPENS.values())
 _NO_MARKS = re.compile(r"[฀-໿ក-៿]")
 _NO_MARKS_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
 _ARTICLE = re.compile(r"(?:^|\W)(?:le|la|les|l|du|au|ce|un|et|voir|sous|selon|of|in|the|see)\W+$", re.I)
-_SHORT = re.compile(rf"(?<![^\s(\[“\"'])([^\W\d_]{{1,{STAT_LETTERS}}})\.(?:([,;:])|\s+([^\W\d_]+))")
 _STOPPED = re.compile(r"(?<![^\s(\[“\"'])([^\W\d_]++)\.(?:([,;:])|\s+([^\W\d_]+))")
+_WORD = re.compile(r"([^\W\d_]++)(\.?)(?=(\s*)(\S?))")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 # Words by which a sentence goes on behind a quotation, in Chinese.
 _WIDE_AFTER = ("随后", "然后", "接着", "于是", "并", "但", "而", "便", "就", "说", "道", "的")
@@ -103,32 +104,40 @@ def _spans(line: str) -> list[tuple[int, int]]:
 
 
 class Judge:
-    """Decides full stops of one document; ``corpus`` maps a short type to 'title' or 'abbr'."""
+    """Decides full stops of one document; ``corpus`` has the facts of words, as bits."""
 
-    def __init__(self, text: str, corpus: dict[str, str]):
-        self.text, self.corpus, self._seen, self._lower = text, corpus, None, None
-        self._bare: dict[str, bool] = {}
-        self._inside: dict[str, bool] = {}
+    def __init__(self, text: str, corpus: Mapping[str, int]):
+        self.text, self.corpus, self._words = text, corpus, None
 
-    def evidence(self) -> dict[str, int]:
-        """Types that this document writes with a full stop where a sentence cannot end."""
-        if self._seen is None:
-            self._seen = Counter(m[1] for m in _STOPPED.finditer(self.text) if m[2] or m[3][0].islower())
-        return self._seen
-
-    def bare(self, word: str) -> bool:
-        """Does the document write the word without a full stop?"""
-        if word not in self._bare:
-            self._bare[word] = re.search(rf"(?<!\w){re.escape(word)}(?![\w.])", self.text) is not None
-        return self._bare[word]
+    def words(self) -> tuple[set[str], set[str], set[str], set[str], set[str]]:
+        """What the document shows without doubt, from one pass over it: words written with a full stop where no sentence
+        can end; words without one; those not even before a name or number; words in lower case; words inside a sentence."""
+        if self._words is None:
+            stopped, bare, plain, lower, inside = set(), set(), set(), set(), set()
+            for m in _WORD.finditer(self.text):
+                word, dot, gap, after = m.groups()
+                if dot:
+                    if after and (after in ",;:" and not gap or gap and after.islower()):
+                        stopped.add(word)
+                else:
+                    bare.add(word)
+                    if not (gap and (after.isupper() or after.isdigit())):
+                        plain.add(word)
+                if word[0].islower():
+                    lower.add(word)
+                elif (at := m.start()) > 1 and self.text[at - 1] == " " and ((c := self.text[at - 2]).islower() or c in ",;"):
+                    inside.add(word)
+            self._words = stopped, bare, plain, lower, inside
+        return self._words
 
     def proper(self, word: str) -> bool:
         """Is a capitalised word a name here: written so inside a sentence, and nowhere in lower case?"""
-        if self._lower is None:
-            self._lower = {*re.findall(r"[^\W\d_]+", self.text)}
-        if word not in self._inside:
-            self._inside[word] = word.lower() not in self._lower and re.search(rf"[a-z,;] {re.escape(word)}\b", self.text) is not None
-        return self._inside[word]
+        *_, lower, inside = self.words()
+        return word in inside and word.lower() not in lower
+
+    def opens(self, word: str) -> bool:
+        """Is a capitalised word one of the lower case, here or in the corpus, so that a sentence opens with it?"""
+        return not word or not word[0].isupper() or word.lower() in self.words()[3] or bool(self.corpus.get(word.lower(), 0) & LOWER)
 
     def ends(self, token: str, nxt: str, word: str, lead: str) -> bool:
         """Does a full stop after ``token`` end a sentence, if ``nxt`` is the first character of what follows, ``word`` its first word, and ``lead`` stands before the token?"""
@@ -138,10 +147,14 @@ class Judge:
         digit = nxt.isdigit()
         if tail.isalpha() and not digit:
             # What the document shows, of types of any length, then the corpus; the lexicon decides what they leave open.
-            if tail in self.evidence() and not self.bare(tail) and self.proper(word):
+            stopped, bare, plain, *_ = self.words()
+            # One in capitals may stand before a name that the text has once; "etc." ends sentences as well.
+            if tail in stopped and tail not in bare and (self.proper(word) or tail[0].isupper() and not self.opens(word)):
                 return False
-            kind = self.corpus.get(tail)
-            if kind and not self.bare(tail) and (kind == "title" or self.proper(word)):
+            if len(tail) > 1 and tail in plain and tail not in stopped:
+                return True
+            fact = self.corpus.get(tail, 0)
+            if fact and tail not in bare and (fact & TITLE or fact & ABBR and self.proper(word)):
                 return False
         if tail in TITLES or tail in OPENING:
             return False
@@ -159,7 +172,7 @@ class Judge:
         return True
 
 
-def sentence_spans(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
+def sentence_spans(text: str, corpus: Mapping[str, int]) -> list[tuple[int, int]]:
     """Sentences of a text as (start, end) in code points, without outer white space."""
     out: list[tuple[int, int]] = []
     judge = Judge(text, corpus)
@@ -242,34 +255,56 @@ def sentence_spans(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
 
 
 def _statistics(rows: Iterator[tuple]) -> Iterator[tuple]:
-    texts = [t for (t,) in rows if t]
-    words = Counter(w for t in texts for w in t.split())
-    lower = {w.strip(",;:()“”\"'") for w in words if w[:1].islower()}
-    found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for t in texts:
-        for m in _SHORT.finditer(t):
-            n = found[m[1]]
+    """Partial counts of a batch: (word, next, n, low, bare, lower, upper), ``next`` what stands in capitals after a full stop."""
+    stops: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    words: Counter = Counter()
+    for (t,) in rows:
+        words.update(t.split())
+        for m in _STOPPED.finditer(t):
+            after = m[3] or ""
+            low = bool(m[2]) or after[0].islower()
+            n = stops[m[1], "" if low or not after[0].isupper() else after.lower()]
             n[0] += 1
-            if m[2] or m[3][0].islower():
-                n[1] += 1
-            elif m[3][0].isupper() and m[3].lower() not in lower:
-                n[2] += 1
-    for w, n in found.items():
-        yield (w, n[0], n[1], n[2], words.get(w, 0) + words.get(w + ",", 0))
+            n[1] += low
+    forms: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for w, n in words.items():
+        core = w.strip(",;:()“”\"'.!?")
+        if core.isalpha():
+            forms[core.lower()][1 if core[0].islower() else 2] += n
+            if w in (core, core + ","):
+                forms[core][0] += n
+    for (w, after), (n, low) in stops.items():
+        yield (w, after, n, low, 0, 0, 0)
+    for w, n in forms.items():
+        yield (w, None, 0, 0, *n)
 
 
-def corpus_types(texts: DataFrame, text: str) -> dict[str, str]:
-    """Short types that the whole corpus shows to be abbreviations: 'title' before names, else 'abbr'.
+def corpus_facts(texts: DataFrame, text: str) -> DataFrame:
+    """What the whole corpus shows of words: (word, facts).
 
-    Every batch counts its types; Spark sums the counts. The result has at most the words of ``STAT_LETTERS`` letters.
+    Every batch counts, Spark sums, so that no layout of the rows changes a fact: an abbreviation stands with a full stop
+    where no sentence can end, and hardly ever without one; one before names is followed by words that hardly ever are in
+    lower case; a word of the lower case is written so in a fifth of its places.
     """
-    sums = map_rows(texts.select(text), _statistics, "type string, n long, low long, name long, bare long")
-    sums = sums.groupBy("type").agg(*(F.sum(c).alias(c) for c in ("n", "low", "name", "bare")))
-    rare = F.col("bare") * 20 <= F.col("n")
-    kind = F.when((F.col("n") >= 5) & rare & (F.col("low") * 5 >= F.col("n")), "abbr").when(
-        (F.col("n") >= 5) & rare & (F.col("name") * 10 >= F.col("n") * 9) & (F.initcap("type") == F.col("type")) & (F.length("type") > 1), "title"
-    )
-    return {r["type"]: r["kind"] for r in small_rows(sums.select("type", kind.alias("kind")).filter("kind is not null"), STAT_ROWS, "abbreviations")}
+    counts = map_rows(texts.select(F.col(text)).filter(F.length(text) > 0), _statistics, "word string, next string, n long, low long, bare long, lower long, upper long")
+    sums = checkpointed(counts.groupBy("word", "next").agg(*(F.sum(c).alias(c) for c in ("n", "low", "bare", "lower", "upper"))))
+    forms = sums.filter("next is null").select("word", "bare", "lower", "upper")
+    cases = forms.select(F.col("word").alias("next"), (F.col("lower") * 20 <= F.col("lower") + F.col("upper")).alias("name"))
+    stops = sums.filter("next is not null").join(cases, "next", "left")
+    types = stops.groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum(F.when((F.col("next") != "") & F.coalesce("name", F.lit(True)), F.col("n")).otherwise(0)).alias("names"))
+    both = types.filter("n >= 5").join(forms, "word", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    stopped = (zero("n") >= 5) & (zero("bare") * 20 <= F.col("n"))
+    abbr = stopped & (F.col("low") * 5 >= F.col("n"))
+    title = stopped & (F.col("names") * 10 >= F.col("n") * 9) & (F.initcap("word") == F.col("word")) & (F.length("word") > 1)
+    lower = (zero("lower") >= 3) & (F.col("lower") * 5 >= F.col("lower") + F.col("upper"))
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    return both.select("word", (bit(abbr, ABBR) + bit(title, TITLE) + bit(lower, LOWER)).alias("facts")).filter("facts > 0")
+
+
+def _asked(text: str) -> set[str]:
+    """Words of a text that a judge may look up."""
+    return {w for m in _STOPPED.finditer(text) for w in (m[1], (m[3] or "").lower())} | {w.rpartition("-")[2] for w in re.findall(r"\S+(?=\.)", text)} | {w.lower() for w in re.findall(r"[^\W\d_]+", text)}
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -277,15 +312,36 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A row without text, or with nothing but white space, has no sentence; repeated rows give their sentences once; two
     texts under one key give the sentences of both. A null key is kept as a key. Other columns are ignored, whatever
-    their names. An empty table gives an empty one.
+    their names. An empty table gives an empty one. The facts of the corpus are counted when this is called.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    known = corpus_types(rows, "t")
+    kind = df.schema[key].dataType.simpleString()
+    facts = checkpointed(corpus_facts(rows, "t"))
+    known = {r["word"]: r["facts"] for r in facts.limit(FACTS + 1).toLocalIterator()} if facts.limit(FACTS + 1).count() <= FACTS else None
+    if known is not None:
+        shared = df.sparkSession.sparkContext.broadcast(known)
 
-    def split(batch: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t in batch:
-            for a, b in sentence_spans(t, known):
-                yield (k, a, b)
+        def split(batch: Iterator[tuple]) -> Iterator[tuple]:
+            for k, t in batch:
+                for a, b in sentence_spans(t, shared.value):
+                    yield (k, a, b)
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_rows(rows, split, f"k {kind}, start_char int, end_char int").distinct().withColumnRenamed("k", key)
+        out = map_rows(rows, split, f"k {kind}, start_char int, end_char int")
+    else:
+
+        def ask(batch: Iterator[tuple]) -> Iterator[tuple]:
+            for t, d in batch:
+                for w in _asked(t):
+                    yield (d, w)
+
+        def split_own(batch: Iterator[tuple]) -> Iterator[tuple]:
+            for k, t, own in batch:
+                for a, b in sentence_spans(t, dict(own or ())):
+                    yield (k, a, b)
+
+        digest = F.concat(F.hex(F.xxhash64("t")), F.md5("t"))
+        marked = rows.withColumn("d", digest)
+        asked = map_rows(marked.select("t", "d"), ask, "d string, word string").distinct()
+        own = asked.join(facts, "word").groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("word", "facts"))).alias("own"))
+        out = map_rows(marked.join(own, "d", "left").select("k", "t", "own"), split_own, f"k {kind}, start_char int, end_char int")
+    return out.distinct().withColumnRenamed("k", key)

@@ -1,6 +1,7 @@
 import pytest
 
-from rostra.llm.sentences import sentence_spans, sentences
+from rostra.llm import sentences as module
+from rostra.llm.sentences import ABBR, TITLE, corpus_facts, sentence_spans, sentences
 
 CASES = [
     ("The rate stood at 3.1 per cent. of it. B. N. Oxton of St. Wex's spoke.", ["The rate stood at 3.1 per cent. of it.", "B. N. Oxton of St. Wex's spoke."]),
@@ -30,16 +31,49 @@ def test_cases(text, want):
 def test_document_and_corpus_evidence():
     text = "The Bgt. of Ox came. The Bgt. Oxmere spoke to Oxmere."
     assert len(sentence_spans(text, {})) == 2
-    assert len(sentence_spans("Visc. Oxmere spoke.", {"Visc": "title"})) == 1 and len(sentence_spans("Visc. Oxmere spoke.", {})) == 2
+    assert len(sentence_spans("Visc. Oxmere spoke.", {"Visc": TITLE})) == 1 and len(sentence_spans("Visc. Oxmere spoke.", {})) == 2
 
 
 def test_document_comes_before_the_lexicon():
     shown = "We met Smith Ltd. of Ox and saw Harris. They of Smith Ltd. Harris came."
     assert [shown[a:b] for a, b in sentence_spans(shown, {})] == ["We met Smith Ltd. of Ox and saw Harris.", "They of Smith Ltd. Harris came."]
-    assert len(sentence_spans("They of Smith Ltd. Harris came.", {})) == 2 and len(sentence_spans("They of Smith Ltd. Harris came.", {"Ltd": "title"})) == 1
+    assert len(sentence_spans("They of Smith Ltd. Harris came.", {})) == 2 and len(sentence_spans("They of Smith Ltd. Harris came.", {"Ltd": TITLE})) == 1
     long = "The Commiss. of Ox saw Oxmere. The Commiss. Oxmere spoke."
     assert len(sentence_spans(long, {})) == 2
-    assert len(sentence_spans("The hon. members rose. The hon. Member spoke.", {"hon": "abbr"})) == 2
+    assert len(sentence_spans("The hon. members rose. The hon. Member spoke.", {"hon": ABBR})) == 2
+
+
+def test_a_word_that_the_document_writes_bare():
+    gen = "Our Gen, too. I like Gen. Then we left."
+    assert [gen[a:b] for a, b in sentence_spans(gen, {})] == ["Our Gen, too.", "I like Gen.", "Then we left."]
+    assert len(sentence_spans("We saw Gen. Smith. He met Gen Jones.", {})) == 2
+    battn = "We met the Battn. in May, the Battn. of 1812 too. Then Battn. Smith led it."
+    assert [battn[a:b] for a, b in sentence_spans(battn, {})] == ["We met the Battn. in May, the Battn. of 1812 too.", "Then Battn. Smith led it."]
+
+
+def test_layout_changes_nothing(spark):
+    texts = [f"They saw Visct. Ox{i} here. The court of Visct. Al{i % 7} rose, and the Battn. of ox{i} too." for i in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "speech_id long, body string")
+    layouts = [rows.coalesce(1), rows.repartition(2), rows.repartition(7)]
+    found = [sorted(map(tuple, sentences(x, "speech_id", "body").collect())) for x in layouts]
+    facts = [sorted(map(tuple, corpus_facts(x, "body").collect())) for x in layouts]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found.append(sorted(map(tuple, sentences(rows, "speech_id", "body").collect())))
+        facts.append(sorted(map(tuple, corpus_facts(rows, "body").collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert all(x == found[0] for x in found) and all(x == facts[0] for x in facts)
+    assert len(found[0]) == 160 and any(w == "Visct" for w, _ in facts[0])
+
+
+def test_facts_by_a_join(spark, monkeypatch):
+    texts = [t for t, _ in CASES] + ["The Bgt. of Ox came. The Bgt. Oxmere spoke to Oxmere."] + [f"Visc. Ox{i} spoke to Al." for i in range(9)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "speech_id long, body string")
+    want = sorted(map(tuple, sentences(rows, "speech_id", "body").collect()))
+    monkeypatch.setattr(module, "FACTS", 0)
+    assert sorted(map(tuple, sentences(rows, "speech_id", "body").collect())) == want
 
 
 def test_spans_cover_all_text():
