@@ -1,8 +1,8 @@
 """Consensus of several annotators by spectral reliability.
 
 The chance-centred agreement of two annotators is the product of their reliabilities, so the leading eigenvector of the
-agreement matrix, fitted with every pair weighed by its overlap, gives the reliabilities. The power iteration runs as
-sparse joins and windows over the votes: no pair of annotators is ever written out.
+agreement matrix gives the reliabilities. The votes are paired once, item by item, into the sums and overlaps of annotator
+pairs; the power iteration then runs as sparse joins over that table alone, however many votes there are.
 """
 
 from __future__ import annotations
@@ -12,32 +12,70 @@ from pyspark.sql import functions as F
 
 from rostra.runtime import checkpointed
 
-ROUNDS = 8
+#: Rounds of the power iteration in one job, the most of them in all, and the change of the vector at which it has converged.
+ROUNDS, MOST, CHANGE = 6, 300, 1e-5
+#: Common items that the present fit counts for in a pair, so that a chance overlap of a few says little.
+HOLD = 10.0
 #: Rates of an annotator stay within these, so that no annotator decides an item alone.
 FLOOR = 0.03
 
 
-def reliability(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def agreement_pairs(votes: DataFrame, stats: DataFrame) -> DataFrame:
+    """The chance-centred agreement matrix, both halves and an empty diagonal: (a, b, c, n), c the sum of products over the
+    n common items.
+
+    An item has one vote of each annotator, so its pairs are at most those of the matrix; sums are partial on the map side.
+    """
+    x = votes.join(stats, "annotator").select("item", "annotator", (F.col("value") - F.col("rate")).alias("x"))
+    y = x.select("item", F.col("annotator").alias("b"), F.col("x").alias("y"))
+    half = x.withColumnRenamed("annotator", "a").join(y, "item").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c"), F.count("*").alias("n"))
+    half = checkpointed(half)
+    diagonal = stats.select(F.col("annotator").alias("a"), F.col("annotator").alias("b"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
+    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "n")).unionByName(diagonal)
+
+
+def _step(pairs: DataFrame, vector: DataFrame) -> DataFrame:
+    """One power step on vector (a, v, size, was), v of length 1 and size the eigenvalue.
+
+    A pair's entry is its agreement over its overlap, held by the fit ``size * v_a * v_b``; where nobody overlaps, as on the
+    diagonal, the entry is the fit itself. All fits together give ``size * v_a``, so only pairs that overlap are joined.
+    """
+    u = F.col("v")
+    sums = pairs.join(vector.withColumnRenamed("a", "b"), "b").groupBy("a").agg(
+        F.sum(F.col("c") / (F.col("n") + HOLD) * u).alias("seen"), F.sum(F.col("n") / (F.col("n") + HOLD) * u * u).alias("part"),
+        F.max(F.when(F.col("a") == F.col("b"), u)).alias("was"), F.max("size").alias("size"),
+    )
+    y = F.col("seen") + F.col("size") * F.col("was") * (1 - F.col("part"))
+    # The vector has a row for each annotator.
+    norm = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy()))
+    out = sums.select("a", "was", y.alias("y")).withColumn("size", norm)
+    return out.select("a", F.when(F.col("size") > 0, F.col("y") / F.col("size")).otherwise(0.0).alias("v"), "size", "was")
+
+
+def reliability(votes: DataFrame) -> DataFrame:
     """Reliability of annotators from votes (item, annotator, value in [0, 1]): (annotator, alpha, rate, n).
 
-    ``alpha`` is proportional to sensitivity + specificity - 1: about 0 for one who guesses or always says the same,
-    below 0 for one who is mostly wrong. ``rate`` is the share of positive votes, ``n`` the number of items.
+    ``alpha``, the eigenvector scaled by the root of its eigenvalue, is proportional to sensitivity + specificity - 1: about
+    0 for one who guesses or always says the same, below 0 for one who is mostly wrong. ``rate`` is the share of positive
+    votes, ``n`` the number of items. A power iteration that does not converge is an error.
     """
-    stats = votes.groupBy("annotator").agg(F.avg("value").alias("rate"), F.count("*").alias("n"))
-    centred = checkpointed(votes.join(stats, "annotator").select("item", "annotator", (F.col("value") - F.col("rate")).alias("x")))
-    weights = checkpointed(stats.select("annotator", F.lit(0.3).alias("w")))
-    item = Window.partitionBy("item")
-    for _ in range(rounds):
-        seen = centred.join(weights, "annotator").withColumns({"s": F.sum(F.col("x") * F.col("w")).over(item), "q": F.sum(F.col("w") * F.col("w")).over(item)})
-        step = seen.groupBy("annotator").agg(
-            F.sum(F.col("x") * (F.col("s") - F.col("x") * F.col("w"))).alias("up"), F.sum(F.col("q") - F.col("w") * F.col("w")).alias("down"), F.first("w").alias("w")
-        )
-        fitted = F.when(F.col("down") > 1e-9, F.col("up") / F.col("down")).otherwise(0.0)
-        # Half of each step is kept: the alternating fit of a product would else swing about its scale.
-        weights = checkpointed(step.select("annotator", ((F.col("w") + fitted) / 2).alias("w")))
+    stats = checkpointed(votes.groupBy("annotator").agg(F.avg("value").alias("rate"), F.count("*").alias("n")))
+    pairs = agreement_pairs(votes, stats.select("annotator", "rate"))
+    count = stats.count()
+    vector = stats.select(F.col("annotator").alias("a"), F.lit(count**-0.5 if count else 0.0).alias("v"), F.lit(0.09 * count).alias("size"), F.lit(0.0).alias("was"))
+    for _ in range(0, MOST, ROUNDS):
+        for _ in range(ROUNDS):
+            vector = _step(pairs, vector)
+        vector = checkpointed(vector)
+        change = vector.agg(F.max(F.abs(F.col("v") - F.col("was")))).first()[0]
+        if not change or change < CHANGE:
+            break
+    else:
+        raise ArithmeticError(f"no eigenvector after {MOST} rounds")
     # An eigenvector has no sign of its own: most votes are taken to be honest.
-    sign = weights.join(stats, "annotator").agg(F.when(F.sum(F.col("w") * F.col("n")) < 0, -1.0).otherwise(1.0).alias("sign"))
-    return weights.crossJoin(F.broadcast(sign)).join(stats, "annotator").select("annotator", (F.col("w") * F.col("sign")).alias("alpha"), "rate", "n")
+    fitted = vector.select(F.col("a").alias("annotator"), (F.col("v") * F.sqrt("size")).alias("w")).join(stats, "annotator")
+    sign = fitted.agg(F.when(F.sum(F.col("w") * F.col("n")) < 0, -1.0).otherwise(1.0).alias("sign"))
+    return fitted.crossJoin(F.broadcast(sign)).select("annotator", (F.col("w") * F.col("sign")).alias("alpha"), "rate", "n")
 
 
 def _scored(votes: DataFrame, annotators: DataFrame, share: float) -> DataFrame:
@@ -53,12 +91,12 @@ def _scored(votes: DataFrame, annotators: DataFrame, share: float) -> DataFrame:
     return out.select("item", p.alias("p"), F.when(F.col("size") > 0, F.abs(F.col("score")) / F.col("size")).otherwise(0.0).alias("agreement"))
 
 
-def consensus(votes: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Consensus of votes (item, annotator, value): items (item, p, agreement, label) and annotators (see `reliability`).
 
     ``p`` is the posterior of a positive label, ``agreement`` the share by which the weighed votes lean to one side.
     """
-    annotators = checkpointed(reliability(votes, rounds))
+    annotators = checkpointed(reliability(votes))
     share = 0.5
     for _ in range(3):
         mean = _scored(votes, annotators, share).agg(F.avg("p")).first()[0]
@@ -96,7 +134,7 @@ def theme_votes(one: DataFrame, positive: DataFrame) -> DataFrame:
     return votes.select(F.struct("item", "theme").alias("item"), "annotator", (F.coalesce("named", F.lit(0)) / F.col("asked")).alias("value"))
 
 
-def topic_consensus(extraction: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def topic_consensus(extraction: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Consensus of topic and themes: labels (speech_id, label, p, agreement), topic annotators and theme annotators.
 
     Null verdicts are no votes; a speech without any vote has no label. Theme labels are trimmed and in lower case.
@@ -104,11 +142,11 @@ def topic_consensus(extraction: DataFrame, rounds: int = ROUNDS) -> tuple[DataFr
     """
     one = checkpointed(calls(extraction))
     votes = checkpointed(verdict_votes(one))
-    topics, annotators = consensus(votes, rounds)
+    topics, annotators = consensus(votes)
     topics = checkpointed(topics)
     positive = topics.filter("label").select("item")
     on_themes = checkpointed(theme_votes(one, positive))
-    themes, theme_annotators = consensus(on_themes, rounds)
+    themes, theme_annotators = consensus(on_themes)
     label = lambda name: [name.alias("label"), "p", "agreement"]
     labels = topics.filter("label").select(F.col("item").alias("speech_id"), *label(F.lit("mentions_topic")))
     labels = labels.unionByName(themes.filter("label").select(F.col("item.item").alias("speech_id"), *label(F.col("item.theme"))))

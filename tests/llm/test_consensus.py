@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from rostra.llm import consensus
 
 DDL = "call_id long, speech_id long, model_id string, mentions_topic boolean, subthemes array<string>, ts double, rep int"
@@ -26,7 +28,7 @@ def test_consensus_and_worth(spark, clash):
     hot = [(10_000 + i, 7, "coin", True, ["e"], 1.0, i) for i in range(300)]
     odd = [(20_000, 1, "good0", None, None, 1.0, 0), (20_001, None, "good0", True, ["a"], 1.0, 0), (20_002, 2, None, True, ["a"], 1.0, 0)]
     df = clash(spark.createDataFrame(rows + rows[:60] + late + hot + odd, DDL))
-    labels, annotators, _ = consensus.topic_consensus(df, rounds=6)
+    labels, annotators, _ = consensus.topic_consensus(df)
     got = {(r["speech_id"], r["label"]) for r in labels.collect()}
     topics = {s for s, (yes, _) in truth.items() if yes}
     found = {s for s, label in got if label == "mentions_topic"}
@@ -38,6 +40,35 @@ def test_consensus_and_worth(spark, clash):
     assert all(abs(alpha[m]) < 0.15 for m in ("coin", "always", "never"))
 
 
+def test_the_vector_is_the_eigenvector(spark):
+    rng = np.random.default_rng(4)
+    worth, truth = np.array([0.9, 0.8, 0.6, 0.4, 0.0, -0.5]), rng.random(4000) < 0.35
+    rows = []
+    for i, t in enumerate(truth):
+        for a, w in enumerate(worth):
+            if rng.random() < 0.2 + 0.1 * a:
+                rows.append((i, f"m{a}", float(t if rng.random() < (1 + w) / 2 else not t)))
+    df = spark.createDataFrame(rows, "item int, annotator string, value double")
+    got = {r["annotator"]: r["alpha"] for r in consensus.reliability(df).collect()}
+    # The same matrix in memory: pairs over their overlap, held by the fit, by the library's eigenvector.
+    table = np.full((len(truth), len(worth)), np.nan)
+    for i, a, v in rows:
+        table[i, int(a[1])] = v
+    x = table - np.nanmean(table, axis=0)
+    seen = ~np.isnan(x)
+    c, n = np.nan_to_num(x).T @ np.nan_to_num(x), seen.T.astype(float) @ seen
+    np.fill_diagonal(c, 0)
+    np.fill_diagonal(n, 0)
+    w = np.full(len(worth), 0.3)
+    for _ in range(500):
+        values, vectors = np.linalg.eigh((c + consensus.HOLD * np.outer(w, w)) / (n + consensus.HOLD))
+        w = vectors[:, -1] * values[-1] ** 0.5
+    w *= np.sign(w[0])
+    assert all(abs(got[f"m{a}"] - w[a]) < 1e-3 for a in range(len(worth)))
+    scale = (0.35 * 0.65) ** 0.5
+    assert all(abs(got[f"m{a}"] - scale * worth[a]) < 0.06 for a in range(len(worth)))
+
+
 def test_empty(spark):
     assert consensus.found(spark.createDataFrame([], DDL)).count() == 0
     one = spark.createDataFrame([(1, 1, "m", True, ["a"], 1.0, 0)], DDL)
