@@ -7,19 +7,22 @@ summed over the boundary table, number the pieces. So a text of any length is ne
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostra.runtime import map_rows
+from rostra.runtime import map_rows, struct
 
 LIMIT, OVERLAP = 400, 80
 #: Code points of a range of a text, and bytes of a range of a file.
 RANGE, FILE_RANGE = 1 << 16, 1 << 22
+#: Ranges up to which a text is cut by the task that reads it, and tasks for the ranges of files at most.
+NEAR, TASKS = 8, 10_000
 
 # Where a cut may fall, best first; each pattern ends at the cut.
 _CUTS = [re.compile(p) for p in (r"\n\s*\n\s*", r"\n\s*", r"[.!?…。！？।؟]+[\"'”’»)\]」』）]*(?:\s+|(?<=[。！？।」』]))", r"[;:,，、；：]\s*", r"\s+")]
@@ -118,18 +121,64 @@ def _anchor(text: str, base: int, at: int, halo: int, last: bool) -> tuple[int,
     return (base + low + cut, True) if cut > 0 else (at, False)
 
 
-def _ranges(limit: int, overlap: int, size: int, halo: int):
-    def split(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for uid, k, no, total, base, text in rows:
-            begin, stop = no * size, min((no + 1) * size, total)
-            a = 0 if no == 0 else _anchor(text, base, begin, halo, False)[0]
-            b, natural = _anchor(text, base, stop, halo, stop == total)
-            if no and a >= b:
-                continue
-            for i, (s, e, forced) in enumerate(pieces(text, a - base, b - base, limit, overlap, no > 0)):
-                yield (uid, k, no, i, s + base, e + base, forced or e + base == b and not natural)
+def _cut(base: int, text: str, no: int, total: int, limit: int, overlap: int, size: int) -> list[tuple[int, int, bool]]:
+    """Pieces of range ``no`` of a text, told by the slice of it that starts at ``base`` and holds the range and its halos."""
+    begin, stop = no * size, min((no + 1) * size, total)
+    a = 0 if no == 0 else _anchor(text, base, begin, limit, False)[0]
+    b, natural = _anchor(text, base, stop, limit, stop == total)
+    if no and a >= b:
+        return []
+    cuts = pieces(text, a - base, b - base, limit, overlap, no > 0)
+    return [(s + base, e + base, forced or e + base == b and not natural) for s, e, forced in cuts]
+
+
+def _slice(no: int, total: int, limit: int, size: int) -> tuple[int, int]:
+    """Where the slice of a range starts and ends, halos included."""
+    return max(0, no * size - 2 * limit), min(total, (no + 1) * size + 2 * limit)
+
 
-    return split
+def split_ranges(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
+    """The boundary table: (``key``, uid, no, bounds), a row for each range with the pieces that begin in it.
+
+    Texts of a few ranges are cut where they are read. Of longer ones the task that reads them only writes slices, walking
+    through the text once, and the slices are cut by all tasks.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    kind = df.schema[key].dataType.simpleString()
+    bounds = "bounds array<struct<s:int,e:int,forced:boolean>>"
+    few = F.length("t") <= NEAR * size
+    named = lambda cuts: [{"s": s, "e": e, "forced": f} for s, e, f in cuts]
+
+    def here(batch: Iterator[tuple]) -> Iterator[tuple]:
+        for uid, k, t in batch:
+            for no in range(max(1, -(-len(t) // size))):
+                low, high = _slice(no, len(t), limit, size)
+                yield (uid, k, no, named(_cut(low, t[low:high], no, len(t), limit, overlap, size)))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = batch.column(2)[i].as_py()
+                for no in range(-(-len(t) // size)):
+                    low, high = _slice(no, len(t), limit, size)
+                    cols = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([no], pa.int32()), pa.array([len(t)], pa.int32()), pa.array([t[low:high]])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["uid", "k", "no", "total", "slice"])
+
+    def there(batch: Iterator[tuple]) -> Iterator[tuple]:
+        for uid, k, no, total, t in batch:
+            yield (uid, k, no, named(_cut(_slice(no, total, limit, size)[0], t, no, total, limit, overlap, size)))
+
+    near = map_rows(rows.filter(few), here, f"uid long, k {kind}, no int, {bounds}")
+    far = rows.filter(~few).mapInArrow(slices, struct(f"uid long, k {kind}, no int, total int, slice string")).repartition("uid", "no")
+    return near.unionByName(map_rows(far, there, f"uid long, k {kind}, no int, {bounds}")).withColumnRenamed("k", key)
+
+
+def numbered(ranges: DataFrame, key: str) -> DataFrame:
+    """Pieces with their number in the text: pieces of earlier ranges, a prefix sum over the boundary table, plus the place in the range."""
+    n = F.size("bounds")
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("uid").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.withColumn("before", before).select(key, "uid", "before", F.posexplode("bounds").alias("i", "b"))
+    return placed.select(key, "uid", (F.col("before") + F.col("i")).cast("int").alias("piece"), F.col("b.s").alias("start_char"), F.col("b.e").alias("end_char"), F.col("b.forced").alias("forced"))
 
 
 def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
@@ -139,67 +188,62 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     ``size`` ends: there a piece may start before a short one that it follows. Less is shared only where a run without
     white space, punctuation or symbol leaves no room. A text within the limit is one piece, an empty text one empty piece; null texts have
     none. Repeated rows are split again under their own uid. ``forced`` marks a cut inside a run of more than ``limit``
-    characters without white space, punctuation or symbol.
+    characters without white space, punctuation or symbol. Other columns are ignored; an empty table gives an empty one.
     """
-    halo = limit
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    total = F.length("t")
-    ranges = rows.withColumn("total", total).withColumn("no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("total") - 1) / size).cast("int")))))
-    base = F.greatest(F.lit(0), F.col("no") * size - 2 * halo)
-    slices = ranges.select("uid", "k", "no", "total", base.alias("base"), F.substring("t", base + 1, F.lit(size + 4 * halo)).alias("slice"))
-    kind = df.schema[key].dataType.simpleString()
-    cut = map_rows(slices, _ranges(limit, overlap, size, halo), f"uid long, k {kind}, no int, i int, start_char int, end_char int, forced boolean")
-    return cut.withColumnRenamed("k", key)
-
-
-def numbered(cut: DataFrame, key: str) -> DataFrame:
-    """Pieces with their number in the text: pieces of earlier ranges, summed over the boundary table, plus the place in the range."""
-    counts = cut.groupBy("uid", "no").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("uid").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
-    table = counts.select("uid", "no", F.coalesce(before, F.lit(0)).alias("before"))
-    return cut.join(table, ["uid", "no"]).select(key, "uid", (F.col("before") + F.col("i")).cast("int").alias("piece"), "start_char", "end_char", "forced")
+    return numbered(split_ranges(df, key, text, limit, overlap, size), key)
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Keys whose text had to be cut, from the pieces: (``key``, kind), 'oversized', and 'no_boundary' where a cut was forced."""
+    """Keys whose text had to be cut, from its numbered pieces: (``key``, kind), 'oversized' for a text with a second piece,
+    and 'no_boundary' where a cut was forced."""
     cut = split_texts(df, key, text, limit, overlap)
-    kinds = F.array_compact(F.array(F.when((F.col("i") > 0) | (F.col("no") > 0), "oversized"), F.when(F.col("forced"), "no_boundary")))
+    kinds = F.array_compact(F.array(F.when(F.col("piece") > 0, "oversized"), F.when(F.col("forced"), "no_boundary")))
     return cut.select(key, F.explode(kinds).alias("kind")).distinct()
 
 
+def _opened(uri: str):  # noqa: ANN202
+    """A file by its URI or path, on any file system that the Arrow library reads, and its size."""
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return system.open_input_file(path), system.get_file_info(path).size
+
+
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE) -> DataFrame:
-    """Pieces of giant UTF-8 files on a shared file system: (path, no, i, start_byte, end_byte, forced).
+    """Pieces of giant UTF-8 files, named by URI on a file system that all workers reach: (path, piece, start_byte, end_byte, forced).
 
-    A worker reads the bytes of its range and the halos only. Neighbours share the overlap as in ``split_texts``. Pieces end at byte offsets of whole characters.
+    A worker reads the bytes of its range and the halos only. Neighbours share the overlap as in ``split_texts``. Pieces end
+    at byte offsets of whole characters. Counts of pieces, summed over the boundary table, number them.
     """
-    ranges = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, total long").withColumn(
+    sizes = [(p, _opened(p)[1]) for p in paths]
+    ranges = spark.createDataFrame(sizes, "path string, total long").withColumn(
         "no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("total") - 1) / size).cast("int"))))
     )
-    ranges = ranges.repartition("path", "no")
+    # A range is a task's work, whatever the size of its row.
+    count = sum(max(1, -(-n // size)) for _, n in sizes)
+    ranges = ranges.repartition(max(1, min(count, TASKS)), "path", "no")
     halo = 4 * limit
 
     def split(rows: Iterator[tuple]) -> Iterator[tuple]:
         for path, total, no in rows:
-            def anchor(at: int) -> int:
-                if at <= 0 or at >= total:
-                    return max(0, min(at, total))
-                with open(path, "rb") as file:
+            file, _ = _opened(path)
+            with file:
+
+                def anchor(at: int) -> int:
+                    if at <= 0 or at >= total:
+                        return max(0, min(at, total))
                     low = max(0, at - halo)
-                    file.seek(low)
-                    raw = file.read(min(total, at + halo) - low)
-                skip = next(i for i in range(4) if i >= len(raw) or raw[i] & 0xC0 != 0x80)
-                near = raw[skip:].decode("utf-8", "ignore")
-                cut = _best(near, 0, len(near))
-                cut = cut if cut > 0 else len(near) // 2
-                return low + skip + len(near[:cut].encode())
-
-            a, b = anchor(no * size), anchor(min((no + 1) * size, total))
-            if no and a >= b:
-                continue
-            low = max(0, a - 8 * overlap) if no else a
-            with open(path, "rb") as file:
-                file.seek(low)
-                before, raw = file.read(a - low), file.read(b - a)
+                    raw = file.read_at(min(total, at + halo) - low, low)
+                    skip = next(i for i in range(4) if i >= len(raw) or raw[i] & 0xC0 != 0x80)
+                    near = raw[skip:].decode("utf-8", "ignore")
+                    cut = _best(near, 0, len(near))
+                    cut = cut if cut > 0 else len(near) // 2
+                    return low + skip + len(near[:cut].encode())
+
+                a, b = anchor(no * size), anchor(min((no + 1) * size, total))
+                if no and a >= b:
+                    yield (path, no, [])
+                    continue
+                low = max(0, a - 8 * overlap) if no else a
+                before, raw = file.read_at(a - low, low), file.read_at(b - a, a)
             skip = next(i for i in range(4) if i >= len(before) or before[i] & 0xC0 != 0x80)
             head = before[skip:].decode("utf-8", "replace")
             body = head + raw.decode("utf-8", "replace")
@@ -210,7 +254,8 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 at += len(body[chars:p].encode())
                 chars = p
                 places[p] = at
-            for i, (s, e, forced) in enumerate(cuts):
-                yield (path, no, i, places[s], places[e], forced)
+            yield (path, no, [{"s": places[s], "e": places[e], "forced": forced} for s, e, forced in cuts])
 
-    return map_rows(ranges.select("path", "total", "no"), split, "path string, no int, i int, start_byte long, end_byte long, forced boolean")
+    cut = map_rows(ranges.select("path", "total", "no"), split, "path string, no int, bounds array<struct<s:bigint,e:bigint,forced:boolean>>")
+    out = numbered(cut.withColumn("uid", F.col("path")), "path")
+    return out.select("path", "piece", F.col("start_char").alias("start_byte"), F.col("end_char").alias("end_byte"), "forced")

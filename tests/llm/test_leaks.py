@@ -48,3 +48,35 @@ def test_leaks(spark, clash):
     moved_rows = leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").filter("doc_id = 5 and item_id = 10").collect()
     assert [(r["longest"], r["covered"]) for r in moved_rows] == [(6, 18)]
     assert leaks.found(docs.limit(0), items).count() == 0 and leaks.found(docs, items.limit(0)).count() == 0
+
+
+def test_repetitive_texts_are_tiled_in_little_time():
+    import time
+
+    rng = random.Random(2)
+    doc, item = [rng.choice("ab") for _ in range(2400)], [rng.choice("ab") for _ in range(240)]
+    began = time.time()
+    tiles = leaks.tile(doc, item)
+    assert sum(n for _, _, n in tiles) > 200 and time.time() - began < 2
+    assert all(doc[i : i + n] == item[j : j + n] for i, j, n in tiles)
+
+
+def test_seeds_by_shuffle_and_runs_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = {i: [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] for i in range(40)}
+    passages = {100 + i: [rng.choice(vocabulary) for _ in range(rng.randint(8, 40))] for i in range(9)}
+    for i in range(0, 40, 2):
+        p = passages[rng.choice(list(passages))]
+        at, n = rng.randint(0, max(0, len(p) - 13)), rng.choice([11, 12, 13, 30])
+        texts[i] += p[at : at + n] + ["w1", *texts[i][:4]]
+    runs = lambda w: {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
+    want = {(d, i) for d, x in texts.items() for i, y in passages.items() if runs(x) & runs(y)}
+    best = lambda x, y: max((n for i in range(len(x)) for j in range(len(y)) for n in (next((m for m in range(len(x)) if i + m >= len(x) or j + m >= len(y) or x[i + m] != y[j + m]), 0),)), default=0)
+    docs = spark.createDataFrame([(k, ", ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in passages.items()], "item_id long, text string")
+    for bound in (500_000, 0):
+        monkeypatch.setattr(leaks, "SEEDS", bound)
+        rows = leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows if r["longest"] >= 12} == want and len(want) > 5
+        assert all(r["longest"] == best(texts[r["doc_id"]], passages[r["item_id"]]) for r in rows)

@@ -30,7 +30,7 @@ def test_ranges_cover_and_number(spark, clash):
     df = clash(spark.createDataFrame(rows, "doc long, body string"))
     cut = S.split_texts(df, "doc", "body", 40, 8, size=1000)
     assert [(r["start_char"], r["end_char"]) for r in cut.filter("doc = 3").collect()] == [(0, 0)] and cut.filter("doc = 2").count() == 0
-    pieces = S.numbered(cut, "doc").collect()
+    pieces = cut.collect()
     by = {}
     for r in pieces:
         by.setdefault((r["doc"], r["uid"]), []).append(r)
@@ -57,10 +57,12 @@ def test_files_by_byte_ranges(spark, tmp_path):
     (tmp_path / "b.txt").write_text("")
     raw = text.encode()
     got = S.split_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], 50, 10, size=3000).collect()
-    own = sorted((r["no"], r["i"], r["start_byte"], r["end_byte"]) for r in got if r["path"].endswith("a.txt"))
-    assert own[0][2] == 0 and own[-1][3] == len(raw) and len({x[0] for x in own}) > 5
-    assert all(len(raw[s:e].decode()) <= 50 for *_, s, e in own)
-    assert all(b[2] <= a[3] < b[3] for a, b in zip(own, own[1:]))
+    own = sorted((r["piece"], r["start_byte"], r["end_byte"]) for r in got if r["path"].endswith("a.txt"))
+    assert own[0][1] == 0 and own[-1][2] == len(raw) and [x[0] for x in own] == list(range(len(own)))
+    assert all(len(raw[s:e].decode()) <= 50 for _, s, e in own)
+    assert all(b[1] <= a[2] < b[2] for a, b in zip(own, own[1:]))
+    named = S.split_files(spark, [(tmp_path / "a.txt").as_uri()], 50, 10, size=3000).collect()
+    assert sorted((r["piece"], r["start_byte"], r["end_byte"]) for r in named) == own
 
 
 def test_overlap_without_spaces_and_at_range_bounds(spark, tmp_path):
@@ -74,10 +76,19 @@ def test_overlap_without_spaces_and_at_range_bounds(spark, tmp_path):
         assert all(40 <= a[1] - b[0] <= 120 for a, b in zip(own, own[1:]))
     df = spark.createDataFrame([(1, wide), (2, spaced)], "doc long, body string")
     for doc in (1, 2):
-        rows = sorted(S.split_texts(df.filter(f"doc = {doc}"), "doc", "body", size=2000).collect(), key=lambda r: (r["no"], r["i"]))
-        assert len({r["no"] for r in rows}) > 4 and all(40 <= a["end_char"] - b["start_char"] <= 120 for a, b in zip(rows, rows[1:]))
+        rows = sorted(S.split_texts(df.filter(f"doc = {doc}"), "doc", "body", size=2000).collect(), key=lambda r: r["piece"])
+        assert S.split_ranges(df.filter(f"doc = {doc}"), "doc", "body", size=2000).count() > 4 and all(40 <= a["end_char"] - b["start_char"] <= 120 for a, b in zip(rows, rows[1:]))
         assert all(r["end_char"] - r["start_char"] <= 400 for r in rows)
     (tmp_path / "c.txt").write_text(wide)
     raw = wide.encode()
-    rows = sorted(tuple(r)[1:5] for r in S.split_files(spark, [str(tmp_path / "c.txt")], size=6000).collect())
-    assert len({r[0] for r in rows}) > 3 and all(40 <= len(raw[b[2] : a[3]].decode()) <= 120 for a, b in zip(rows, rows[1:]))
+    rows = sorted(tuple(r)[1:4] for r in S.split_files(spark, [str(tmp_path / "c.txt")], size=6000).collect())
+    assert len(rows) > 20 and all(40 <= len(raw[b[1] : a[2]].decode()) <= 120 for a, b in zip(rows, rows[1:]))
+
+
+def test_slices_give_what_the_whole_text_gives(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(["word ", "another. ", "x\n", "字", "y" * 60]) for _ in range(n))) for i, n in enumerate((0, 3, 900, 4000))]
+    df = spark.createDataFrame(rows, "doc long, body string")
+    one = sorted(map(tuple, S.split_texts(df, "doc", "body", size=500).drop("uid").collect()))
+    monkeypatch.setattr(S, "NEAR", 1)
+    assert sorted(map(tuple, S.split_texts(df, "doc", "body", size=500).drop("uid").collect())) == one
