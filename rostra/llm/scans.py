@@ -1,8 +1,8 @@
 """Repair of text from scanned pages: broken words, misread characters, running headers and page numbers.
 
-Lines are laid out as rows and judged with SQL windows; words are grouped over the whole corpus by the skeleton that
-confusable glyphs leave, and a rare form gives way to a form that the group supports: the one that the same document
-writes elsewhere, else the most frequent.
+Lines are judged page by page, digits masked; words are grouped over the whole corpus by the skeleton that confusable
+glyphs leave, and a rare form gives way to a form that the group supports: the one that the same document writes
+elsewhere, else the most frequent. Paragraphs are reflowed with SQL windows over the lines.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +27,27 @@ HYPHENS = "¬‐\xad-"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: A form gives way to the best form of its skeleton if that is so many times as frequent.
 RATIO = 12
-#: So many of the most frequent forms are known to every task, which passes over them; rarer forms go through a join.
+#: A form of clean text stands by itself unless the best form is so many times as frequent: clean texts have slips too.
+SLIP = 1000
+#: So many of the most frequent forms are sent to every task, which then does not ask for them; it only saves work.
 KNOWN = 200_000
 
 _STROKE = str.maketrans(STROKES)
 _TOKEN = re.compile(r"!?[^\W_](?:[^\W_]|!(?=[^\W_])|['’\-](?=[^\W_]))*")
 _JOIN = re.compile(rf"([^\W_][^\s—–“”()]*?)[{HYPHENS}][ \t]*\n(\S+)")
 _ENDING = re.compile(rf"\S+[{HYPHENS}][ \t]*\n\s*\S+")
+_BREAK = re.compile("\r\n|[\n\r\f]")
+# A month may be misread too; then the brackets or the dash tell the date.
+_DATE = re.compile(rf"[{{\[(]\d{{1,2}}\.? \S{{3,9}} \d{{4}}[}}\])]|(?<=— )\d{{1,2}} \S{{3,9}} \d{{4}}$|\d{{1,2}}\.? (?i:{MONTHS})\.? \d{{4}}")
+_SPACED = re.compile(r"\S(?: \S)+(?:  +\S(?: \S)*)*$")
+_EDGE = frozenset(" \t.[]{}()—–-0123456789")
+_EDGES = re.compile(r"^(?:[\s.\[\]{}()—–-]|\d+(?=\s|$))+|[\s\d.\[\]{}—–-]+$")
+_NUMBER = re.compile(r"(?:[\[({—–\-]\s*)?(?:(?:[Pp]age|[Pp]\.|[Pp]g\.?)\s*)?(?:\d{1,5}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*[\])}—–\-]| \.)?$")
+_COLUMN, _COLUMN_END = re.compile(r"\d{1,5}(?:\s{2,}|\t)\S"), re.compile(r"\S\s{2,}\d{1,5}$")
+_LISTED = re.compile(r"[,;]|^\d+(?:st|nd|rd|th)\b")
+# Words that a title writes small, and marks that no title ends with.
+_SMALL = frozenset("of the from in and for on to a at upon with by de or".split())
+_STOPS = frozenset(".,;?!”-¬‐\xad")
 _PLAIN = re.compile(r"[a-z]+(?:['’-][a-z]+)*$")
 
 
@@ -68,72 +83,116 @@ def vocabulary(rows: DataFrame, text: str, clean: Column) -> DataFrame:
 
 
 def glyph_groups(words: DataFrame) -> DataFrame:
-    """Per skeleton: the best plain form, its count, and the forms that stand in their own right."""
+    """Per skeleton: the best plain form, its count, and the forms that stand in their own right.
+
+    Both are rates, not single occurrences, so that they mean the same in a corpus of any size: clean text speaks for a
+    form that it has in a twentieth of its places, and for one that is not ``SLIP`` times as rare as the best.
+    """
     plain = F.col("form").rlike(_PLAIN.pattern.replace("$", "")) & ~F.col("form").rlike(r"[^a-z'’\-]")
-    scored = words.withColumn("rank", F.when(plain, F.struct((F.col("n_clean") > 0).alias("c"), F.col("n").alias("n"), F.col("form").alias("form"))))
+    clean = (F.col("n_clean") > 0) & (F.col("n_clean") * 20 >= F.col("n"))
+    scored = words.withColumn("rank", F.when(plain, F.struct(clean.alias("c"), F.col("n").alias("n"), F.col("form").alias("form"))))
     groups = scored.groupBy("skel").agg(
         F.max("rank").alias("top"), F.collect_list(F.when(plain, F.struct("form", "n", "n_clean"))).alias("forms")
     ).filter("top is not null and (top.n >= 2 or top.c)")
     # A group holds the spellings of one skeleton, a handful; only those that can stand by themselves are kept.
-    return groups.select(
-        "skel", F.col("top.form").alias("best"), F.col("top.n").alias("best_n"),
-        F.transform(F.filter("forms", lambda x: (x["n_clean"] > 0) | (x["n"] * RATIO > F.col("top.n"))), lambda x: x["form"]).alias("valid"),
-    )
+    stands = lambda x: (x["n_clean"] > 0) & (x["n_clean"] * SLIP >= F.col("top.n")) | (x["n"] * RATIO > F.col("top.n"))
+    return groups.select("skel", F.col("top.form").alias("best"), F.col("top.n").alias("best_n"), F.transform(F.filter("forms", stands), lambda x: x["form"]).alias("valid"))
+
+
+def _core(body: str) -> tuple[str, bool, bool]:
+    """The title matter of a line: digits masked, dates and numbers off, spaced letters closed up; is it spaced, has it a date?"""
+    spaced = len(body) > 4 and body[1] == " " and _SPACED.match(body) is not None
+    core = " ".join(x.replace(" ", "") for x in re.split(r"\s{2,}", body)) if spaced else body
+    shown = False
+    if any(map(str.isdigit, body)):
+        shown = _DATE.search(body) is not None
+        core = _DATE.sub("", core)
+    return (_EDGES.sub("", core) if core and (core[0] in _EDGE or core[-1] in _EDGE) else core), spaced, shown
+
+
+def _title(core: str, body: str) -> bool:
+    """Is every word in capitals, but for small words inside?"""
+    if not core or body[-1] in _STOPS:
+        return False
+    first, *rest = core.split(" ")
+    first = first[1:] if first[:1] in tuple('(“"') and first else first
+    if not first or not (first[0].isupper() or first[0] in "0123456789!" and any(map(str.isalpha, first[1:]))) or any(map(str.isspace, first)):
+        return False
+    if core.rpartition(" ")[2] in _SMALL:
+        return False
+    for word in rest:
+        lead = word[1:2] if word[:1] == "(" else word[:1]
+        if not word or not (lead.isupper() or word[0] in "0123456789!" or word in _SMALL or word in "&—") or any(map(str.isspace, word)):
+            return False
+    return True
+
+
+def page_lines(text: str) -> list[tuple[str, str]]:
+    """Lines of a page as (body, kind): text, blank, header or pageno.
+
+    A header has the title matter of a page: its masked core stands again on the page, or a date, column number or spacing
+    shows it, or it had room for the next word of the running text and did not take it.
+    """
+    bodies = [x.strip() for x in _BREAK.split(text)]
+    width, count = max(map(len, bodies)), len(bodies)
+    if count < 2:
+        return [(b, "text" if b else "blank") for b in bodies]
+    numbered = [0 < len(b) <= 24 and _NUMBER.match(b) is not None for b in bodies]
+    cores: dict[int, tuple[str, bool, bool, bool]] = {}
+    for i, body in enumerate(bodies):
+        if not body or numbered[i]:
+            continue
+        # Running text is told at once: a small letter begins the line, and no figure or spacing speaks for a header.
+        if body[0].islower() and body[1:2] != " " and not any(map(str.isdigit, body)):
+            continue
+        core, spaced, shown = _core(body)
+        title = _title(core, body)
+        if title or spaced or shown:
+            cores[i] = core, spaced, shown and len(core) <= 60, title
+    again = Counter(core.lower() for core, _, _, title in cores.values() if title)
+    kinds = ["blank" if not b else "pageno" if n else "text" for b, n in zip(bodies, numbered)]
+    for i, (core, spaced, shown, title) in cores.items():
+        body = bodies[i]
+        after = next((bodies[j].split(None, 1)[0] for j in range(i + 1, min(i + 9, count)) if bodies[j] and not numbered[j]), "")
+        # A line that had room for the next word is no line of running text, unless a paragraph ends there.
+        room = len(body) + 1 + len(after) <= width
+        loose = not (i and bodies[i - 1]) and not (i + 1 < count and bodies[i + 1])
+        bare = title and not _LISTED.search(core) and len(core) > 3 and len(body) <= 70 and (room or loose or again[core.lower()] > 1)
+        columned = title and (_COLUMN.match(body) or _COLUMN_END.search(body))
+        if shown and (room or loose or title) or columned or spaced and len(core) > 3 or bare:
+            kinds[i] = "header"
+    return list(zip(bodies, kinds))
 
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of the set texts with their kind: (uid, key, line, body, kind in text, blank, header, pageno)."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    lines = rows.withColumn("uid", F.monotonically_increasing_id()).select(
-        "uid", "k", F.posexplode(F.split("t", "\r\n|[\n\r\f]")).alias("line", "raw")
-    )
-    body = F.regexp_replace("raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    lines = lines.withColumn("body", body).withColumn("size", F.length("body"))
-    # The title matter of a line: digits masked, dates and numbers off, spaced letters closed up.
-    # A month may be misread too; then the brackets or the dash tell the date.
-    date = rf"(?:[{{\[(]\d{{1,2}}\.? \S{{3,9}} \d{{4}}[}}\])]|(?<=— )\d{{1,2}} \S{{3,9}} \d{{4}}$|\d{{1,2}}\.? (?i:{MONTHS})\.? \d{{4}})"
-    spaced = F.col("body").rlike(r"^\S(?: \S)+(?:  +\S(?: \S)*)*$") & (F.length("body") > 4)
-    closed = F.when(spaced, F.regexp_replace(F.regexp_replace("body", r"(?<=\S) (?=\S)", ""), r"\s{2,}", " ")).otherwise(F.col("body"))
-    core = F.regexp_replace(F.regexp_replace(closed, date, ""), r"^(?:[\s.\[\]{}()—–-]|\d+(?=\s|$))+|[\s\d.\[\]{}—–-]+$", "")
-    lines = lines.withColumn("core", core)
-    number = r"^(?:[\[({—–\-]\s*)?(?:(?:[Pp]age|[Pp]\.|[Pp]g\.?)\s*)?(?:\d{1,5}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*[\])}—–\-]| \.)?$"
-    numbered = F.col("body").rlike(number)
-    shown = F.col("body").rlike(rf"{date}") & (F.length("core") <= 60)
-    columned = F.col("body").rlike(r"^\d{1,5}(?:\s{2,}|\t)\S") | F.col("body").rlike(r"\S\s{2,}\d{1,5}$")
-    small = r"(?:of|the|from|in|and|for|on|to|a|at|upon|with|by|de|or)"
-    title = F.col("core").rlike(rf"^[(“\"]?(?:\p{{Lu}}|[\d!](?=\S*\p{{L}}))\S*(?: (?:{small}|\(?\p{{Lu}}\S*|[\d!]\S*|&|—))*$") & ~F.col("body").rlike(r"[.,;?!”\-¬‐­]$") & ~F.col("core").rlike(rf"(?:^| ){small}$")
-    at = Window.partitionBy("uid").orderBy("line")
-    whole = Window.partitionBy("uid")
-    near = at.rowsBetween(1, 8)  # the text goes on within a few lines of page matter
-    marked = lines.withColumns({
-        "width": F.max("size").over(whole), "lines": F.count("*").over(whole),
-        "next": F.first(F.when(~numbered & (F.col("size") > 0), F.col("body")), True).over(near),
-        "above": F.lag("size").over(at), "below": F.lead("size").over(at),
-    })
-    same = Window.partitionBy("uid", F.lower("core"))
-    marked = marked.withColumn("again", F.count(F.when(title & (F.length("core") > 0), 1)).over(same))
-    first_next = F.length(F.regexp_extract("next", r"^\S+", 0))
-    # A line that had room for the next word is no line of running text, unless a paragraph ends there.
-    room = F.col("size") + 1 + F.coalesce(first_next, F.lit(0)) <= F.col("width")
-    loose = (F.coalesce(F.col("above"), F.lit(0)) == 0) & (F.coalesce(F.col("below"), F.lit(0)) == 0)
-    bare = title & ~F.col("core").rlike(r"[,;]|^\d+(?:st|nd|rd|th)\b") & (F.length("core") > 3) & (F.col("size") <= 70) & (room | loose | (F.col("again") > 1))
-    kind = (
-        F.when(F.col("size") == 0, "blank")
-        .when(F.col("lines") < 2, "text")
-        .when(numbered, "pageno")
-        .when((shown & (room | loose | title)) | (columned & title) | (spaced & (F.length("core") > 3)) | bare, "header")
-        .otherwise("text")
-    )
-    return marked.select("uid", "k", "line", "body", kind.alias("kind"))
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+
+    def lay(batch: Iterator[tuple]) -> Iterator[tuple]:
+        for uid, k, t in batch:
+            for line, (body, kind) in enumerate(page_lines(t)):
+                yield (uid, k, line, body, kind)
 
+    return map_rows(rows, lay, f"uid long, k {df.schema[key].dataType.simpleString()}, line int, body string, kind string")
 
-def _marks(known: set[str]):
+
+def _marks(known: Broadcast):
     def marks(rows: Iterator[tuple]) -> Iterator[tuple]:
         strokes: dict[str, str] = {}
-        for k, furniture, body in rows:
-            for x in furniture:
-                kind, _, line = x.partition("\t")
-                yield (k, kind, line, None, None, None)
+
+        def stroke(word: str) -> str:
+            if (skel := strokes.get(word)) is None:
+                if len(strokes) > 500_000:
+                    strokes.clear()
+                skel = strokes[word] = skeleton(word)
+            return skel
+
+        for k, text in rows:
+            lines = page_lines(text)
+            for line, kind in lines:
+                if kind in ("header", "pageno"):
+                    yield (k, kind, line, None, None, None, None)
+            body = "\n".join(line for line, kind in lines if kind == "text")
             if not body:
                 continue
             for m in _JOIN.finditer(body):
@@ -141,36 +200,30 @@ def _marks(known: set[str]):
                 if right and m[2][-1] not in HYPHENS and not left.isdigit():
                     right = right[0]
                     joined, kept = left + right, f"{left}-{right}"
-                    yield (k, "hyphen", joined.lower(), skeleton(joined), ("^" if right[0].isupper() else "") + kept.lower(), skeleton(kept))
+                    yield (k, "hyphen", joined.lower(), stroke(joined), ("^" if right[0].isupper() else "") + kept.lower(), stroke(kept), None)
             words = {*_TOKEN.findall(_JOIN.sub("\n", body).lower())}
-            odd = [w for w in words - known if len(w) > 1 and not w.isdigit()]
+            odd = [w for w in words - known.value if len(w) > 1 and not w.isdigit()]
             if not odd:
                 continue
-            # Words that the document writes well elsewhere, the context that speaks for a form.
-            near: dict[str, str] = {}
-            for w in words & known:
-                if w not in strokes:
-                    strokes[w] = skeleton(w)
-                near[strokes[w]] = max(w, near.get(strokes[w], ""))
+            # Words of one skeleton that the document writes elsewhere, the context that speaks for a form.
+            near: dict[str, list[str]] = {}
+            for w in words:
+                near.setdefault(stroke(w), []).append(w)
             for w in odd:
-                yield (k, "misread", w, skel := skeleton(w), near.get(skel), None)
+                yield (k, "misread", w, stroke(w), None, None, [x for x in near[stroke(w)] if x != w])
 
     return marks
 
 
-def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> tuple[DataFrame, DataFrame]:
-    """Lines of the scanned rows, and every mark with its right word: (k, kind, form, fixed, changed)."""
+def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
+    """Every mark of the scanned rows with its right word: (k, kind, form, fixed, changed)."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(scanned, F.lit(False)).alias("s"))
     words = checkpointed(vocabulary(rows, "t", ~F.col("s")))
     frequent = words.filter("n_clean > 0 and form not rlike '[^a-z]'").orderBy(F.desc("n_clean"), "form").limit(KNOWN)
-    known = {r["form"] for r in small_rows(frequent.select("form"), KNOWN, "known words")}
-    lines = line_table(rows.filter("s"), "k", "t")
-    pages = lines.groupBy("uid").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("line", "body", "kind"))).alias("x"))
-    furniture = F.transform(F.filter("x", lambda x: x["kind"].isin("header", "pageno")), lambda x: F.concat(x["kind"], F.lit("\t"), x["body"]))
-    body = F.array_join(F.transform(F.filter("x", lambda x: x["kind"] == "text"), lambda x: x["body"]), "\n")
-    pages = pages.select("k", furniture.alias("furniture"), body.alias("body"))
+    known = df.sparkSession.sparkContext.broadcast({r["form"] for r in small_rows(frequent.select("form"), KNOWN, "known words")})
+    pages = rows.filter("s and t is not null").select("k", "t")
     kind = df.schema[key].dataType.simpleString()
-    marks = map_rows(pages, _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string").distinct()
+    marks = map_rows(pages, _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string, near array<string>").distinct()
     # What needs no lookup gets a key of its own that no group has, so that it spreads over the partitions.
     own = lambda c: F.coalesce(c, F.concat(F.lit("\0"), "form"))
     marks = marks.withColumn("skel", own("skel")).withColumn("kept_skel", own("kept_skel"))
@@ -184,9 +237,10 @@ def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> tuple[DataF
     )
     plain = F.when(as_compound, kept).otherwise(F.col("form"))
     fixed = F.when(as_compound, right(kept, F.col("kept_best"), F.col("kept_valid"))).otherwise(right(F.col("form"), F.col("best"), F.col("valid")))
-    beside = (F.col("kind") == "misread") & ~F.array_contains("valid", F.col("form")) & F.array_contains("valid", F.col("kept"))
-    fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).when(beside, F.col("kept")).otherwise(fixed)
-    return lines, found.select("k", "kind", "form", fixed.alias("fixed"), (fixed != plain).alias("changed"))
+    beside = F.array_max(F.array_intersect("near", "valid"))
+    own_form = (F.col("kind") == "misread") & ~F.array_contains("valid", F.col("form")) & beside.isNotNull()
+    fixed = F.when(F.col("kind").isin("header", "pageno"), F.col("form")).when(own_form, beside).otherwise(fixed)
+    return found.select("k", "kind", "form", fixed.alias("fixed"), (fixed != plain).alias("changed"))
 
 
 def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
@@ -196,7 +250,7 @@ def scan_marks(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame
     not ``scanned`` only count as corpus. Null and empty texts give nothing, repeated rows give their marks once, a null
     key is kept; other columns are ignored, an empty table gives an empty one.
     """
-    rows = _repairs(df, key, text, scanned)[1]
+    rows = _repairs(df, key, text, scanned)
     kinds = F.array_compact(F.array(F.when(F.col("kind") != "misread", F.col("kind")), F.when(F.col("kind").isin("misread", "hyphen") & F.col("changed"), "misread")))
     return rows.select("k", F.explode(kinds).alias("kind"), "fixed").distinct().withColumnRenamed("k", key)
 
@@ -226,7 +280,7 @@ def paragraphs(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame
     Page matter is gone, a paragraph that a page break cuts goes on, broken and misread words are mended. A blank line
     ends a paragraph, but for one beside page matter after a line that does not end a sentence.
     """
-    lines, marks = _repairs(df, key, text, scanned)
+    lines, marks = line_table(df.filter(F.coalesce(scanned, F.lit(False))), key, text), _repairs(df, key, text, scanned)
     at = Window.partitionBy("uid").orderBy("line")
     is_text = F.col("kind") == "text"
     seen = lines.withColumns({
