@@ -1,10 +1,16 @@
-"""Defects of prompt and response pairs: noisy labelling functions combined by an expectation-maximisation label model."""
+"""Defects of prompt and response pairs: noisy labelling functions combined by an expectation-maximisation label model.
+
+How far each function is to be trusted is learnt: from all answers, whose defects are not known, and from a bounded sample
+of them into which defects were planted. Cutoffs are validated on a part of the planted answers that the model never saw.
+"""
 
 from __future__ import annotations
 
 import math
+import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,23 +18,26 @@ from pyspark.sql import functions as F
 from rostra.runtime import checkpointed, map_rows, small_rows
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
-#: Posterior from which a defect is kept, validated on seeded pairs in the tests.
-CUTOFF = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "truncated": 0.5, "language": 0.5}
-#: Labelling functions of each defect; every one votes 1 (defect), -1 (none) or 0 (abstains).
+#: Labelling functions of each defect; every one votes 1 (defect), -1 (none) or 0 (abstains). Each looks at something else.
 FUNCTIONS = {
     "empty": ("blank", "no_words", "reported"),
     "copy": ("contained", "opens_alike", "no_answer"),
-    "refusal": ("declines", "no_verdict", "first_person", "no_theme"),
+    "refusal": ("declines", "first_person", "no_answer", "no_theme"),
     "truncated": ("open_json", "no_stop", "part_item", "limit_hit"),
     "language": ("prose_differs", "script_differs", "verdict_differs"),
 }
-#: Accuracy that the model starts from, and the strength (in pseudo-pairs) with which it holds on to it.
-START = {
-    "blank": 0.99, "no_words": 0.9, "reported": 0.6, "contained": 0.98, "opens_alike": 0.9, "no_answer": 0.6, "declines": 0.97, "no_verdict": 0.85,
-    "first_person": 0.6, "no_theme": 0.6, "open_json": 0.98, "no_stop": 0.97, "part_item": 0.97, "limit_hit": 0.6, "prose_differs": 0.97, "script_differs": 0.98, "verdict_differs": 0.7,
-}
-#: Share of answers in which each defect is expected at first.
-PRIOR = 0.04
+NAMES = tuple(dict.fromkeys(f for fs in FUNCTIONS.values() for f in fs))
+#: Share of answers in which each defect is expected at first, and answers that this counts for; answers at most that
+#: defects are planted in; cutoffs tried.
+PRIOR, HOLD, SAMPLE, CUTOFFS = 0.04, 500, 1500, tuple(i / 20 for i in range(2, 19))
+SALT = "rostra-pairs-1"
+# Answers that decline, and answers with nothing in them, to be planted.
+DECLINED = (
+    "I'm sorry, but I can't help with that.", "I must decline to judge this passage.", "As an AI model I am not able to assess political speeches.",
+    "This request falls outside what I may do.", "I would rather not answer this question.", "Je regrette, je ne peux pas répondre à cette demande.",
+    "Leider kann ich diese Frage nicht beantworten, ich kann keine Bewertung geben.", "Lo siento, no puedo responder a esta pregunta.", "Mae'n ddrwg gen i, ni allaf ateb.", "Я не могу ответить на этот вопрос.",
+)
+HOLLOW = ("", "   ", "```json\n```", "\u200b\u200b", "{}", "\"\"", "```\n{}\n```", "\n\n")
 
 _INVISIBLE = re.compile(r"[\s ​-‏‪-‮⁠-⁯﻿\xad᠎\x00-\x1f]+")
 _HOLLOW = re.compile(r"^(?:```\w*|[`'\"“”‘’„«»{}\[\]()<>.,:;\-_*#|~/\\]|json|null)*$", re.I)
@@ -101,7 +110,7 @@ def votes(prompt: str | None, text: str | None, finish: str | None, error: str |
 
     ``tongues`` remembers the languages of tasks, which many prompts share.
     """
-    v = dict.fromkeys(START, 0)
+    v = dict.fromkeys(NAMES, 0)
     raw = text or ""
     body = _INVISIBLE.sub(" ", raw).strip()
     bare = body.replace(" ", "")
@@ -140,29 +149,25 @@ def votes(prompt: str | None, text: str | None, finish: str | None, error: str |
     v["no_answer"] = -1 if answered else 1
     # refusal
     v["declines"] = 1 if _DECLINE.search(own) and not re.search(r"cannot see any|can not see any", own) else -1 if answered else 0
-    v["no_verdict"] = -1 if answered else 1
     v["first_person"] = 1 if _FIRST.search(own) and not answered else 0
     v["no_theme"] = -1 if items or re.search(r"subthemes[\"']\s*:\s*\[\s*\"", stripped) else 0 if answered else 1
     # truncated
     last = None
     if is_json or at >= 0 and keyed:
         v["open_json"] = _json_open(stripped[max(at, 0):] if at >= 0 else stripped)
-        v["no_stop"] = v["open_json"]
-        v["part_item"] = -1 if v["open_json"] < 0 else 0
     elif lines:
         tail = lines[-1].rstrip(" \t​﻿")
         m = _ITEM.match(tail)
         if m:
             last = m[1].strip().lower()
         elif re.fullmatch(r"\s*(?:[-*•–]|\d+[.)])\s*", tail):
-            v["part_item"] = v["no_stop"] = 1
+            v["part_item"] = 1
         else:
             cut = tail.endswith(("…", "...")) or not _END.search(tail)
             short = verdict is not None and len(lines) == 1 and verdict.end() >= len(body.rstrip(" ."))
             v["no_stop"] = -1 if short or not cut else 1
             if tail.endswith((":", ",")) and (short or len(lines) == 1 and len(words) <= 2):
                 v["no_stop"] = 1
-            v["part_item"] = -1 if v["no_stop"] < 0 else 0
     v["limit_hit"] = 1 if finish in ("length", "max_tokens") else 0
     # language
     task = re.split(r"\n\s*\n", prompt or "", maxsplit=1)[0]
@@ -184,75 +189,155 @@ def votes(prompt: str | None, text: str | None, finish: str | None, error: str |
     return v, last
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def planted(rows: list[tuple]) -> list[tuple[str, bool, tuple]]:
+    """Answers with a defect planted in each, and the answers as they are: (defect or '', held out?, pair).
+
+    Every fourth answer is held out. What is planted depends on the answer's place in the sample alone.
+    """
+    out = []
+    for n, (prompt, text, finish, error) in enumerate(rows):
+        rng, held = random.Random(f"{SALT}|{n}"), n % 4 == 3
+        out.append(("", held, (prompt, text, finish, error)))
+        out.append(("empty", held, (prompt, rng.choice(HOLLOW), finish, error)))
+        out.append(("refusal", held, (prompt, rng.choice(DECLINED), finish, error)))
+        if len(prompt) > 80:
+            body = re.split(r"\n\s*\n", prompt)
+            words = rng.choice([prompt, max(body, key=len)]).split()
+            out.append(("copy", held, (prompt, " ".join(w for w in words if rng.random() > 0.03), finish, error)))
+        at = int(len(text) * rng.uniform(0.3, 0.9))
+        while 0 < at < len(text) and not (text[at - 1].isalnum() and text[at].isalnum()):
+            at -= 1
+        if at > 12:
+            out.append(("truncated", held, (prompt, text[:at], rng.choice([finish, "length"]), error)))
+        tongue = language(re.split(r"\n\s*\n", prompt, maxsplit=1)[0])
+        other = rows[rng.randrange(len(rows))]
+        if tongue and (theirs := language(re.split(r"\n\s*\n", other[0], maxsplit=1)[0])) and theirs != tongue:
+            out.append(("language", held, (prompt, other[1], finish, error)))
+    return out
+
+
+def fit(patterns: Mapping[tuple[int, ...], float], known: Mapping[tuple[tuple[int, ...], bool], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
     """Posterior of the defect for each pattern of votes, by expectation-maximisation over patterns and their counts.
 
-    Given the defect, functions vote independently; each has a chance of each vote under defect and under none. The counts
-    of patterns are all the model sees, at most three to the power of the functions.
+    Given the defect, functions vote independently; each has a chance of each vote under defect and under none, learnt from
+    the patterns and from the ``known`` ones: the planted count as what they are, the others begin the model. The counts of
+    patterns are all the model sees, at most three to the power of the functions.
     """
-    total = sum(n for _, n in patterns) or 1
-    hold = 20.0
-    start = {(f, y, s): (0.98 * (START[f] if (s > 0) == y else 1 - START[f]) if s else 0.02) for f in names for y in (True, False) for s in (1, 0, -1)}
-    chance, share = dict(start), PRIOR
-    post: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        for pattern, _n in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(chance[f, True, s] / chance[f, False, s]) for f, s in zip(names, pattern) if s)
-            post[pattern] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-        share = min(0.3, max(1e-4, (sum(post[p] * n for p, n in patterns) + PRIOR * hold) / (total + hold)))
-        for i, f in enumerate(names):
+    total = sum(patterns.values()) or 1
+    every = {*patterns, *(p for p, _ in known)}
+    size = len(next(iter(every), ()))
+    labelled = {(i, y, s): sum(n for (p, z), n in known.items() if z == y and p[i] == s) for i in range(size) for y in (True, False) for s in (1, 0, -1)}
+    post, share = dict.fromkeys(every, 0.0), PRIOR
+    for turn in range(rounds):
+        chance = {}
+        for i in range(size):
             for y in (True, False):
-                mass = {s: hold * start[f, y, s] for s in (1, 0, -1)}
-                for p, n in patterns:
+                # Answers as they are only show how the model begins, less the share of them that is expected to have the defect.
+                mass = {s: 0.5 + (labelled[i, y, s] if y or not turn else 0) for s in (1, 0, -1)}
+                if not y and not turn:
+                    mass[1] = max(0.5, mass[1] - PRIOR * sum(mass.values()))
+                for p, n in patterns.items() if turn else ():
                     mass[p[i]] += n * (post[p] if y else 1 - post[p])
                 whole = sum(mass.values())
-                chance.update({(f, y, s): m / whole for s, m in mass.items()})
+                chance.update({(i, y, s): m / whole for s, m in mass.items()})
+        new = {}
+        for p in every:
+            odds = math.log(share / (1 - share)) + sum(math.log(chance[i, True, s] / chance[i, False, s]) for i, s in enumerate(p) if s)
+            new[p] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+        moved = max((abs(new[p] - post[p]) for p in every), default=0.0)
+        post = new
+        share = min(0.3, max(1e-4, (sum(post[p] * n for p, n in patterns.items()) + PRIOR * HOLD) / (total + HOLD)))
+        if turn and moved < 1e-6:
+            break
     return post
 
 
-def labelled(df: DataFrame) -> DataFrame:
-    """Votes for each call (call_id, one column for each labelling function), judged over all calls of the table."""
-    names = list(START)
-    rows = df.select("call_id", "prompt_text", "text", "finish_reason", "error").distinct()
+def cutoff(post: Mapping[tuple[int, ...], float], held: Mapping[tuple[tuple[int, ...], bool], int]) -> float:
+    """The cutoff with the best hit rate less false alarms on held-out answers, of equal ones the nearest to a half.
+
+    Some of the answers as they are have the defect too; these count against every cutoff alike.
+    """
+    sums = {y: sum(n for (_, z), n in held.items() if z == y) or 1 for y in (True, False)}
+    rate = lambda c, y: sum(n for (p, z), n in held.items() if z == y and post[p] > c) / sums[y]
+    return max(CUTOFFS, key=lambda c: (round(rate(c, True) - rate(c, False), 6), -abs(c - 0.5)))
+
+
+def _judge(prompt: str | None, text: str | None, finish: str | None, error: str | None, tongues: dict) -> tuple[str | None, list[str], list[int]]:
+    v, last = votes(prompt, text, finish, error, tongues)
+    inner = []
+    if text:
+        found = [m[1].strip().lower() for x in text.splitlines() if (m := _ITEM.match(x))]
+        listed = re.search(r"subthemes[\"']\s*:\s*\[([^\]]*)\]", text)
+        inner = [*found[:-1], *(found[-1:] if last is None else []), *(x.strip().lower() for x in re.findall(r"\"([^\"]*)\"", listed[1] if listed else ""))]
+    return last, inner, [v[n] for n in NAMES]
+
+
+def labelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Votes for each call (call_id, one column for each labelling function), judged over all calls, and items known whole."""
 
     def judge(batch: Iterator[tuple]) -> Iterator[tuple]:
         tongues: dict = {}
         for key, prompt, text, finish, error in batch:
-            v, last = votes(prompt, text, finish, error, tongues)
-            inner = []
-            if text:
-                found = [m[1].strip().lower() for x in text.splitlines() if (m := _ITEM.match(x))]
-                listed = re.search(r"subthemes[\"']\s*:\s*\[([^\]]*)\]", text)
-                inner = [*found[:-1], *(found[-1:] if last is None else []), *(x.strip().lower() for x in re.findall(r"\"([^\"]*)\"", listed[1] if listed else ""))]
-            yield (key, last, inner, *(v[n] for n in names))
+            last, inner, said = _judge(prompt, text, finish, error, tongues)
+            yield (key, last, inner, *said)
 
     kind = df.schema["call_id"].dataType.simpleString()
-    judged = checkpointed(map_rows(rows, judge, f"call_id {kind}, last string, inside array<string>, " + ", ".join(f"{n} byte" for n in names)))
+    rows = df.select("call_id", "prompt_text", "text", "finish_reason", "error")
+    # Rows that come again have the same votes: these are moved, not the texts.
+    judged = checkpointed(map_rows(rows, judge, f"call_id {kind}, last string, inside array<string>, " + ", ".join(f"{n} byte" for n in NAMES)).distinct())
     # An item that other answers list before their last item is whole.
-    whole = judged.select(F.explode("inside").alias("last")).groupBy("last").agg(F.count("*").alias("seen")).filter("seen >= 3")
-    judged = judged.drop("inside").join(whole, "last", "left")
+    whole = checkpointed(judged.select(F.explode("inside").alias("last")).groupBy("last").agg(F.count("*").alias("seen")).filter("seen >= 3").select("last"))
+    out = judged.drop("inside").join(whole.withColumn("seen", F.lit(True)), "last", "left")
     part = F.when(F.col("last").isNull(), F.col("part_item")).when(F.col("seen").isNull(), 1).otherwise(-1).cast("byte")
-    stop = F.when(F.col("last").isNotNull(), F.when(F.col("seen").isNull(), 1).otherwise(-1)).otherwise(F.col("no_stop")).cast("byte")
-    return judged.withColumn("part_item", part).withColumn("no_stop", stop).drop("last", "seen")
+    return out.withColumn("part_item", part).drop("last", "seen"), whole
+
+
+def _planted_patterns(df: DataFrame, whole: DataFrame) -> dict[tuple[str, bool], Counter]:
+    """Patterns of votes on planted answers, by defect and held out or not: (pattern, planted?) -> count."""
+    spark = df.sparkSession
+    some = df.select("call_id", "prompt_text", "text", "finish_reason", "error").filter("length(prompt_text) > 0 and length(trim(text)) > 0")
+    at = F.md5(F.concat(F.col("call_id").cast("string"), F.lit(f"|{SALT}")))
+    rows = some.orderBy(at, "call_id", "text").limit(SAMPLE).collect()
+    cases = planted([tuple(r)[1:] for r in rows])
+    tongues: dict = {}
+    judged = [(defect, held, *_judge(*pair, tongues)) for defect, held, pair in cases]
+    asked = {last for _, _, last, _, _ in judged if last is not None}
+    known = {r[0] for r in spark.createDataFrame([(x,) for x in asked], "last string").join(whole, "last", "left_semi").collect()} if asked else set()
+    part = NAMES.index("part_item")
+    out: dict[tuple[str, bool], Counter] = {(d, h): Counter() for d in DEFECTS for h in (True, False)}
+    for defect, held, last, _, said in judged:
+        if last is not None:
+            said[part] = -1 if last in known else 1
+        for d in DEFECTS:
+            if defect in ("", d):
+                out[d, held][tuple(said[NAMES.index(f)] for f in FUNCTIONS[d]), defect == d] += 1
+    return out
 
 
 def defects(df: DataFrame) -> DataFrame:
-    """Posteriors of defective pairs: (call_id, defect, p), all labels whose posterior exceeds the cutoff.
+    """Posteriors of defective pairs: (call_id, defect, p), all labels whose posterior exceeds the cutoff of their defect.
 
     Null and blank answers are 'empty'; a null prompt leaves copy and language open. Repeated rows are judged once, rows
-    that differ under one call_id each by itself; other columns are ignored; an empty table gives an empty one.
+    that differ under one call_id each by itself; other columns are ignored; an empty table gives an empty one. Votes are
+    counted and the model is fitted when this is called.
     """
-    marked = labelled(df)
+    marked, whole = labelled(df)
+    marked = checkpointed(marked)
     spark = df.sparkSession
     # One scan counts the vote patterns of all defects.
     sets = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.concat_ws(",", *(F.col(f).cast("string") for f in FUNCTIONS[d])).alias("pattern")) for d in DEFECTS)))
     long = marked.select("call_id", sets.alias("x")).select("call_id", "x.*")
     bound = sum(3 ** len(f) for f in FUNCTIONS.values())
     counted = small_rows(long.groupBy("defect", "pattern").agg(F.count("*").alias("n")), bound, "vote patterns")
+    seeds = _planted_patterns(df, whole)
     fitted = []
     for d in DEFECTS:
-        patterns = [(tuple(map(int, r["pattern"].split(","))), r["n"]) for r in counted if r["defect"] == d]
-        fitted += [(d, ",".join(map(str, p)), float(q)) for p, q in fit(patterns, FUNCTIONS[d]).items() if q > CUTOFF[d]]
+        patterns = {tuple(map(int, r["pattern"].split(","))): r["n"] for r in counted if r["defect"] == d}
+        post = fit(patterns, seeds[d, False])
+        for p, _ in seeds[d, True]:
+            post.setdefault(p, 0.0)
+        least = cutoff(post, seeds[d, True])
+        fitted += [(d, ",".join(map(str, p)), float(post[p])) for p in patterns if post[p] > least]
     kept = spark.createDataFrame(fitted, "defect string, pattern string, p double")
     return long.join(F.broadcast(kept), ["defect", "pattern"]).groupBy("call_id", "defect").agg(F.max("p").alias("p"))
 
