@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,16 @@ VERBS = "asked|said|replied|continued|added"
 HONORIFICS = "mr|mrs|ms|miss|lord|lady|sir|dr|colonel|general|captain|major|earl|viscount|baron|baroness|duke|archbishop"
 MALE = ("mr", "sir", "lord", "baron", "viscount", "duke", "earl", "marquess")
 FEMALE = ("mrs", "ms", "miss", "lady", "dame", "duchess", "countess", "baroness", "viscountess")
+# Offices that say nothing about who holds them.
+OFFICES = ("speaker", "chairman", "chair", "president", "secretary", "treasurer", "minister", "advocate", "attorney", "solicitor", "chancellor", "archbishop", "bishop")
+# Ranks, titles and styles, as patterns, that stand before a name.
+RANKS = (
+    r"Lieut[\-\s]?Colonel", r"Lt[\-\s]?Col", "Major", "Colonel", r"Brigadier(?:[\-\s]?General)?", r"Lieut[\-\s]?Commander", r"Lieutenant[\-\s]?Commander", "Lieutenant",
+    "Captain", "Commander", "Commodore", r"Wing[\-\s]?Commander", r"Group[\-\s]?Captain", r"Air[\-\s]?Commodore", r"Rear[\-\s]?Admiral", r"Vice[\-\s]?Admiral", "Admiral",
+    r"Field[\-\s]?Marshal", r"Major[\-\s]?General", r"Lieut[\-\s]?General", "General", r"Air[\-\s]?Vice[\-\s]?Marshall", r"Squadron[\-\s]?Leader", r"Flight[\-\s]?Lieut", r"Sub[\-\s]?Lieutenant",
+    "Viscountess", "Viscount", "Baroness", "Baron", "Lord", "Lady", "Earl", "Countess", "Marquess", "Marchioness", "Duke", "Duchess",
+    "Hon(?:orable)?", "Sir", "Dame", "Dr", "Professor", "Prof", "Reverend", "Rev", r"Master(?:[\s\-]of[\s\w]+)?", "Count", r"The\sO'Conor\sDon", r"The\sO'Donoghue[^\s]*", r"Of\b",
+)
 
 
 def clean_name(name: Column) -> Column:
@@ -70,24 +80,51 @@ def name_similarity(a: str, b: str) -> Column:
 
 def title_gender(name: Column) -> Column:
     """Gender that a title anywhere in the name tells, else null."""
-    word = F.lower(F.regexp_extract(name, rf"(?i)\b({'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\b", 1))
+    word = F.lower(F.regexp_extract(name, rf"(?i)\b({'|'.join(sorted({*MALE, *FEMALE}, key=len, reverse=True))})\b", 1))
     return F.when(word.isin(*MALE), "male").when(word.isin(*FEMALE), "female")
 
 
-def first_word_gender(name: Column, given: Mapping[str, str]) -> Column:
-    """Gender of the first word by a dictionary of given names, a table that the user brings."""
+def leading_gender(name: Column) -> Column:
+    """Gender that the first word tells if it is a title, else null."""
+    word = F.regexp_replace(F.lower(F.try_element_at(F.split(F.trim(name), r"\s+"), F.lit(1))), r"[.,]+$", "")
+    return F.when(word.isin(*MALE), "male").when(word.isin(*FEMALE), "female")
+
+
+def without_ranks(name: Column, ranks: Sequence[str] = RANKS, times: int = 3) -> Column:
+    """Name without the titles, ranks and offices it begins with, at most ``times`` of them."""
+    pattern = rf"(?i)^(?:{'|'.join(ranks)})\s+"
+    for _ in range(times):
+        name = F.trim(F.regexp_replace(name, pattern, ""))
+    return name
+
+
+def _given_table(given: Mapping[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in given.items() for x in pair)) if given else F.create_map().cast("map<string,string>")
+
+
+def first_word_gender(name: Column, given: Mapping[str, str], likely: bool = False) -> Column:
+    """Gender of the first word by a dictionary of given names, a table that the user brings.
+
+    The dictionary says male or female, or mostly_male or mostly_female, which count only if ``likely``.
+    """
     word = F.lower(F.regexp_extract(name, r"^\W*(\w+)", 1))
-    table = F.create_map(*(F.lit(x) for pair in given.items() for x in pair)) if given else F.create_map().cast("map<string,string>")
-    return table[word]
+    said = _given_table(given)[word]
+    return F.when(said.isin("male", "female"), said).when(F.lit(likely) & said.startswith("mostly_"), F.regexp_replace(said, "^mostly_", ""))
 
 
 def speaker_gender(name: Column, given: Mapping[str, str], override: Mapping[str, str]) -> Column:
-    """Gender in stages, each for what the earlier ones left open: title, given name behind the titles, exact override."""
-    stripped = name
-    for _ in range(3):
-        stripped = F.regexp_replace(stripped, rf"(?i)^({HONORIFICS}|{'|'.join(MALE + FEMALE)}|rev|prof|professor|hon)\.?\s+", "")
-    table = F.create_map(*(F.lit(x) for pair in override.items() for x in pair)) if override else F.create_map().cast("map<string,string>")
-    return F.coalesce(title_gender(name), title_gender(stripped), first_word_gender(stripped, given), table[name])
+    """Gender of a listed speaker in stages, each for what the earlier ones left open: the leading title, the leading title
+    behind ranks, the given name behind ranks, an exact override."""
+    stripped = without_ranks(name)
+    return F.coalesce(leading_gender(name), leading_gender(stripped), first_word_gender(stripped, given), _given_table(override)[name])
+
+
+def spelling_gender(name: Column, given: Mapping[str, str]) -> Column:
+    """Gender of a spelling in a transcript: a title anywhere, else null for an office, else the given name behind ranks,
+    of which likely ones count."""
+    cleaned = F.regexp_replace(clean_name(name), "^the ", "")
+    office = F.try_element_at(F.split(cleaned, " "), F.lit(1)).isin(*OFFICES)
+    return F.coalesce(title_gender(cleaned), F.when(~office & (cleaned != ""), first_word_gender(without_ranks(cleaned, times=1), given, True)))
 
 
 def canonical(value: Column, names: Mapping[str, str | None]) -> Column:

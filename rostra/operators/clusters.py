@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.functions import names
@@ -12,26 +14,56 @@ from rostra.runtime import checkpointed
 
 #: Phrases that one clustering takes; its matrix of distances is held by one task.
 PHRASES = 20_000
+#: Names of a block that are compared with each other in one task.
+PART = 512
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components (node, component), the component named by its least node.
 
     Every node takes the least label among its neighbours and then the label of its label, so that chains shrink by half
-    a round; labels are written out between rounds.
+    a round; labels are written out between rounds, until a round changes none.
     """
     both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a")).distinct())
     labels = checkpointed(nodes.select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("heard"))
         near = labels.join(heard, "node", "left").select("node", "component", F.least("component", F.coalesce("heard", F.col("component"))).alias("low"))
         far = near.join(labels.select(F.col("node").alias("low"), F.col("component").alias("root")), "low", "left")
         step = checkpointed(far.select("node", F.least("low", F.coalesce("root", F.col("low"))).alias("component"), F.col("component").alias("was")))
-        changed = step.filter("component <> was").limit(1).count()
         labels = step.select("node", "component")
-        if not changed:
-            break
-    return labels
+        if step.filter("component <> was").isEmpty():
+            return labels
+
+
+def alike(spellings: DataFrame, above: float) -> DataFrame:
+    """Pairs (a, b) of spellings (name, block) of one block that are more alike than ``above``.
+
+    A block is compared by parts of about ``PART`` names, so that a common sound is the work of many tasks, and in the JVM
+    all but pairs that can be alike drop out: those with a word in common, or whose words in order are few edits apart.
+    """
+    sizes = spellings.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    words = F.array_sort(F.array_distinct(F.split("name", " ")))
+    held = spellings.join(sizes, "block").select("block", "name", words.alias("w"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), "parts")
+    left = held.select("block", F.col("name").alias("a"), F.col("w").alias("aw"), F.col("part").alias("low"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("high"))
+    right = held.select("block", F.col("name").alias("b"), F.col("w").alias("bw"), F.explode(F.sequence(F.lit(0), "part")).alias("low"), F.col("part").alias("high"))
+    pairs = left.join(right, ["block", "low", "high"]).filter("low < high or a < b")
+    one, two = F.array_join("aw", " "), F.array_join("bw", " ")
+    room = F.floor((F.length(one) + F.length(two)) * (1 - above / 100)).cast("int")
+    can = F.arrays_overlap("aw", "bw") | (F.abs(F.length(one) - F.length(two)) <= room) & (F.levenshtein(one, two) <= room)
+    near = pairs.filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.filter(names.name_similarity("a", "b") > above)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their number in an order, from 1 on: ranges of the order are numbered side by side, behind the counts of
+    the ranges before them."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_c"))
+    # A row for each range.
+    before = counts.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, number).drop("_range", "_before")
 
 
 def speakers(rows: DataFrame, above: float = 90.0) -> DataFrame:
@@ -40,12 +72,9 @@ def speakers(rows: DataFrame, above: float = 90.0) -> DataFrame:
     Spellings are compared within blocks of sound; those more alike than ``above`` are one speaker, as are their chains.
     Empty names drop out. Ids follow the first date and the name.
     """
-    cleaned = rows.select(names.clean_name(F.col("speaker")).alias("name"), F.to_date(F.col("date")).alias("date")).filter("name <> ''")
+    cleaned = rows.select(names.clean_name(F.col("speaker")).alias("name"), F.try_to_date("date").alias("date")).filter("name <> ''")
     spellings = cleaned.groupBy("name").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n")).withColumn("block", names.block_key(F.col("name")))
-    a, b = spellings.alias("a"), spellings.alias("b")
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    edges = near.filter(names.name_similarity("a", "b") > above)
-    labels = components(edges, spellings.select(F.col("name").alias("node")))
+    labels = components(alike(spellings.select("name", "block"), above), spellings.select(F.col("name").alias("node")))
     joined = spellings.join(labels, spellings.name == labels.node)
     best = F.max_by("name", F.struct(F.length("name"), F.transform(F.split("name", ""), lambda c: -F.ascii(c))))
     people = joined.groupBy("component").agg(
@@ -53,9 +82,7 @@ def speakers(rows: DataFrame, above: float = 90.0) -> DataFrame:
         F.count("*").alias("n_variants"), F.sum("n").alias("n_rows"),
     )
     people = people.withColumn("gap_days", F.datediff("last", "first")).drop("component")
-    # The table of speakers is ordered as a whole to number it; zipWithIndex does that without one task.
-    ordered = people.orderBy("first", "canonical_name").rdd.zipWithIndex().map(lambda x: (*x[0], f"P{x[1] + 1:05d}"))
-    return people.sparkSession.createDataFrame(ordered, people.schema.add("person_id", "string"))
+    return numbered(people, ["first", "canonical_name"], "_i").withColumn("person_id", F.concat(F.lit("P"), F.lpad(F.col("_i").cast("string"), 5, "0"))).drop("_i")
 
 
 def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:

@@ -173,15 +173,19 @@ def baseline(df: DataFrame, flag: str, label: str) -> DataFrame:
 
 
 def rank_agreement(df: DataFrame, key: str, by: str, score: str, k: int) -> DataFrame:
-    """Spearman correlation and overlap of the first k for each pair of rankings, over keys that all rankings hold."""
-    whole = df.filter(F.col(score).isNotNull())
-    models = F.size(F.collect_set(by).over(Window.partitionBy(key)))
+    """Spearman correlation and overlap of the first k for each pair of rankings, over keys that all rankings hold.
+
+    Ranks come from running sums over bands and the first k from draws in parts, so that no ranking is one task.
+    """
+    whole = df.filter(F.col(score).isNotNull()).select(key, by, score)
     total = whole.agg(F.count_distinct(by).alias("models"))
-    full = whole.withColumn("have", models).crossJoin(F.broadcast(total)).filter("have = models")
-    over = Window.partitionBy(by)
-    ties = F.count("*").over(Window.partitionBy(by, score))
-    full = full.withColumns({"rank": F.rank().over(over.orderBy(score)) + (ties - 1) / 2, "top": (F.row_number().over(over.orderBy(F.desc(score), key)) <= k).cast("long")})
-    a, b = full.alias("a"), full.alias("b")
+    held = whole.groupBy(key).agg(F.count_distinct(by).alias("have")).crossJoin(F.broadcast(total)).filter("have = models").select(key)
+    full = whole.join(held, key)
+    tied = _running(full.groupBy(by, score).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("tp")), [by], score)
+    ranks = tied.select(by, score, (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank"))
+    first = first_of_each(full, [by], [F.desc(score), F.col(key)], key, k, "_r").select(key, by, F.lit(1).alias("top"))
+    placed = full.join(ranks, [by, score]).join(first, [key, by], "left").select(key, by, "rank", F.coalesce("top", F.lit(0)).alias("top"))
+    a, b = placed.alias("a"), placed.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{by}") < F.col(f"b.{by}")))
     return pairs.groupBy(F.col(f"a.{by}").alias("a"), F.col(f"b.{by}").alias("b")).agg(
         F.round(F.corr("a.rank", "b.rank"), 6).alias("spearman"), F.round(F.sum(F.col("a.top") * F.col("b.top")) / k, 6).alias("overlap"), F.count("*").alias("n")
@@ -218,3 +222,35 @@ def definition_split(df: DataFrame, by: str) -> DataFrame:
     return rates.groupBy("speech_id").agg(
         F.round(F.max(2 * F.least(F.col("r"), 1 - F.col("r"))), 6).alias("split"), F.round(F.max("r") - F.min("r"), 6).alias("gap"), F.count("*").alias("definitions")
     )
+
+
+def masked_rate(df: DataFrame, group: Sequence[str] = (), mask: Column | None = None) -> DataFrame:
+    """Positives, parsed cells and their share; positives are the affirmed topic, or the rows of a mask."""
+    hit = F.coalesce(F.col("mentions_topic") if mask is None else mask, F.lit(False)).cast("long")
+    out = df.filter(F.col("parse_ok")).groupBy(*group).agg(F.coalesce(F.sum(hit), F.lit(0)).alias("positives"), F.count("*").alias("parsed"))
+    return out.withColumn("share", F.round(F.try_divide("positives", "parsed"), 6))
+
+
+def queries_gold(panel: DataFrame, pilot: DataFrame, queries: DataFrame, least: int = 3) -> DataFrame:
+    """Labels for each query (query_id, speech_id, label): the panel's majority without the query's own definition.
+
+    Queries of no panel definition take the whole panel. Without any panel cell, the pilot's majority under the query's
+    definition stands in, or under the pilot's first definition where it has none.
+    """
+    if panel.isEmpty():
+        known = pilot.select("definition").distinct()
+        own = queries.join(known, queries.query_id == known.definition, "left")
+        fallback = pilot.agg(F.min("definition").alias("_any"))
+        named = own.crossJoin(F.broadcast(fallback)).select("query_id", F.coalesce("definition", "_any").alias("definition"))
+        labels = gold(pilot, 1, ["definition"]).select("definition", "speech_id", "label")
+        return named.join(labels, "definition").select("query_id", "speech_id", "label")
+    held = votes(panel)
+    own = leave_one_out(held, "definition", least).select(F.col("definition").alias("query_id"), "speech_id", "label")
+    names = held.select(F.col("definition").alias("query_id")).distinct()
+    rest = queries.select("query_id").join(names, "query_id", "left_anti").crossJoin(gold(held, least).select("speech_id", "label"))
+    return own.join(queries.select("query_id").distinct(), "query_id", "left_semi").unionByName(rest)
+
+
+def evaluate_all(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every query and mode of the scores against the query's own labels: (query_id, mode, auroc, ap, positives, negatives)."""
+    return ranking(scores.join(labels, ["query_id", "speech_id"]), ["query_id", "mode"], "score", "label")

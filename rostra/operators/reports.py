@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.functions.text import truncated
+from rostra.operators import metrics
 from rostra.operators.strata import first_of_each
-from rostra.runtime import map_rows
+from rostra.runtime import map_rows, small_rows
 
 #: Theme lists of a speech that are compared with each other at a time, and numbers in one table of cosines.
 BLOCK, CELLS = 256, 1 << 22
@@ -97,13 +99,72 @@ def coverage(base: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFram
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small result as a Markdown section; the table is a report, whose rows are bounded."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown section, in the order of its rows; one above ``most`` rows is an error, not cut."""
+    rows = small_rows(df, most, f"report {title!r}")
     show = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
 
 
 def payload(df: DataFrame, most: int = 10_000) -> str:
-    """A small result as JSON for a page."""
-    return json.dumps([r.asDict(recursive=True) for r in df.limit(most).collect()], default=str)
+    """A small result as JSON for a page, in the order of its rows; one above ``most`` rows is an error, not cut."""
+    return json.dumps([r.asDict(recursive=True) for r in small_rows(df, most, "payload")], default=str)
+
+
+def explorer(speeches: DataFrame, cells: DataFrame, text: str = "speech_text", most: int = 10_000, chars: int = 400) -> DataFrame:
+    """Speeches with their cells as one nested row each, the payload of a page: (speech_id, year, section_title, excerpt, cells)."""
+    fields = [c for c in cells.columns if c != "speech_id"]
+    held = cells.groupBy("speech_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cells"))
+    return speeches.select("speech_id", "year", "section_title", truncated(F.col(text), chars).alias("excerpt")).join(held, "speech_id")
+
+
+def gradient(rates: DataFrame, group: Sequence[str], era: str, rate: str, first: str, last: str) -> DataFrame:
+    """How far the rate of a group rises from the first era to the last; null where it lacks one."""
+    at = lambda name: F.max(F.when(F.col(era) == name, F.col(rate)))
+    return rates.groupBy(*group).agg(F.round(at(last) - at(first), 6).alias("gradient"))
+
+
+def contested(rates: DataFrame, key: str, by: str, rate: str, one: str, other: str) -> DataFrame:
+    """Keys whose rates under two variants differ, the widest gap first: (key, gap, one, other)."""
+    at = lambda name: F.max(F.when(F.col(by) == name, F.col(rate)))
+    both = rates.groupBy(key).agg(at(one).alias("one"), at(other).alias("other")).filter("one is not null and other is not null")
+    return both.select(key, F.round(F.abs(F.col("other") - F.col("one")), 6).alias("gap"), "one", "other").filter("gap > 0").orderBy(F.desc("gap"), key)
+
+
+def effect_order(df: DataFrame, effect: str, key: str) -> DataFrame:
+    """Rows by effect, the greatest first and those without one last."""
+    return df.orderBy(F.col(effect).desc_nulls_last(), key)
+
+
+def ranked_results(df: DataFrame) -> DataFrame:
+    """Results of configurations in the order of a report: by average precision, then query and mode."""
+    return df.orderBy(F.desc("ap"), "query_id", "mode")
+
+
+def wide(df: DataFrame, key: str, by: str, value: str, names: Sequence[str]) -> DataFrame:
+    """One column for each named value of ``by``: what it gives for a key."""
+    return df.groupBy(key).pivot(by, list(names)).agg(F.first(value, True))
+
+
+def headline(cells: DataFrame, sampled: DataFrame, core: DataFrame) -> DataFrame:
+    """The headline numbers of a grid as rows (section, name, value): presence, factors, self-consistency, prevalence.
+
+    ``core`` has the cells at temperature 0, ``sampled`` those that were asked again at a higher one.
+    """
+    number = lambda df, section, names: df.select(F.explode(F.array(*(F.struct(F.lit(section).alias("section"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("r")).select("r.*")
+    presence = number(metrics.krippendorff(core, ["speech_id"], "mentions_topic"), "presence", ("alpha", "mean_pairwise_agreement", "units"))
+    factors = metrics.factor_decomposition(core, "speech_id", "mentions_topic").select(F.lit("factor").alias("section"), F.col("factor").alias("name"), F.col("disagreement").alias("value"))
+    again = number(metrics.krippendorff(sampled, ["speech_id", "role", "task", "definition", "model_id"], "mentions_topic"), "self-consistency", ("alpha", "units"))
+    spread = number(metrics.prevalence(core, list(metrics.FACTORS), "mentions_topic"), "prevalence", ("mean", "min", "max", "spread"))
+    return presence.unionByName(factors).unionByName(again).unionByName(spread)
+
+
+def spotcheck(drawn: DataFrame, cells: DataFrame) -> DataFrame:
+    """Bands of a drawn check against the labels that were made for it: (band, n_speeches, n_labelled, rate, mean_score).
+
+    ``drawn`` has speech_id, band and score; a speech that no cell labels counts in its band alone.
+    """
+    rates = cells.groupBy("speech_id").agg(F.avg(F.col("mentions_topic").cast("double")).alias("r")).filter("r is not null")
+    return drawn.join(rates, "speech_id", "left").groupBy("band").agg(
+        F.count("*").alias("n_speeches"), F.count("r").alias("n_labelled"), F.round(F.avg("r"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score")
+    )

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostra.functions.text import first_filled
+from rostra.functions.text import first_filled, string_list
+from rostra.runtime import checkpointed
 
 CALL = "text string, reasoning string, finish_reason string, prompt_tokens int, completion_tokens int, latency_s double, attempts int, error string, raw string"
 
@@ -108,3 +109,81 @@ def drifted(store: DataFrame, again: DataFrame, key: str, least: float = 0.99) -
 
     joined = store.select(key, F.col("vector").alias("old")).join(again.select(key, F.col("vector").alias("new")), key)
     return joined.withColumn("score", cosine(F.col("old"), F.col("new"))).filter(F.col("score") < least).select(key, "score")
+
+
+def arm(df: DataFrame, **equal) -> DataFrame:  # noqa: ANN003
+    """Cells of one arm of a grid: every named column equals its value, or one of its values if that is a list; None means null."""
+    for name, value in equal.items():
+        df = df.filter(F.col(name).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
+def resumed(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What a stage that broke off still has to do: rows whose key is not done."""
+    return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
+def fetched(spark: SparkSession, first: int, last: int, fetch: Callable[[int], tuple[int, str]], tasks: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Records of a range of ids, both ends included, from a service: (id, body) and the failed (id, status, note).
+
+    ``fetch`` gives a status and a body; only 200 is a record, 404 is noted as not found, of others the first 200 characters
+    are kept, and what it raises becomes the note. Each id is asked once; the answers are written out before they part.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i in batch["id"]:
+                try:
+                    status, body = fetch(int(i))
+                except Exception as wrong:  # noqa: BLE001
+                    status, body = None, f"{type(wrong).__name__}: {wrong}"
+                rows.append((i, status, body))
+            yield pd.DataFrame(rows, columns=["id", "status", "body"])
+
+    asked = checkpointed(spark.range(first, last + 1, 1, tasks).mapInPandas(run, "id long, status int, body string"))
+    note = F.when(F.col("status") == 404, "Not found").when(F.col("status").isNotNull(), F.left("body", F.lit(200))).otherwise(F.col("body"))
+    good = F.col("status").eqNullSafe(200)
+    return asked.filter(good).select("id", "body"), asked.filter(~good).select("id", "status", note.alias("note"))
+
+
+def candidate_pages(speakers: DataFrame, key: str, query: Column, links: DataFrame, pages: DataFrame, read: Column, most: int = 2) -> DataFrame:
+    """Candidate links and texts of speakers as one row each: (``key``, search_query, links, texts), in the order of the links.
+
+    ``links`` (``key``, place, url) is what a search gave, of which the first ``most`` count; ``pages`` (url, html) what was
+    saved; ``read`` turns html into text. A page that was not saved has an empty text, a speaker without links empty lists.
+    """
+    asked = speakers.select(key, query.alias("search_query"))
+    first = links.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).filter(F.col("_n") <= most)
+    texts = first.join(pages.select("url", read.alias("text")), "url", "left").select(key, "_n", "url", F.coalesce("text", F.lit("")).alias("text"))
+    held = texts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", "url", "text"))).alias("_x"))
+    none = F.array().cast("array<string>")
+    return asked.join(held, key, "left").select(
+        key, "search_query", F.coalesce(F.transform("_x", lambda x: x["url"]), none).alias("links"), F.coalesce(F.transform("_x", lambda x: x["text"]), none).alias("texts")
+    )
+
+
+def text_columns(preloaded: Column, first: Column, second: Column) -> tuple[Column, Column]:
+    """Two text columns from a list of texts in a cell where it has any, else what was fetched for them."""
+    texts = string_list(preloaded)
+    have = F.size(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != "")) > 0
+    at = lambda i, other: F.when(have, F.coalesce(F.try_element_at(texts, F.lit(i)), F.lit(""))).otherwise(other)
+    return at(1, first), at(2, second)
+
+
+def placed(rows: DataFrame, records: DataFrame, place: str) -> DataFrame:
+    """Rows joined to the records of their place, a column of both, as the order of rows is no property of a table."""
+    both = [c for c in records.columns if c in rows.columns and c != place]
+    return rows.join(records.drop(*both), place, "left")
+
+
+def members(rows: DataFrame, payloads: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows joined to the payload of their member; of several payloads of one member the last in ``order`` holds."""
+    fields = [c for c in payloads.columns if c not in (key, order)]
+    last = payloads.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("_p")).select(key, "_p.*")
+    return rows.join(last, key, "left")
+
+
+def aligned(rows: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with the value of their key; rows without one, or with a null one, drop out."""
+    return rows.join(values.select(key, value).filter(F.col(value).isNotNull()), key)

@@ -135,7 +135,7 @@ def _models_as_rankings(s: SparkSession, d: str) -> DataFrame:
     return scores(s, d).select("vec_id", F.col("query_id").alias("model"), "score")
 
 
-_RANKINGS = f"""WITH {SCORES}, f AS (SELECT vec_id, query_id AS model, score FROM score WHERE query_id < 4),
+_RANKINGS = f"""WITH {SCORES}, f AS (SELECT vec_id, query_id AS model, score FROM score),
 r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS rk, CAST(row_number() OVER (PARTITION BY model ORDER BY score DESC, vec_id) <= 100 AS INT) AS top FROM f)
 SELECT a.model AS a, b.model AS b, round(corr(a.rk, b.rk), 6) AS spearman, round(sum(a.top * b.top) / 100, 6) AS overlap, count(*) AS n
 FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.model < b.model GROUP BY 1, 2"""

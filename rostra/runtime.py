@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -43,15 +46,37 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def _own_folder() -> str:
+    """A temporary folder that goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="rostra-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names; a temporary one if it names none."""
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Without one, a session in one process gets a temporary folder; on a cluster that would lose data, so it is an error.
+    Checkpoints are removed with the tables that refer to them where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rostra-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or _own_folder())
     return df.checkpoint()
 
 
+def shared_file(spark: SparkSession, path: str):  # noqa: ANN201
+    """A path on whatever file system the session reads: (file system, path)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def small_rows(df: DataFrame, bound: int, what: str) -> list:
     """Rows of a result whose size is bounded by its definition; raises if the bound does not hold."""
     rows = df.limit(bound + 1).collect()

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import datetime
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -88,18 +89,41 @@ def tree(html: str | None) -> Node:
     return t.root
 
 
-def article_text(html: str | None) -> str:
-    """Main text and infobox of an encyclopedia article as one block."""
-    root = tree(html)
-    body = next((n for m in root.find() if m.attrs.get("id") == "mw-content-text" for n in m.find(cls="mw-parser-output")), None)
-    main = [t for n in (body.walk() if body else ()) if n.name in ("p", "h2", "h3", "li", "table") and (t := n.text(" "))]
+def _facts(root: Node, filled: bool = True) -> list[str]:
+    """Lines of head and cell of the infobox; those with an empty side too, if asked for."""
     box = next(iter(root.find(cls="infobox")), None)
-    facts = []
+    out = []
     for row in box.find("tr") if box else ():
         heads, cells = row.find("th"), row.find("td")
-        if heads and cells and heads[0].text(" ") and cells[0].text(" "):
-            facts.append(f"{heads[0].text(' ')}: {cells[0].text(' ')}")
-    return "\n".join(["Main text:", "", *(x for t in main for x in (t, "")), "Infobox:", "", *facts]).strip()
+        if heads and cells and (not filled or heads[0].text(" ") and cells[0].text(" ")):
+            out.append(f"{heads[0].text(' ')}: {cells[0].text(' ')}")
+    return out
+
+
+def _content(root: Node, names: tuple[str, ...]) -> list[str]:
+    """Texts of the elements of some names in the body of an article, in order."""
+    body = next((n for m in root.find() if m.attrs.get("id") == "mw-content-text" for n in m.find(cls="mw-parser-output")), None)
+    return [t for n in (body.walk() if body else ()) if n.name in names and (t := n.text(" "))]
+
+
+def article_intro(html: str | None) -> str:
+    """First paragraph of an encyclopedia article that has a text."""
+    return next((t for m in tree(html).find() if m.attrs.get("id") == "mw-content-text" for p in m.find("p") if (t := p.text())), "")
+
+
+def article_text(html: str | None, form: str = "block") -> str:
+    """Main text and infobox of an encyclopedia article as one text.
+
+    ``block``: a blank line behind every part, tables in their place; ``sorted``: tables behind all else; ``compact``: the
+    first paragraph on top, a line for each part, no tables, and every row of the infobox.
+    """
+    root = tree(html)
+    flow = ("p", "h2", "h3", "li")
+    if form == "compact":
+        intro = article_intro(html)
+        return "\n".join([*([intro, ""] if intro else []), "Main text:", *_content(root, flow), "", "Infobox:", *_facts(root, False)]).strip()
+    main = _content(root, (*flow, "table")) if form == "block" else _content(root, flow) + _content(root, ("table",))
+    return "\n".join(["Main text:", "", *(x for t in main for x in (t, "")), "Infobox:", "", *_facts(root)]).strip()
 
 
 def linked_data(html: str | None) -> str:
@@ -157,6 +181,92 @@ def contributions(html: str | None, base: str = "") -> list[tuple[str, str, str]
     return out or [("", "", t) for p in root.find("p") if (t := p.text(" "))]
 
 
+def missing_page(html: str | None) -> bool:
+    """Is it a page that says that there is none? Its link belongs on the list of failed ones."""
+    return html is None or re.search(r"Page\s+not\s+found", tree(html).text("\n"), re.I) is not None
+
+
+def section_index(html: str | None, base: str = "") -> list[dict]:
+    """Sections of a day's index as a tree: title, url, column, word_length, subsections.
+
+    The column is the reference that stands last before an entry; a list right behind an entry, but for such references,
+    holds its subsections.
+    """
+
+    def level(ol: Node) -> list[dict]:
+        out: list[dict] = []
+        column, open_ = None, None
+        for n in ol.own():
+            if n.has("span", "section-column-reference"):
+                column = n.text()
+                continue
+            if n.name == "ol" and open_ is not None:
+                open_["subsections"] = level(n)
+            open_ = None
+            if n.name != "li":
+                continue
+            link = next((a for span in n.find("span", "section-link") for a in span.find("a")), None)
+            if link is None:
+                continue
+            length = next(iter(n.find("span", "section-word-length")), None)
+            open_ = {"title": link.text(), "url": urljoin(base, link.attrs.get("href", "")), "column": column, "word_length": length.text() if length else None, "subsections": []}
+            out.append(open_)
+        return out
+
+    top = next(iter(tree(html).find("ol")), None)
+    return level(top) if top else []
+
+
+_DAY = r"[A-Za-z]+\s+\d{1,2},\s*\d{4}"
+_DATED = re.compile(rf"(.+?)\s+({_DAY}(?:\s*[-–]\s*(?:{_DAY})?)?)$")
+
+
+def speaker_page(html: str | None) -> dict | None:
+    """A speaker's page: name, dates and, by heading, the entries (content, dates) below it; None for another page.
+
+    Lists and paragraphs under a heading are its entries; of constituencies the link is the content; contributions are left out.
+    """
+    root = tree(html)
+    card = next(iter(root.find("h1", "vcard")), None)
+    if card is None or card.parent is None:
+        return None
+    around = card.parent.children
+    after = around[around.index(card) + 1] if around.index(card) + 1 < len(around) else ""
+    held: dict[str, list[dict]] = {}
+    for head in root.find("h2"):
+        key = head.text(" ").lower().replace(" ", "_")
+        if key == "contributions" or head.parent is None:
+            continue
+        entries = []
+        below = head.parent.children
+        for n in below[below.index(head) + 1 :]:
+            if not isinstance(n, Node):
+                continue
+            if n.name == "h2":
+                break
+            for item in n.find("li") if n.name in ("ol", "ul") else [n] if n.name == "p" else ():
+                text = item.text(" ")
+                link = next(iter(item.find("a")), None) if key == "constituencies" else None
+                if link is not None:
+                    entries.append({"content": link.text(), "dates": text.replace(link.text(), "").strip()})
+                elif text:
+                    m = _DATED.match(text)
+                    entries.append({"content": m[1], "dates": m[2]} if m else {"content": text, "dates": None})
+        if entries:
+            held[key] = entries
+    return {"name": card.text(" "), "dates": after.strip() if isinstance(after, str) else "", "entries": held}
+
+
+def speaker_index(html: str | None, base: str) -> list[tuple[str, str, str]]:
+    """(name, dates, url) of an index page of speakers."""
+    out = []
+    for item in tree(html).find("li"):
+        link = next((a for a in item.find("a") if "href" in a.attrs), None)
+        if link is not None:
+            out.append((link.text(), item.text(" ").replace(link.text(), "").strip(), urljoin(base, link.attrs["href"])))
+    return out
+
+
 def sections(html: str | None, base: str = "") -> list[tuple[str, str, int]]:
     """(title, url, depth) of a nested list of section links, in order."""
     out: list[tuple[str, str, int]] = []

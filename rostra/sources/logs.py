@@ -6,12 +6,13 @@ import json
 import subprocess
 import time
 import uuid
-from pathlib import Path
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.runtime import struct
+from rostra.operators.store import execute, latest, reparsed, same_cell
+from rostra.runtime import shared_file, struct
 
 # Fields of a result row.
 RESULT = (
@@ -21,6 +22,9 @@ RESULT = (
     "attempts int, finish_reason string, error string, raw_text string, reasoning string, ts double, experiment string, run_id string, pool string, code_version string, backend string"
 )
 
+# Provenance of rows from before runs were kept apart.
+LEGACY = {"experiment": "legacy_pilot", "run_id": "legacy", "code_version": "pre-provenance"}
+
 
 def read_log(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
     """Rows of a log with their line; a tolerant read drops blank and corrupt lines, a strict one raises on them.
@@ -32,14 +36,15 @@ def read_log(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame
         rows = rows.filter("_corrupt is null and not (speech_id is null and prompt_hash is null)").drop("_corrupt")
     else:
         rows = spark.read.schema(struct(RESULT)).option("mode", "FAILFAST").json(path)
-    rows = rows.withColumn("source_file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
-    line = F.row_number().over(Window.partitionBy("source_file").orderBy("_id")).cast("long")
-    return rows.withColumn("line", line).drop("_id").withColumn("definition", F.coalesce("definition", F.lit("current")))
+    # Ids grow along a file, also where it is read in parts, so they order its lines without a sort.
+    rows = rows.withColumns({"source_file": F.col("_metadata.file_path"), "line": F.monotonically_increasing_id()})
+    return rows.withColumn("definition", F.coalesce("definition", F.lit("current")))
 
 
 def read_experiment(spark: SparkSession, root: str, experiment: str) -> DataFrame:
     """Rows of all runs of an experiment, kept as ``root/experiment/run/results.jsonl``; the run is read off the path. Unknown experiments are empty."""
-    if not any(Path(root, experiment).glob("*/results.jsonl")):
+    system, runs = shared_file(spark, f"{root}/{experiment}/*/results.jsonl")
+    if not system.globStatus(runs):
         return spark.createDataFrame([], struct(RESULT + ", source_file string, line long"))
     rows = read_log(spark, f"{root}/{experiment}/*/results.jsonl")
     return rows.withColumn("run_id", F.coalesce("run_id", F.regexp_extract("source_file", r"([^/]+)/results\.jsonl", 1)))
@@ -55,6 +60,31 @@ def new_run_id() -> str:
     return time.strftime("%Y%m%dT%H%M%S", time.gmtime()) + "-" + uuid.uuid4().hex[:6]
 
 
+def load_experiment(spark: SparkSession, root: str, experiment: str, reparse: bool = True) -> DataFrame:
+    """All runs of an experiment as users ask for them: the newest row of each cell, its answer parsed anew."""
+    rows = latest(read_experiment(spark, root, experiment))
+    return reparsed(rows) if reparse else rows
+
+
+def stamped(rows: DataFrame, **facts: str) -> DataFrame:
+    """Rows with constant provenance columns."""
+    return rows.withColumns({name: F.lit(value) for name, value in facts.items()})
+
+
+def load_legacy(spark: SparkSession, path: str, pilot: DataFrame, spot: DataFrame | None = None, backend: str = "unknown", reparse: bool = True) -> DataFrame:
+    """A log from before runs were kept apart, with its provenance: the pool of each row told by who is in which sample.
+
+    ``pilot`` and ``spot`` have speech_id; a row of neither is of an unknown pool.
+    """
+    rows = read_log(spark, path)
+    rows = reparsed(rows) if reparse else rows
+    flag = lambda ids, name: ids.select(F.col("speech_id"), F.lit(True).alias(name)).distinct()
+    held = rows.drop("pool").join(flag(pilot, "_pilot"), "speech_id", "left")
+    held = held.join(flag(spot, "_spot"), "speech_id", "left") if spot is not None else held.withColumn("_spot", F.lit(None).cast("boolean"))
+    pooled = held.withColumn("pool", F.when(F.col("_pilot"), "pilot").when(F.col("_spot"), "filter_pool").otherwise("unknown")).drop("_pilot", "_spot")
+    return stamped(pooled, backend=backend, **LEGACY)
+
+
 def write_manifest(path: str, **facts) -> dict:  # noqa: ANN003
     """Facts of a run beside its rows: what was asked and the version of the code, if it is under git."""
     try:
@@ -62,8 +92,35 @@ def write_manifest(path: str, **facts) -> dict:  # noqa: ANN003
     except (OSError, subprocess.CalledProcessError):
         version = "unknown"
     manifest = {"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "code_version": version, **facts}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    new = Path(path + ".tmp")
-    new.write_text(json.dumps(manifest, indent=2, sort_keys=True, default=str))
-    new.replace(path)
+    spark = SparkSession.active()
+    system, target = shared_file(spark, path)
+    _, new = shared_file(spark, path + ".tmp")
+    out = system.create(new, True)
+    out.write(json.dumps(manifest, indent=2, sort_keys=True, default=str).encode())
+    out.close()
+    system.delete(target, False)
+    system.rename(new, target)
     return manifest
+
+
+def run_grid(cells: DataFrame, root: str, experiment: str, call: Callable[[Mapping], Mapping], done: DataFrame | None = None, tasks: int = 16, **facts) -> str | None:  # noqa: ANN003
+    """Run the cells that are not done into a new run of an experiment: its folder, or None where nothing is left to do.
+
+    A run has its manifest and its rows, which carry the run's provenance; ``call`` must not raise. Without ``done`` all
+    cells run again, and the newest row of a cell holds.
+    """
+    left = cells if done is None else cells.join(done, same_cell(cells, done), "left_anti")
+    if left.isEmpty():
+        return None
+    run_id = new_run_id()
+    folder = f"{root}/{experiment}/{run_id}"
+    manifest = write_manifest(f"{folder}/manifest.json", experiment=experiment, run_id=run_id, **facts)
+    given = [f for f in struct(RESULT).fields]
+
+    def one(cell: Mapping) -> dict:
+        made = {**cell, **call(cell)}
+        return {f.name: made.get(f.name) for f in given}
+
+    rows = stamped(execute(left, one, RESULT, tasks), experiment=experiment, run_id=run_id, code_version=str(manifest["code_version"]))
+    rows.write.mode("append").json(f"{folder}/results.jsonl")
+    return folder

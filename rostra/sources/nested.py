@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.functions.names import canonical
-from rostra.functions.text import first_filled, year_of
+from rostra.functions.text import first_filled, whole_date, year_of
 from rostra.runtime import map_rows
 
 
@@ -68,21 +68,69 @@ def member_core(members: DataFrame) -> DataFrame:
 
 
 AFFILIATIONS = "party_affiliation array<struct<party:string,start_year:string,end_year:string>>"
+CONSTITUENCIES = "constituencies array<struct<seat:string,start:string,end:string>>"
+EDUCATION = "education struct<school_name:string,school_type:string,school_country:string,universities:array<string>>"
+
+
+def _people(bios: DataFrame, spellings: DataFrame, schema: str) -> DataFrame:
+    """Biographies under every spelling of their person's name: (name, bio), the bio parsed by ``schema``.
+
+    ``bios`` has person_id, canonical_name, aliases and bio (JSON); ``spellings`` has clean and raw names, and person_id
+    where a transcript row is known to be theirs. A clean name without a raw spelling stands for itself.
+    """
+    known = F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(";", "canonical_name", "aliases"), ";"), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    held = bios.select("person_id", known.alias("names"), F.from_json("bio", schema).alias("bio")).filter("bio is not null")
+    named = held.select(F.explode("names").alias("clean"), "person_id")
+    if "person_id" in spellings.columns:
+        named = named.unionByName(spellings.filter("person_id is not null").select(F.lower("raw").alias("clean"), "person_id"))
+    raw = spellings.select("clean", "raw").distinct()
+    names = named.distinct().join(raw, "clean", "left").select("person_id", F.coalesce("raw", "clean").alias("name"))
+    return names.join(held.select("person_id", "bio"), "person_id").select("name", "bio")
 
 
 def party_rows(bios: DataFrame, spellings: DataFrame, parties: Mapping[str, str | None]) -> DataFrame:
-    """Affiliations of people under every spelling of their name: (name, party, start_year, end_year), each once.
+    """Affiliations of people under every spelling of their name: (name, party, start_year, end_year), each once."""
+    people = _people(bios, spellings, AFFILIATIONS).select("name", F.explode("bio.party_affiliation").alias("a")).filter(F.trim("a.party") != "")
+    return people.select("name", canonical(F.trim("a.party"), parties).alias("party"), year_of(F.col("a.start_year")).alias("start_year"), year_of(F.col("a.end_year")).alias("end_year")).distinct()
+
+
+def constituency_rows(bios: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Seats of people under every spelling of their name: (name, seat, start, end), each once; a blank seat is null."""
+    people = _people(bios, spellings, CONSTITUENCIES).select("name", F.explode("bio.constituencies").alias("c")).filter("c is not null")
+    day = lambda c: whole_date(F.coalesce(F.col(c), F.lit("")))
+    return people.select("name", F.nullif(F.trim("c.seat"), F.lit("")).alias("seat"), day("c.start").alias("start"), day("c.end").alias("end")).distinct()
+
+
+def education_rows(bios: DataFrame, spellings: DataFrame, years: bool = False) -> DataFrame:
+    """Schools and universities of people under every spelling of their name: (name, level, institution, type, country,
+    degree, field), with years if asked for, each once.
 
-    ``bios`` has person_id, canonical_name, aliases and bio (JSON); ``spellings`` has clean and raw names. A clean name
-    without a raw spelling stands for itself.
+    A university is a name or an object, whose fields have two spellings.
     """
-    clean = F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(";", "canonical_name", "aliases"), ";"), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    held = bios.select(clean.alias("names"), F.from_json("bio", AFFILIATIONS)["party_affiliation"].alias("held"))
-    people = held.select(F.explode("names").alias("clean"), "held").select("clean", F.explode("held").alias("a"))
-    named = people.filter(F.trim("a.party") != "").join(spellings, "clean", "left")
-    return named.select(
-        F.coalesce("raw", "clean").alias("name"), canonical(F.trim("a.party"), parties).alias("party"), year_of(F.col("a.start_year")).alias("start_year"), year_of(F.col("a.end_year")).alias("end_year")
-    ).distinct()
+    people = _people(bios, spellings, EDUCATION).select("name", F.col("bio.education").alias("e"))
+    filled = lambda *cols: F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
+    none = F.lit(None).cast("string")
+    school = F.when(
+        filled(F.col("e.school_name"), F.col("e.school_type"), F.col("e.school_country")).isNotNull(),
+        F.array(F.struct(F.lit("school").alias("level"), filled(F.col("e.school_name")).alias("institution"), filled(F.col("e.school_type")).alias("type"), filled(F.col("e.school_country")).alias("country"), none.alias("degree"), none.alias("field"), none.alias("start_year"), none.alias("end_year"))),
+    )
+
+    def university(u: Column) -> Column:
+        # A name comes as it stands, an object as its text.
+        get = lambda k: F.when(F.trim(u).startswith("{"), F.get_json_object(u, f"$.{k}"))
+        bare = F.when(~F.trim(u).startswith("{"), F.trim(u))
+        return F.struct(
+            F.lit("university").alias("level"), F.coalesce(bare, filled(get("university_name"), get("name"))).alias("institution"), filled(get("university_type"), get("type")).alias("type"),
+            filled(get("university_country"), get("country")).alias("country"), filled(get("degree_level"), get("degree")).alias("degree"), filled(get("field_of_study"), get("subject")).alias("field"),
+            get("start_year").alias("start_year"), get("end_year").alias("end_year"),
+        )
+
+    empty = F.array().cast("array<string>")
+    rows = F.concat(F.coalesce(school, F.transform(empty, university)), F.transform(F.filter(F.coalesce(F.col("e.universities"), empty), lambda u: u.isNotNull()), university))
+    out = people.select("name", F.explode(rows).alias("r")).select("name", "r.*")
+    if not years:
+        return out.drop("start_year", "end_year").distinct()
+    return out.withColumns({c: year_of(F.col(c)) for c in ("start_year", "end_year")}).distinct()
 
 
 def dates_iso(column: Column) -> Column:

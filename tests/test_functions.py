@@ -79,7 +79,7 @@ def test_names(spark):
     assert names.token_set_ratio("john smith", "smith john") == 100 and names.token_set_ratio("a", "") == 0
     assert names.token_set_ratio("mary ann jones", "mary jones") == 100 and names.token_set_ratio("abc", "xyz") == 0
     assert one(spark, names.title_gender(x()), "the duchess of x") == "female" and one(spark, names.title_gender(x()), "j smith") is None
-    assert one(spark, names.speaker_gender(x(), {"ann": "female"}, {"q": "male"}), "dr. ann lee") == "female"
+    assert one(spark, names.speaker_gender(x(), {"ann": "female"}, {"q": "male"}), "Dr Ann Lee") == "female"
     assert one(spark, names.speaker_gender(x(), {"ann": "female"}, {"q": "male"}), "q") == "male"
     table = {"Lab": "Labour", "None": None}
     assert [one(spark, names.canonical(x(), table), v) for v in ("Lab", "None", "Whig")] == ["Labour", None, "Whig"]
