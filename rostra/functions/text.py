@@ -196,7 +196,7 @@ def date_range(text: Column) -> Column:
 
 def search_query(*parts: Column, lists: Sequence[Column] = (), last: str = "wikipedia") -> Column:
     """Words for a search engine: the parts that are filled, the entries of lists without what stands in brackets, a last word."""
-    entries = [F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([^)]*\)", ""), "[;,]"), F.trim), lambda x: x != "") for c in lists]
+    entries = [F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([^)]*\)", ""), "[;,]"), lambda x: F.trim(x)), lambda x: x != "") for c in lists]
     given = F.filter(F.array(*parts), lambda x: F.trim(x) != "")
     return F.array_join(F.concat(given, *entries, F.array(F.lit(last))), " ")
 
@@ -226,7 +226,7 @@ def day_in_years(day: Column, first: int, last: int) -> Column:
 def url_reply(reply: Column) -> Column:
     """Links of a reply of labelled lines, as a struct (wikipedia, wikidata); "Not found" for a missing line."""
     def link(label: str) -> Column:
-        line = F.try_element_at(F.filter(F.transform(F.split(reply, r"\r\n|\n|\r"), F.trim), lambda x: F.lower(x).startswith(label) & x.contains(":")), F.lit(-1))
+        line = F.try_element_at(F.filter(F.transform(F.split(reply, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith(label) & x.contains(":")), F.lit(-1))
         return F.coalesce(F.trim(F.regexp_replace(line, r"^[^:]*:", "")), F.lit("Not found"))
 
     return F.struct(link("wikipedia url").alias("wikipedia"), link("wikidata url").alias("wikidata"))

@@ -169,8 +169,8 @@ def _gold_flags(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "call_result").filter("text is not null").select("call_id", "text").distinct()
-    form = F.when(F.trim("text").rlike(r"^[`{]"), "json").otherwise("free")
+    rows = table(s, d, "call_result").select("call_id", "text").distinct()
+    form = F.when(F.coalesce(F.trim("text"), F.lit("")).rlike(r"^[`{]"), "json").otherwise("free")
     return rows.select("call_id", answers.parsed(F.col("text"), form).alias("p")).select("call_id", "p.*")
 
 
@@ -386,7 +386,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _CHUNKS + " SELECT doc, query_id, round(best, 6) AS score FROM p",
     ),
     "vec5_pooled_chunks": (_vec5, _CHUNKS + " SELECT d.doc, q.query_id, round(coalesce(best, 0), 6) AS best, round(coalesce(mean, 0), 6) AS mean FROM range(64) d(doc) CROSS JOIN qry q LEFT JOIN p ON p.doc = d.doc AND p.query_id = q.query_id"),
-    "str1_sentences": (lambda s, d: table(s, d, "enriched").filter("speech_text is not null").select("speech_id", F.size(text.plain_sentences(F.col("speech_text"))).alias("n")).distinct(), None),
+    "str1_sentences": (lambda s, d: table(s, d, "enriched").filter("speech_text is not null").select("speech_id", F.posexplode(text.plain_sentences(F.col("speech_text"))).alias("i", "sentence")).distinct(), None),
     "str2_windows": (
         _windows,
         """SELECT doc_id, CAST(i AS INT) AS i, md5(substr(text, i * 320 + 1, 400)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 400) / 320) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0)""",
@@ -412,7 +412,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _latest,
         """SELECT speech_id, model_id, temperature, seed, call_id, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY speech_id, model_id, temperature, seed ORDER BY ts DESC, call_id DESC) AS n FROM call_result) WHERE n = 1""",
     ),
-    "prj8_overlay": (_overlay, _OVERLAY),
+    "agg9_first_filled": (_overlay, _OVERLAY),
     "clu1_themes": (_clusters, None),
     "clu2_speakers": (_speakers, None),
 }

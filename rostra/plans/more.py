@@ -117,7 +117,7 @@ SELECT speech_id, CASE WHEN a = 'yes' OR b = 'yes' THEN 'yes' WHEN a = 'uncertai
 
 
 def _themes_clean(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "call_result").filter("text is not null").select("call_id", "text").distinct()
+    rows = table(s, d, "call_result").select("call_id", "text").distinct()
     free = rows.select(answers.parsed(F.col("text"), F.lit("free"), 50).alias("p")).select(F.explode("p.subthemes").alias("theme"))
     return free.groupBy("theme").agg(F.count("*").alias("n"))
 
@@ -136,7 +136,7 @@ def _speech_lookup(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
-    "flt4_arm": (lambda s, d: cells(s, d).filter(_ARM).groupBy("model_id").agg(F.count("*").alias("n"), F.sum("n_sub").alias("themes")), f"WITH {CELLS} SELECT model_id, count(*) AS n, CAST(sum(n_sub) AS BIGINT) AS themes FROM cell WHERE {_ARM} GROUP BY 1"),
+    "flt4_arm": (lambda s, d: stages.arm(cells(s, d), condition="temp0", output_format="json", task="v1", definition="current").groupBy("model_id").agg(F.count("*").alias("n"), F.sum("n_sub").alias("themes")), f"WITH {CELLS} SELECT model_id, count(*) AS n, CAST(sum(n_sub) AS BIGINT) AS themes FROM cell WHERE {_ARM} GROUP BY 1"),
     "flt9_unresolved": (lambda s, d: stages.unresolved(table(s, d, "speaker_parties_without_url"), "party").select("speaker_name", "start_year").distinct(), "SELECT DISTINCT speaker_name, start_year FROM speaker_parties_without_url WHERE trim(coalesce(party, '')) = ''"),
     "prj3_pool_label": (_pool_labels, "SELECT DISTINCT speech_id, CASE WHEN speech_id IN (SELECT speech_id FROM extraction) THEN 'pilot' WHEN speech_id IN (SELECT speech_id FROM meta) THEN 'filter_pool' ELSE 'unknown' END AS pool FROM enriched"),
     "prj12_verdicts": (_verdicts, _VERDICTS),
@@ -163,6 +163,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "str17_profiles": (_profiles, _PROFILES),
     "str18_prompts": (_prompts, _PROMPTS),
     "str7_themes": (_themes_clean, None),
-    "jsn7_raw": (_raw, """WITH u AS (SELECT DISTINCT call_id, model_id, finish_reason, raw FROM call_result) SELECT json_extract_string(raw, '$.model') AS model, json_extract_string(raw, '$.finish_reason') AS raw_reason, count(*) AS n, CAST(sum((json_extract_string(raw, '$.model') = model_id)::INT) AS BIGINT) AS same_model FROM u GROUP BY 1, 2"""),
+    "prj6_raw": (_raw, """WITH u AS (SELECT DISTINCT call_id, model_id, finish_reason, raw FROM call_result) SELECT json_extract_string(raw, '$.model') AS model, json_extract_string(raw, '$.finish_reason') AS raw_reason, count(*) AS n, CAST(sum((json_extract_string(raw, '$.model') = model_id)::INT) AS BIGINT) AS same_model FROM u GROUP BY 1, 2"""),
     "met12_theme_agreement": (_theme_agreement, None),
 }

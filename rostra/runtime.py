@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -77,6 +78,12 @@ def shared_file(spark: SparkSession, path: str):  # noqa: ANN201
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, for tables that a query writes and reads again."""
+    checkpointed(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+
+
 def small_rows(df: DataFrame, bound: int, what: str) -> list:
     """Rows of a result whose size is bounded by its definition; raises if the bound does not hold."""
     rows = df.limit(bound + 1).collect()

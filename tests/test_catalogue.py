@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rostra.plans import core, more
+from rostra.plans import core, files, golden, more
 
-QUERIES = core.QUERIES | more.QUERIES
+QUERIES = core.QUERIES | more.QUERIES | golden.QUERIES | files.QUERIES
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 

@@ -166,12 +166,15 @@ def test_store(spark, tmp_path):
 def test_stream_keeps_the_latest(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    (source / "a.json").write_text(json.dumps(ROW) + "\n")
-    for step in range(2):
-        stream.keep_latest(stream.stream_logs(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck"), buckets=2).awaitTermination()
-        got = spark.read.parquet(str(tmp_path / "out" / f"v={step}")).select("rep", "raw_text").collect()
-        assert {tuple(r) for r in got} == ({(0, ROW["raw_text"])} if not step else {(0, "No."), (1, ROW["raw_text"])})
-        (source / "b.json").write_text(json.dumps(ROW | {"raw_text": "No.", "run_id": "r2"}) + "\n" + json.dumps(ROW | {"rep": 1}) + "\n")
+    (source / "a.json").write_text(json.dumps(ROW) + "\n" + json.dumps(ROW | {"rep": 7}) + "\n")
+    for step in range(4):
+        stream.keep_latest(stream.stream_logs(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck"), buckets=5).awaitTermination()
+        got = stream.read_latest(spark, str(tmp_path / "out")).select("rep", "raw_text").collect()
+        want = {(0, ROW["raw_text"])} if not step else {(0, f"No {step}."), (1, ROW["raw_text"])}
+        assert {tuple(r) for r in got} == want | {(7, ROW["raw_text"])} and len(got) == len(want) + 1
+        (source / f"b{step}.json").write_text(json.dumps(ROW | {"raw_text": f"No {step + 1}.", "run_id": f"r{step + 2}"}) + "\n" + json.dumps(ROW | {"rep": 1}) + "\n")
+    kept = stream._versions(spark, str(tmp_path / "out"))
+    assert all(sum(c == b for c, _ in kept) <= 2 for b, _ in kept)
 
 
 def test_tables(spark, tmp_path):
@@ -223,3 +226,57 @@ def test_html(spark):
     assert html.linked_data('<script type="application/ld+json">{"a":1}</script>') == '{"a":1}'
     df = spark.createDataFrame([(cal,), (None,)], "h string")
     assert [r[0] for r in df.select(html.html_udf(html.business_dates, "array<string>")("h")).collect()] == [["2020-03-11"], None]
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(300)]
+    got = dict(clusters.components(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(i,) for i in range(301)], "node long")).collect())
+    assert set(got.values()) == {0}
+
+
+def test_names_of_a_common_sound_lose_no_pair(spark, monkeypatch):
+    import random
+
+    from rostra.functions.names import token_set_ratio
+
+    rng = random.Random(5)
+    spelled = sorted({" ".join(rng.sample(["john", "jon", "johnn", "smith", "smyth", "smithe", "de", "w"], rng.randint(1, 3))) for _ in range(150)})
+    df = spark.createDataFrame([(n, "j-S530") for n in spelled], "name string, block string")
+    want = {(a, b) for a in spelled for b in spelled if a < b and token_set_ratio(a, b) > 80}
+    for part in (512, 7):
+        monkeypatch.setattr(clusters, "PART", part)
+        assert {tuple(r) for r in clusters.alike(df, 80.0).collect()} == want and len(want) > 50
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "at int, v int").repartition(5)
+    assert [(r["at"], r["n"]) for r in clusters.numbered(df, ["at"], "n").orderBy("n").collect()] == [(i, i + 1) for i in range(101)]
+
+
+def test_reports_are_never_cut(spark):
+    from rostra.operators import reports
+
+    for write in (lambda df: reports.markdown(df, "t", most=5), lambda df: reports.payload(df, most=5)):
+        assert write(spark.range(5)) and pytest.raises(ValueError, write, spark.range(6))
+
+
+def test_a_table_that_is_not_whole_stays_out(spark, tmp_path):
+    from rostra.sources import tables as t
+
+    t.compact(spark.range(10), str(tmp_path / "x"), 1, "id")
+    changing = spark.range(200).filter(F.udf(lambda: __import__("random").random(), "double").asNondeterministic()() < 0.5)
+    with pytest.raises(ValueError, match="expected"):
+        for _ in range(20):
+            t.compact(changing, str(tmp_path / "x"), 1)
+    assert spark.read.parquet(str(tmp_path / "x")).count() <= 200
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import types
+
+    from rostra import runtime
+
+    none = types.SimpleNamespace(_jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False))), master="spark://host:7077")
+    fake = types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=none, conf=types.SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.checkpointed(fake)
