@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from rostra.runtime import checkpointed, map_rows, sized, struct
 
-LEAST, GRAM, STRETCH = 200, 8, 48
+LEAST, GRAM, STRETCH = 200, 8, 80
 WINDOW = LEAST - STRETCH + 1
-#: Rows of ids up to which the texts of candidates are picked by a broadcast, some MB; by a shuffle beyond.
+#: Rows of ids up to which the texts of candidates, and windows of classes, are picked by a broadcast, some MB; by a shuffle beyond.
 SMALL = 500_000
 #: Characters whose hashes are worked out at a time; longer texts go through in parts that overlap by a window.
 BLOCK = 1 << 20
@@ -182,12 +182,11 @@ def repeated(texts: DataFrame, same: DataFrame, places: bool) -> DataFrame:
     """Windows of ``LEAST`` in what may be shared: (h, g, k, many, s); ``many``: other records have this text as a whole."""
     found = windows(texts)
     twice = found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h")
-    marks = windows(texts).join(twice, "h").select("k", "a", "b").join(same.filter("k <> rep").select("k"), "k", "left_anti")
-    marks = marks.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    regions = checkpointed(marks.join(same.filter("k = rep").select("k", F.lit(True).alias("many")), "k", "left"))
+    marks = checkpointed(windows(texts).join(twice, "h").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    regions = checkpointed(marks.join(same, "k", "left").filter("rep is null or rep = k").select("k", "spans", F.col("rep").isNotNull().alias("many")))
     # Only the texts of candidates are moved.
     bodies = texts.join(sized(regions.select("k"), SMALL), "k", "left_semi").groupBy("k").agg(F.collect_set("t").alias("texts"))
-    rows = bodies.join(regions, "k").select("k", F.coalesce("many", F.lit(False)).alias("many"), "texts", "spans")
+    rows = bodies.join(regions, "k").select("k", "many", "texts", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roll(BLOCK)
@@ -210,8 +209,8 @@ def shared_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     sets = rows.groupBy("h", "g").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"), F.bool_or("many").alias("many")
     ).filter("n > 1 or many")
-    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g")
-    held = rows.join(first, ["h", "g"]).select("h", "g", F.col("k").alias("rep"))
+    first = checkpointed(sets.groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g"))
+    held = rows.join(sized(first, SMALL), ["h", "g"]).select("h", "g", F.col("k").alias("rep"))
     return held.join(same, "rep", "left").select("h", "g", F.coalesce("k", "rep").alias("k"))
 
 
