@@ -28,8 +28,8 @@ FUNCTIONS = {
 }
 NAMES = tuple(dict.fromkeys(f for fs in FUNCTIONS.values() for f in fs))
 #: Share of answers in which each defect is expected at first, and answers that this counts for; answers at most that
-#: defects are planted in; cutoffs tried.
-PRIOR, HOLD, SAMPLE, CUTOFFS = 0.04, 500, 1500, tuple(i / 20 for i in range(2, 19))
+#: defects are planted in; what all answers together count for beside the planted ones, at every size; cutoffs tried.
+PRIOR, HOLD, SAMPLE, WEIGHT, CUTOFFS = 0.04, 500, 1500, 3000, tuple(i / 20 for i in range(2, 19))
 SALT = "rostra-pairs-1"
 # Answers that decline, and answers with nothing in them, to be planted.
 DECLINED = (
@@ -221,9 +221,13 @@ def fit(patterns: Mapping[tuple[int, ...], float], known: Mapping[tuple[tuple[in
 
     Given the defect, functions vote independently; each has a chance of each vote under defect and under none, learnt from
     the patterns and from the ``known`` ones: the planted count as what they are, the others begin the model. The counts of
-    patterns are all the model sees, at most three to the power of the functions.
+    patterns are all the model sees, at most three to the power of the functions. All answers count for ``WEIGHT``, so that
+    what was planted holds the classes in place in a table of any size: free of it, the likelihood of a large one is
+    greater with classes that are no defects.
     """
-    total = sum(patterns.values()) or 1
+    total = WEIGHT
+    scale = WEIGHT / (sum(patterns.values()) or 1)
+    patterns = {p: n * scale for p, n in patterns.items()}
     every = {*patterns, *(p for p, _ in known)}
     size = len(next(iter(every), ()))
     labelled = {(i, y, s): sum(n for (p, z), n in known.items() if z == y and p[i] == s) for i in range(size) for y in (True, False) for s in (1, 0, -1)}

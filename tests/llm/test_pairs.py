@@ -54,3 +54,14 @@ def test_empty_table_and_long_answer(spark):
 @pytest.mark.parametrize("text,lang", [("the speaker only wants to leave it", "en"), ("le projet de pont et la taxe", "fr"), ("der Ausschuss und das Grundbuch", "de"), ("el consejo y los informes", "es"), ("yn ôl yr arolygydd a'r bwrdd", "cy"), ("Почему палата", "cyrillic"), ("123", None)])
 def test_language(text, lang):
     assert pairs.language(text) == lang
+
+
+def test_the_model_is_the_same_at_every_size():
+    known = {((1, 0), True): 300, ((1, 1), True): 300, ((-1, 0), False): 900, ((-1, 1), False): 15, ((1, 0), False): 10}
+    table = {(-1, 0): 9500, (-1, 1): 150, (1, 0): 200, (1, 1): 150}
+    one = pairs.fit(table, known)
+    for times in (0.01, 1000):
+        other = pairs.fit({p: n * times for p, n in table.items()}, known)
+        assert all(abs(one[p] - other[p]) < 1e-6 for p in one)
+    assert one[1, 0] > 0.9 and one[-1, 1] < 0.1
+    assert pairs.cutoff(one, {((1, 0), True): 50, ((-1, 0), False): 50}) == 0.5
