@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.runtime import checkpointed
+from rostra.runtime import checkpointed, sized
 
 #: Rounds of the power iteration in one job, the most of them in all, and the change of the vector at which it has converged.
 ROUNDS, MOST, CHANGE = 6, 300, 1e-5
@@ -18,19 +18,30 @@ ROUNDS, MOST, CHANGE = 6, 300, 1e-5
 HOLD = 10.0
 #: Rates of an annotator stay within these, so that no annotator decides an item alone.
 FLOOR = 0.03
+#: Annotators up to which their rates and weights are sent to every task; joined beyond.
+ANNOTATORS = 10_000
 
 
-def agreement_pairs(votes: DataFrame, stats: DataFrame) -> DataFrame:
-    """The chance-centred agreement matrix, both halves and an empty diagonal: (a, b, c, n), c the sum of products over the
-    n common items.
+def grouped(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Votes (item, annotator, value) by annotator and by item: (annotator, i, rate, n), i counting annotators from 1, and
+    (item, v), v an array of an item's votes as (i, x, value), x centred on the annotator's rate.
 
-    An item has one vote of each annotator, so its pairs are at most those of the matrix; sums are partial on the map side.
+    An item has one vote of each annotator, which bounds its array, however often it was judged.
     """
-    x = votes.join(stats, "annotator").select("item", "annotator", (F.col("value") - F.col("rate")).alias("x"))
-    y = x.select("item", F.col("annotator").alias("b"), F.col("x").alias("y"))
-    half = x.withColumnRenamed("annotator", "a").join(y, "item").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c"), F.count("*").alias("n"))
+    rates = votes.groupBy("annotator").agg(F.avg("value").alias("rate"), F.count("*").alias("n"))
+    # A row for each annotator.
+    stats = checkpointed(rates.withColumn("i", F.row_number().over(Window.orderBy("annotator"))))
+    seen = votes.join(sized(stats.select("annotator", "i", "rate"), ANNOTATORS), "annotator").select("item", F.struct("i", (F.col("value") - F.col("rate")).alias("x"), "value").alias("v"))
+    return stats, checkpointed(seen.groupBy("item").agg(F.collect_list("v").alias("v")))
+
+
+def agreement_pairs(stats: DataFrame, items: DataFrame) -> DataFrame:
+    """The chance-centred agreement matrix, both halves and an empty diagonal: (a, b, c, n), c the sum of products over the
+    n common items. The pairs of an item are at most those of the matrix; their sums are partial on the map side."""
+    other = lambda x: F.transform(F.filter("v", lambda y: y["i"] > x["i"]), lambda y: F.struct(x["i"].alias("a"), y["i"].alias("b"), (x["x"] * y["x"]).alias("c")))
+    half = items.select(F.explode(F.flatten(F.transform("v", other))).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.c").alias("c"), F.count("*").alias("n"))
     half = checkpointed(half)
-    diagonal = stats.select(F.col("annotator").alias("a"), F.col("annotator").alias("b"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
+    diagonal = stats.select(F.col("i").alias("a"), F.col("i").alias("b"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "n")).unionByName(diagonal)
 
 
@@ -52,17 +63,10 @@ def _step(pairs: DataFrame, vector: DataFrame) -> DataFrame:
     return out.select("a", F.when(F.col("size") > 0, F.col("y") / F.col("size")).otherwise(0.0).alias("v"), "size", "was")
 
 
-def reliability(votes: DataFrame) -> DataFrame:
-    """Reliability of annotators from votes (item, annotator, value in [0, 1]): (annotator, alpha, rate, n).
-
-    ``alpha``, the eigenvector scaled by the root of its eigenvalue, is proportional to sensitivity + specificity - 1: about
-    0 for one who guesses or always says the same, below 0 for one who is mostly wrong. ``rate`` is the share of positive
-    votes, ``n`` the number of items. A power iteration that does not converge is an error.
-    """
-    stats = checkpointed(votes.groupBy("annotator").agg(F.avg("value").alias("rate"), F.count("*").alias("n")))
-    pairs = agreement_pairs(votes, stats.select("annotator", "rate"))
+def _reliability(stats: DataFrame, items: DataFrame) -> DataFrame:
+    pairs = agreement_pairs(stats, items)
     count = stats.count()
-    vector = stats.select(F.col("annotator").alias("a"), F.lit(count**-0.5 if count else 0.0).alias("v"), F.lit(0.09 * count).alias("size"), F.lit(0.0).alias("was"))
+    vector = stats.select(F.col("i").alias("a"), F.lit(count**-0.5 if count else 0.0).alias("v"), F.lit(0.09 * count).alias("size"), F.lit(0.0).alias("was"))
     for _ in range(0, MOST, ROUNDS):
         for _ in range(ROUNDS):
             vector = _step(pairs, vector)
@@ -73,20 +77,40 @@ def reliability(votes: DataFrame) -> DataFrame:
     else:
         raise ArithmeticError(f"no eigenvector after {MOST} rounds")
     # An eigenvector has no sign of its own: most votes are taken to be honest.
-    fitted = vector.select(F.col("a").alias("annotator"), (F.col("v") * F.sqrt("size")).alias("w")).join(stats, "annotator")
+    fitted = vector.select(F.col("a").alias("i"), (F.col("v") * F.sqrt("size")).alias("w")).join(stats, "i")
     sign = fitted.agg(F.when(F.sum(F.col("w") * F.col("n")) < 0, -1.0).otherwise(1.0).alias("sign"))
-    return fitted.crossJoin(F.broadcast(sign)).select("annotator", (F.col("w") * F.col("sign")).alias("alpha"), "rate", "n")
+    return fitted.crossJoin(F.broadcast(sign)).select("annotator", "i", (F.col("w") * F.col("sign")).alias("alpha"), "rate", "n")
 
 
-def _scored(votes: DataFrame, annotators: DataFrame, share: float) -> DataFrame:
-    """Posterior of each item, if a share of the items is positive: (item, p, agreement)."""
+def reliability(votes: DataFrame) -> DataFrame:
+    """Reliability of annotators from votes (item, annotator, value in [0, 1]): (annotator, alpha, rate, n).
+
+    ``alpha``, the eigenvector scaled by the root of its eigenvalue, is proportional to sensitivity + specificity - 1: about
+    0 for one who guesses or always says the same, below 0 for one who is mostly wrong. ``rate`` is the share of positive
+    votes, ``n`` the number of items. A power iteration that does not converge is an error.
+    """
+    return _reliability(*grouped(votes)).drop("i")
+
+
+def _scored(items: DataFrame, annotators: DataFrame, share: float, few: bool) -> DataFrame:
+    """Posterior of each item, if a share of the items is positive: (item, p, agreement).
+
+    The weights of few annotators go to every task as an array, and an item is scored where it lies; those of more are joined.
+    """
     clip = lambda c: F.greatest(F.lit(FLOOR), F.least(F.lit(1 - FLOOR), c))
     alpha = F.col("alpha") / (share * (1 - share)) ** 0.5
     hit, false = clip(F.col("rate") + alpha * (1 - share)), clip(F.col("rate") - alpha * share)
-    yes, no = F.log(hit / false), F.log((1 - hit) / (1 - false))
-    weighed = votes.join(annotators.select("annotator", yes.alias("yes"), no.alias("no")), "annotator")
-    score = F.col("value") * F.col("yes") + (1 - F.col("value")) * F.col("no")
-    out = weighed.groupBy("item").agg(F.sum(score).alias("score"), F.sum(F.abs(score)).alias("size"))
+    weights = annotators.select("i", F.log(hit / false).alias("yes"), F.log((1 - hit) / (1 - false)).alias("no"))
+    said = lambda value, yes, no: value * yes + (1 - value) * no
+    if few:
+        table = weights.agg(F.sort_array(F.collect_list(F.struct("i", "yes", "no"))).alias("w"))
+        of = lambda x: said(x["value"], F.element_at("w", x["i"])["yes"], F.element_at("w", x["i"])["no"])
+        scores = items.crossJoin(F.broadcast(table)).select("item", F.transform("v", of).alias("s"))
+        total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
+        out = scores.select("item", total(lambda x: x).alias("score"), total(F.abs).alias("size"))
+    else:
+        one = items.select("item", F.explode("v").alias("x")).join(weights, F.col("x.i") == F.col("i")).select("item", said(F.col("x.value"), F.col("yes"), F.col("no")).alias("s"))
+        out = one.groupBy("item").agg(F.sum("s").alias("score"), F.sum(F.abs("s")).alias("size"))
     p = 1 / (1 + F.exp(-(F.col("score") + F.log(F.lit(share / (1 - share))))))
     return out.select("item", p.alias("p"), F.when(F.col("size") > 0, F.abs(F.col("score")) / F.col("size")).otherwise(0.0).alias("agreement"))
 
@@ -96,12 +120,14 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``p`` is the posterior of a positive label, ``agreement`` the share by which the weighed votes lean to one side.
     """
-    annotators = checkpointed(reliability(votes))
+    stats, items = grouped(votes)
+    annotators = checkpointed(_reliability(stats, items))
+    few = stats.count() <= ANNOTATORS
     share = 0.5
     for _ in range(3):
-        mean = _scored(votes, annotators, share).agg(F.avg("p")).first()[0]
+        mean = _scored(items, annotators, share, few).agg(F.avg("p")).first()[0]
         share = min(0.95, max(0.05, mean if mean is not None else 0.5))
-    return _scored(votes, annotators, share).withColumn("label", F.col("p") > 0.5), annotators
+    return _scored(items, annotators, share, few).withColumn("label", F.col("p") > 0.5), annotators.drop("i")
 
 
 def calls(df: DataFrame) -> DataFrame:

@@ -73,3 +73,11 @@ def test_empty(spark):
     assert consensus.found(spark.createDataFrame([], DDL)).count() == 0
     one = spark.createDataFrame([(1, 1, "m", True, ["a"], 1.0, 0)], DDL)
     assert consensus.found(one).count() >= 0
+
+
+def test_many_annotators_are_joined(spark, monkeypatch):
+    _, rows = grid()
+    df = spark.createDataFrame(rows, DDL)
+    one = sorted(map(tuple, consensus.found(df).collect()))
+    monkeypatch.setattr(consensus, "ANNOTATORS", 2)
+    assert sorted(map(tuple, consensus.found(df).collect())) == one and len(one) > 50
