@@ -29,6 +29,8 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 RATIO = 12
 #: A form of clean text stands by itself unless the best form is so many times as frequent: clean texts have slips too.
 SLIP = 1000
+#: Texts whose pages a line has to head, digits masked, to be a header wherever it stands.
+PAGES = 3
 #: So many of the most frequent forms are sent to every task, which then does not ask for them; it only saves work.
 KNOWN = 200_000
 
@@ -127,16 +129,17 @@ def _title(core: str, body: str) -> bool:
     return True
 
 
-def page_lines(text: str) -> list[tuple[str, str]]:
-    """Lines of a page as (body, kind): text, blank, header or pageno.
+def page_lines(text: str) -> list[tuple[str, str, str | None]]:
+    """Lines of a page as (body, kind, core): text, blank, header or pageno, and the masked title matter of what may be a header.
 
     A header has the title matter of a page: its masked core stands again on the page, or a date, column number or spacing
-    shows it, or it had room for the next word of the running text and did not take it.
+    shows it, or it had room for the next word of the running text and did not take it. What has only the form of title
+    matter is left to its recurrence in the corpus.
     """
     bodies = [x.strip() for x in _BREAK.split(text)]
     width, count = max(map(len, bodies)), len(bodies)
     if count < 2:
-        return [(b, "text" if b else "blank") for b in bodies]
+        return [(b, "text" if b else "blank", None) for b in bodies]
     numbered = [0 < len(b) <= 24 and _NUMBER.match(b) is not None for b in bodies]
     cores: dict[int, tuple[str, bool, bool, bool]] = {}
     for i, body in enumerate(bodies):
@@ -150,6 +153,7 @@ def page_lines(text: str) -> list[tuple[str, str]]:
         if title or spaced or shown:
             cores[i] = core, spaced, shown and len(core) <= 60, title
     again = Counter(core.lower() for core, _, _, title in cores.values() if title)
+    masked: dict[int, str] = {}
     kinds = ["blank" if not b else "pageno" if n else "text" for b, n in zip(bodies, numbered)]
     for i, (core, spaced, shown, title) in cores.items():
         body = bodies[i]
@@ -161,7 +165,14 @@ def page_lines(text: str) -> list[tuple[str, str]]:
         columned = title and (_COLUMN.match(body) or _COLUMN_END.search(body))
         if shown and (room or loose or title) or columned or spaced and len(core) > 3 or bare:
             kinds[i] = "header"
-    return list(zip(bodies, kinds))
+        if kinds[i] == "header" or title and len(core) > 3 and len(body) <= 70:
+            masked[i] = re.sub(r"\d+", "#", core.lower())
+    return [(b, kind, masked.get(i)) for i, (b, kind) in enumerate(zip(bodies, kinds))]
+
+
+def _recurring(heads: DataFrame, key: str, core: str) -> DataFrame:
+    """Masked title matter that heads the pages of at least ``PAGES`` texts: (``core``, often)."""
+    return heads.groupBy(core).agg(F.count_distinct(key).alias("_n")).filter(F.col("_n") >= PAGES).select(core, F.lit(True).alias("often"))
 
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -170,10 +181,13 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def lay(batch: Iterator[tuple]) -> Iterator[tuple]:
         for uid, k, t in batch:
-            for line, (body, kind) in enumerate(page_lines(t)):
-                yield (uid, k, line, body, kind)
+            for line, (body, kind, core) in enumerate(page_lines(t)):
+                yield (uid, k, line, body, kind, core)
 
-    return map_rows(rows, lay, f"uid long, k {df.schema[key].dataType.simpleString()}, line int, body string, kind string")
+    lines = map_rows(rows, lay, f"uid long, k {df.schema[key].dataType.simpleString()}, line int, body string, kind string, core string")
+    often = _recurring(lines.filter("kind = 'header'"), "k", "core")
+    named = lines.join(often, "core", "left")
+    return named.select("uid", "k", "line", "body", F.when((F.col("kind") == "text") & F.col("often"), "header").otherwise(F.col("kind")).alias("kind"))
 
 
 def _marks(known: Broadcast):
@@ -189,10 +203,12 @@ def _marks(known: Broadcast):
 
         for k, text in rows:
             lines = page_lines(text)
-            for line, kind in lines:
+            for line, kind, core in lines:
                 if kind in ("header", "pageno"):
-                    yield (k, kind, line, None, None, None, None)
-            body = "\n".join(line for line, kind in lines if kind == "text")
+                    yield (k, kind, line, core, None, None, None)
+                elif core is not None:
+                    yield (k, "maybe", line, core, None, None, None)
+            body = "\n".join(line for line, kind, _ in lines if kind == "text")
             if not body:
                 continue
             for m in _JOIN.finditer(body):
@@ -224,6 +240,11 @@ def _repairs(df: DataFrame, key: str, text: str, scanned: Column) -> DataFrame:
     pages = rows.filter("s and t is not null").select("k", "t")
     kind = df.schema[key].dataType.simpleString()
     marks = map_rows(pages, _marks(known), f"k {kind}, kind string, form string, skel string, kept string, kept_skel string, near array<string>").distinct()
+    marks = checkpointed(marks)
+    # A line that may be a header is one if its masked matter heads the pages of other texts.
+    often = _recurring(marks.filter("kind = 'header'"), "k", "skel")
+    heads = marks.filter("kind in ('header', 'maybe')").join(often, "skel", "left").filter("kind = 'header' or often").select("k", F.lit("header").alias("kind"), "form", F.lit(None).cast("string").alias("skel"), "kept", "kept_skel", "near")
+    marks = marks.filter("kind not in ('header', 'maybe')").unionByName(heads)
     # What needs no lookup gets a key of its own that no group has, so that it spreads over the partitions.
     own = lambda c: F.coalesce(c, F.concat(F.lit("\0"), "form"))
     marks = marks.withColumn("skel", own("skel")).withColumn("kept_skel", own("kept_skel"))

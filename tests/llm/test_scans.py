@@ -26,3 +26,23 @@ def test_marks(spark, clash):
 
     paras = {r["body"] for r in paragraphs(df.filter("speech_id is null or speech_id <> 5"), "speech_id", "body", F.col("scan")).filter("speech_id = 1").collect()}
     assert paras == {"The harbour board would explain the harvest before the committee which had repealed that well-known statute of the municipalities in the year of 1959."}
+
+
+def test_title_matter_that_heads_other_pages(spark):
+    page = "Orders Of The Day\n\nThe harvest which repealed the statute of the board and the committee went on\nthe whole night of that day and the next."
+    inside = "The House met in the\nOrders Of The Day\nmorning and sat long\nuntil the night came"
+    rows = [(i, page.replace("Day", f"Day [{i}]"), True) for i in range(3)] + [(9, inside, True), (10, CLEAN, False)]
+    df = spark.createDataFrame(rows, "speech_id long, body string, scan boolean")
+    heads = lambda x: {tuple(r)[::2] for r in scan_marks(x, "speech_id", "body", F.col("scan")).filter("kind = 'header'").collect()}
+    assert heads(df) == {(i, f"Orders Of The Day [{i}]") for i in range(3)} | {(9, "Orders Of The Day")}
+    assert heads(df.filter("speech_id > 1")) == {(2, "Orders Of The Day [2]")}
+
+
+def test_words_beyond_the_known_ones(spark, monkeypatch):
+    from rostra.llm import scans
+
+    page = "The hárbour board w0uld explain the harvest before the\ncommittee which had repealed the well-known statute and\nthe harvest 0f the harbour board."
+    df = spark.createDataFrame([(1, page, True), (4, CLEAN, False)], "speech_id long, body string, scan boolean")
+    want = sorted(map(tuple, scan_marks(df, "speech_id", "body", F.col("scan")).collect()))
+    monkeypatch.setattr(scans, "KNOWN", 1)
+    assert sorted(map(tuple, scan_marks(df, "speech_id", "body", F.col("scan")).collect())) == want and len(want) == 3
