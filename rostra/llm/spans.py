@@ -22,7 +22,7 @@ from rostra.runtime import checkpointed, map_rows, sized, struct
 
 LEAST, GRAM, STRETCH = 200, 8, 80
 WINDOW = LEAST - STRETCH + 1
-#: Rows of ids up to which the texts of candidates, and windows of classes, are picked by a broadcast, some MB; by a shuffle beyond.
+#: Rows up to which repeated windows, the texts of candidates, and windows of classes are picked by a broadcast, some MB; by a shuffle beyond.
 SMALL = 500_000
 #: Characters whose hashes are worked out at a time; longer texts go through in parts that overlap by a window.
 BLOCK = 1 << 20
@@ -181,8 +181,8 @@ def _every(rows: Iterator[tuple], roll: Roll, places: bool) -> Iterator[pa.Recor
 def repeated(texts: DataFrame, same: DataFrame, places: bool) -> DataFrame:
     """Windows of ``LEAST`` in what may be shared: (h, g, k, many, s); ``many``: other records have this text as a whole."""
     found = windows(texts)
-    twice = found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h")
-    marks = checkpointed(windows(texts).join(twice, "h").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    twice = checkpointed(found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h"))
+    marks = checkpointed(windows(texts).join(sized(twice, SMALL), "h").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     regions = checkpointed(marks.join(same, "k", "left").filter("rep is null or rep = k").select("k", "spans", F.col("rep").isNotNull().alias("many")))
     # Only the texts of candidates are moved.
     bodies = texts.join(sized(regions.select("k"), SMALL), "k", "left_semi").groupBy("k").agg(F.collect_set("t").alias("texts"))

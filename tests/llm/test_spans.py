@@ -52,7 +52,9 @@ def test_large_classes_keep_every_link(spark, monkeypatch):
     texts = dict(rows)
     want = {(a, b) for a in texts for b in texts if a < b and share(texts[a], texts[b], 200)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in spans.found(df).collect()} == want and len(want) > 12_000
+    for bound in (spans.SMALL, 0):
+        monkeypatch.setattr(spans, "SMALL", bound)
+        assert {tuple(r) for r in spans.found(df).collect()} == want and len(want) > 12_000
     assert spans.classes(df, "doc_id", "text").count() < 10 * len(rows)
 
 
