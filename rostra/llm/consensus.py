@@ -20,6 +20,8 @@ HOLD = 10.0
 FLOOR = 0.03
 #: Annotators up to which their rates and weights are sent to every task; joined beyond.
 ANNOTATORS = 10_000
+#: Entries of the agreement matrix up to which it is held as one partition.
+ENTRIES = 200_000
 
 
 def grouped(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +44,9 @@ def agreement_pairs(stats: DataFrame, items: DataFrame) -> DataFrame:
     half = items.select(F.explode(F.flatten(F.transform("v", other))).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.c").alias("c"), F.count("*").alias("n"))
     half = checkpointed(half)
     diagonal = stats.select(F.col("i").alias("a"), F.col("i").alias("b"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "n")).unionByName(diagonal)
+    matrix = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "n")).unionByName(diagonal)
+    # A small matrix is one partition, which its rounds then need no shuffle for.
+    return matrix.coalesce(1) if half.count() <= ENTRIES else matrix
 
 
 def _step(pairs: DataFrame, vector: DataFrame) -> DataFrame:
@@ -67,6 +71,7 @@ def _reliability(stats: DataFrame, items: DataFrame) -> DataFrame:
     pairs = agreement_pairs(stats, items)
     count = stats.count()
     vector = stats.select(F.col("i").alias("a"), F.lit(count**-0.5 if count else 0.0).alias("v"), F.lit(0.09 * count).alias("size"), F.lit(0.0).alias("was"))
+    vector = vector.coalesce(1) if count <= ANNOTATORS else vector
     for _ in range(0, MOST, ROUNDS):
         for _ in range(ROUNDS):
             vector = _step(pairs, vector)
