@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostra import speakers
 from rostra.functions import answers, eras, names, text
 from rostra.functions.vectors import normalised, soft_jaccard
 from rostra.operators import clusters, metrics, reports, retrieval, stages, store
@@ -211,6 +212,7 @@ _TRANSCRIPTS = [
 ]
 _MEMBER = '{"id": 7, "nameDisplayAs": " ", "nameListAs": "Jo", "latestParty": {"abbreviation": "W"}}'
 _BIO = {
+    "name": "Jo L.", "date_of_birth": "1950-06", "political_career": {"first_elected": "1990", "ministerial_positions": ["A", "B"]},
     "party_affiliation": [{"party": " Lab ", "start_year": "1990", "end_year": None}, {"party": ""}, {"party": "None", "start_year": "1995.0", "end_year": "999"}],
     "constituencies": [{"seat": "Ox", "start": "1990", "end": "1995-00-00"}, {"seat": " ", "start": None, "end": "?"}],
     "education": {"school_name": "Ox School", "school_type": "", "universities": ["Ox ", {"university_name": "", "name": "Cam", "degree": "BA", "start_year": "1980"}]},
@@ -457,6 +459,21 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             [(n, *r) for n in ("Mr. Jo Lee", "Jo LEE", "j. lee") for r in (("school", "Ox School", None, None, None, None, None, None), ("university", "Ox", None, None, None, None, None, None), ("university", "Cam", None, None, "BA", None, 1980, None))],
         ),
     ),
+    "join15_bios": (
+        lambda s, _: nested.bio_rows(*_bios(s)).select("name", "name_from_transcript", "date_of_birth", "first_elected", "ministerial_positions"),
+        values({"name": "VARCHAR", "name_from_transcript": "VARCHAR", "date_of_birth": "VARCHAR", "first_elected": "VARCHAR", "ministerial_positions": "VARCHAR"}, [("Jo L.", n, "1950-06-01", "1990-01-01", "A; B") for n in ("Mr. Jo Lee", "Jo LEE", "j. lee")]),
+    ),
+    "speakers_extract": (
+        lambda s, _: speakers.unlinked(nested.transcript_rows(s.createDataFrame([(x,) for x in _TRANSCRIPTS], "value string"))),
+        values({"date": "VARCHAR", "title": "VARCHAR", "speaker": "VARCHAR", "speaker_clean": "VARCHAR"}, [("1900-01-01", "A", "x", "x"), ("1900-01-01", "C", "z", "z")]),
+    ),
+    "speakers_report": (
+        lambda s, _: speakers.report(
+            speakers.identified(s.createDataFrame([("a",), ("a",), ("b",), ("c",)], "speaker_clean string"), s.createDataFrame([("P1", "a", "a; aa"), ("P2", "bb", "b; bb")], "person_id string, canonical_name string, aliases string")),
+            s.createDataFrame([("P1",), ("P9",), (None,)], "person_id string"),
+        ),
+        values({"rows": "BIGINT", "with_bio": "BIGINT", "people": "BIGINT", "people_with_bio": "BIGINT"}, [(4, 2, 2, 1)]),
+    ),
     "prj7_verified": (_verified, values({"n": "INTEGER", "text": "VARCHAR"}, [(1, "own"), (2, "b"), (3, "b"), (4, "b"), (5, None)])),
     "prj8_fill": (_overlay, values({"k": "INTEGER", "p": "VARCHAR", "q": "VARCHAR", "r": "INTEGER", "extra": "VARCHAR"}, [(1, "a", "new", 7, "e1"), (2, "b", "x", 5, "e2"), (3, "c", None, 6, None)])),
     "flt11_hosts": (_hosts, values({"n": "INTEGER", "allowed": "BOOLEAN"}, [(1, True), (2, False), (3, None)])),

@@ -68,26 +68,53 @@ def member_core(members: DataFrame) -> DataFrame:
 
 
 AFFILIATIONS = "party_affiliation array<struct<party:string,start_year:string,end_year:string>>"
+BIOGRAPHY = (
+    "name string, date_of_birth string, date_of_death string, place_of_birth string, occupation_before_politics string, "
+    "political_career struct<first_elected:string,last_elected:string,ministerial_positions:array<string>,leadership_positions:array<string>>"
+)
 CONSTITUENCIES = "constituencies array<struct<seat:string,start:string,end:string>>"
 EDUCATION = "education struct<school_name:string,school_type:string,school_country:string,universities:array<string>>"
 
 
-def _people(bios: DataFrame, spellings: DataFrame, schema: str) -> DataFrame:
+def _people(bios: DataFrame, spellings: DataFrame, schema: str, own: str = "raw") -> DataFrame:
     """Biographies under every spelling of their person's name: (name, bio), the bio parsed by ``schema``.
 
     ``bios`` has person_id, canonical_name, aliases and bio (JSON); ``spellings`` has clean and raw names, and person_id
-    where a transcript row is known to be theirs. A clean name without a raw spelling stands for itself.
+    where a transcript row is known to be theirs, whose ``own`` name in small letters is one of the person's names too. A
+    clean name without a raw spelling stands for itself.
     """
     known = F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(";", "canonical_name", "aliases"), ";"), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    held = bios.select("person_id", known.alias("names"), F.from_json("bio", schema).alias("bio")).filter("bio is not null")
+    # A broken text is read as an object of nulls, which is none.
+    whole = bios.filter(F.try_variant_get(F.try_parse_json("bio"), "$", "map<string,variant>").isNotNull())
+    held = whole.select("person_id", known.alias("names"), F.from_json("bio", schema).alias("bio")).filter("bio is not null")
     named = held.select(F.explode("names").alias("clean"), "person_id")
     if "person_id" in spellings.columns:
-        named = named.unionByName(spellings.filter("person_id is not null").select(F.lower("raw").alias("clean"), "person_id"))
+        named = named.unionByName(spellings.filter("person_id is not null").select(F.lower(own).alias("clean"), "person_id"))
     raw = spellings.select("clean", "raw").distinct()
     names = named.distinct().join(raw, "clean", "left").select("person_id", F.coalesce("raw", "clean").alias("name"))
     return names.join(held.select("person_id", "bio"), "person_id").select("name", "bio")
 
 
+def bio_rows(bios: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Biographies under every spelling of their person's name, one for a spelling: (name, name_from_transcript, dates of birth
+    and death, place_of_birth, occupation_before_politics, first_elected, last_elected, ministerial_positions, leadership_positions).
+
+    A biography without a name takes the spelling; of several biographies for a spelling the first in their order holds.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ")
+    career = "bio.political_career."
+    rows = _people(bios, spellings, BIOGRAPHY, "clean").select(
+        first_filled(F.col("bio.name"), F.col("name")).alias("name"), F.col("name").alias("name_from_transcript"), whole_date(text("bio.date_of_birth")).alias("date_of_birth"),
+        whole_date(text("bio.date_of_death")).alias("date_of_death"), F.col("bio.place_of_birth").alias("place_of_birth"), F.col("bio.occupation_before_politics").alias("occupation_before_politics"),
+        whole_date(text(career + "first_elected")).alias("first_elected"), whole_date(text(career + "last_elected")).alias("last_elected"),
+        joined(career + "ministerial_positions").alias("ministerial_positions"), joined(career + "leadership_positions").alias("leadership_positions"),
+    )
+    others = [c for c in rows.columns if c != "name_from_transcript"]
+    one = rows.groupBy("name_from_transcript").agg(F.min(F.struct(*others)).alias("r"))
+    return one.select("r.name", "name_from_transcript", *(f"r.{c}" for c in others[1:]))
+
+
 def party_rows(bios: DataFrame, spellings: DataFrame, parties: Mapping[str, str | None]) -> DataFrame:
     """Affiliations of people under every spelling of their name: (name, party, start_year, end_year), each once."""
     people = _people(bios, spellings, AFFILIATIONS).select("name", F.explode("bio.party_affiliation").alias("a")).filter(F.trim("a.party") != "")
