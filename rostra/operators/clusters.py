@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.functions import names
@@ -55,7 +55,7 @@ def alike(spellings: DataFrame, above: float) -> DataFrame:
     return near.filter(names.name_similarity("a", "b") > above)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
     """Rows with their number in an order, from 1 on: ranges of the order are numbered side by side, behind the counts of
     the ranges before them."""
     ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

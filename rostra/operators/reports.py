@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rostra.functions.text import truncated
 from rostra.operators import metrics
+from rostra.operators.clusters import numbered
 from rostra.operators.strata import first_of_each
 from rostra.runtime import map_rows, small_rows
 
@@ -132,13 +133,13 @@ def contested(rates: DataFrame, key: str, by: str, rate: str, one: str, other: s
 
 
 def effect_order(df: DataFrame, effect: str, key: str) -> DataFrame:
-    """Rows by effect, the greatest first and those without one last."""
-    return df.orderBy(F.col(effect).desc_nulls_last(), key)
+    """Rows with their rank by effect, the greatest first and those without one last."""
+    return numbered(df, [F.col(effect).desc_nulls_last(), F.col(key)], "rank")
 
 
 def ranked_results(df: DataFrame) -> DataFrame:
-    """Results of configurations in the order of a report: by average precision, then query and mode."""
-    return df.orderBy(F.desc("ap"), "query_id", "mode")
+    """Results of configurations with their rank in a report: by average precision, then query and mode."""
+    return numbered(df, [F.desc("ap"), F.col("query_id"), F.col("mode")], "rank")
 
 
 def wide(df: DataFrame, key: str, by: str, value: str, names: Sequence[str]) -> DataFrame:

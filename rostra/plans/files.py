@@ -62,7 +62,7 @@ def _strict(s: SparkSession, d: str, at: str) -> DataFrame:
 
 def _runs(s: SparkSession, d: str, at: str) -> DataFrame:
     rows = _result_rows(s, d)
-    for run, some in (("r1", rows), ("r2", rows.filter("rep % 2 = 0"))):
+    for run, some in (("r1", rows), ("r2", rows.filter("finish_reason = 'stop'"))):
         logs.append_log(some, f"{at}/exp/{run}/results.jsonl")
     found = logs.read_experiment(s, at, "exp")
     none = logs.read_experiment(s, at, "other")
@@ -72,12 +72,12 @@ def _runs(s: SparkSession, d: str, at: str) -> DataFrame:
 def _newest(s: SparkSession, d: str, at: str) -> DataFrame:
     rows = _result_rows(s, d)
     logs.append_log(rows.withColumn("raw_text", F.lit("Yes.\n- first")).withColumn("output_format", F.lit("free")), f"{at}/exp/r1/results.jsonl")
-    logs.append_log(rows.filter("rep % 3 = 0").withColumn("raw_text", F.lit("No.")).withColumn("output_format", F.lit("free")), f"{at}/exp/r2/results.jsonl")
+    logs.append_log(rows.filter("finish_reason = 'stop'").withColumn("raw_text", F.lit("No.")).withColumn("output_format", F.lit("free")), f"{at}/exp/r2/results.jsonl")
     out = logs.load_experiment(s, at, "exp")
     return out.groupBy("model_id", "mentions_topic", F.size("subthemes").alias("themes")).agg(F.count("*").alias("n"))
 
 
-_KEYS = "(SELECT DISTINCT speech_id, model_id, temperature, seed, call_id FROM call_result)"
+_KEYS = "k AS (SELECT speech_id, model_id, temperature, seed, call_id, coalesce(bool_or(finish_reason = 'stop'), false) AS again FROM call_result {where} GROUP BY ALL)"
 
 
 def _legacy(s: SparkSession, d: str, at: str) -> DataFrame:
@@ -137,8 +137,9 @@ def _csv(s: SparkSession, d: str, at: str) -> DataFrame:
 
 
 def _resumed(s: SparkSession, d: str, at: str) -> DataFrame:
-    speeches = table(s, d, "enriched").select("speech_id").filter("speech_id is not null").distinct()
-    speeches.filter("speech_id % 3 = 0").write.parquet(f"{at}/done")
+    rows = table(s, d, "enriched").filter("speech_id is not null")
+    speeches = rows.select("speech_id").distinct()
+    rows.filter("text_origin = 'scan'").select("speech_id").distinct().write.parquet(f"{at}/done")
     left = stages.resumed(speeches, tables.read_table(s, f"{at}/done"), "speech_id")
     left.write.mode("append").parquet(f"{at}/done")
     return tables.read_table(s, f"{at}/done").agg(F.count("*").alias("n"), F.count_distinct("speech_id").alias("ids")).withColumn("left", F.lit(stages.resumed(speeches, tables.read_table(s, f"{at}/done"), "speech_id").count()))
@@ -156,7 +157,7 @@ def _store(s: SparkSession, d: str, at: str) -> DataFrame:
 
     docs = table(s, d, "documents")
     wanted = docs.select(retrieval.vector_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    retrieval.ensured(wanted.filter("length(text) % 2 = 0"), f"{at}/v", embed)
+    retrieval.ensured(docs.filter("lang = 'en'").select(retrieval.vector_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), f"{at}/v", embed)
     out = retrieval.ensured(wanted, f"{at}/v", embed)
     kept = s.read.parquet(f"{at}/v")
     total = kept.agg(F.count("*").alias("stored"), F.count_distinct("key").alias("keys"))
@@ -167,7 +168,7 @@ def _store(s: SparkSession, d: str, at: str) -> DataFrame:
 def _streamed(s: SparkSession, d: str, at: str) -> DataFrame:
     rows = _result_rows(s, d).filter("ts is not null")
     logs.append_log(rows.coalesce(1), f"{at}/in")
-    logs.append_log(rows.filter("rep % 2 = 0").withColumn("run_id", F.lit("r2")).withColumn("raw_text", F.lit("late")).coalesce(1), f"{at}/in")
+    logs.append_log(rows.filter("finish_reason = 'stop'").withColumn("run_id", F.lit("r2")).withColumn("raw_text", F.lit("late")).coalesce(1), f"{at}/in")
     stream.keep_latest(stream.stream_logs(s, f"{at}/in"), f"{at}/out", f"{at}/ck", buckets=8).awaitTermination()
     return stream.read_latest(s, f"{at}/out").groupBy("model_id", F.col("raw_text").eqNullSafe("late").alias("late")).agg(F.count("*").alias("n"))
 
@@ -196,13 +197,12 @@ def _split_rates(s: SparkSession, d: str) -> DataFrame:
 def _cap_order(s: SparkSession, d: str) -> DataFrame:
     effect = metrics.cap_effect(cells(s, d), ["model_id", "output_format"], "task", "v1", "v1_nocap", "n_sub")
     every = cells(s, d).select("speech_id").distinct().join(effect, "speech_id", "left")
-    ordered = reports.effect_order(every, "cap_effect", "speech_id").limit(40)
-    return ordered.select("speech_id", "cap_effect")
+    return reports.effect_order(every, "cap_effect", "speech_id").select("rank", "speech_id", "cap_effect")
 
 
 def _ap_order(s: SparkSession, d: str) -> DataFrame:
     ranked = metrics.ranking(scores(s, d), ["query_id"], "score", "relevant").withColumn("mode", F.lit("whole"))
-    return reports.ranked_results(ranked).limit(3).select("query_id", "mode", "ap")
+    return reports.ranked_results(ranked).select("rank", "query_id", "mode", "ap")
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
@@ -244,7 +244,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "src3_compacted": (_kept(_compacted), "SELECT event_type, count(*) AS n, 0::BIGINT AS extra FROM events GROUP BY 1"),
     "src4_tolerant": (_kept(_tolerant), _TOLERANT),
     "src5_strict": (_kept(_strict), f"SELECT model_id, 2 * count(*) AS n, 2 * count(*) AS lines FROM {_CALLS} GROUP BY 1"),
-    "src6_runs": (_kept(_runs), f"SELECT 'r1' AS run_id, count(*) AS n FROM {_CALLS} UNION ALL SELECT 'r2', count(*) FROM {_CALLS} WHERE call_id % 2 = 0 UNION ALL SELECT 'none', 0"),
+    "src6_runs": (_kept(_runs), f"SELECT 'r1' AS run_id, count(*) AS n FROM {_CALLS} UNION ALL SELECT 'r2', count(*) FROM {_CALLS} WHERE finish_reason = 'stop' UNION ALL SELECT 'none', 0"),
     "src8_csv": (_kept(_csv), "SELECT start_year::VARCHAR AS start_year, count(*) AS n, 0::BIGINT AS genders, count(DISTINCT speaker_name) AS speakers FROM speaker_parties_without_url GROUP BY 1"),
     "snk3_resumed": (_kept(_resumed), "SELECT count(DISTINCT speech_id) AS n, count(DISTINCT speech_id) AS ids, 0 AS left FROM enriched"),
     "snk4_manifest": (_kept(_manifest), "SELECT 'exp' AS experiment, 2::BIGINT AS n, true AS dated"),
@@ -258,7 +258,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "sto5_nothing_left": (_kept(_nothing_left), "SELECT 3 * count(*) AS n, 2 AS last_rep, true AS ran, false AS again FROM calibration_speech"),
     "sto8_experiment": (
         _kept(_newest),
-        f"SELECT model_id, call_id % 3 <> 0 AS mentions_topic, CASE WHEN call_id % 3 = 0 THEN 0 ELSE 1 END AS themes, count(*) AS n FROM {_KEYS} GROUP BY 1, 2, 3",
+        f"WITH {_KEYS.format(where='')} SELECT model_id, NOT again AS mentions_topic, CASE WHEN again THEN 0 ELSE 1 END AS themes, count(*) AS n FROM k GROUP BY 1, 2, 3",
     ),
     "sto9_legacy": (_kept(_legacy), _LEGACY),
     "vec7_store": (
@@ -267,7 +267,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "stream_latest": (
         _kept(_streamed),
-        "WITH k AS (SELECT DISTINCT speech_id, model_id, temperature, seed, call_id FROM call_result WHERE ts IS NOT NULL) SELECT model_id, call_id % 2 = 0 AS late, count(*) AS n FROM k GROUP BY 1, 2",
+        f"WITH {_KEYS.format(where='WHERE ts IS NOT NULL')} SELECT model_id, again AS late, count(*) AS n FROM k GROUP BY 1, 2",
     ),
     "stream_windows": (
         _kept(_windows),
@@ -291,13 +291,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _ap_order,
         f"""WITH {SCORES}, g AS (SELECT query_id, score, count(*) AS n, sum(relevant) AS tp FROM score GROUP BY 1, 2),
         r AS (SELECT *, sum(tp) OVER d AS ctp, sum(n) OVER d AS cn, sum(tp) OVER (PARTITION BY query_id) AS p, sum(n) OVER (PARTITION BY query_id) - sum(tp) OVER (PARTITION BY query_id) AS q FROM g WINDOW d AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-        a AS (SELECT query_id, round(sum(tp / p * ctp / cn), 6) AS ap FROM r WHERE p > 0 AND q > 0 GROUP BY query_id) SELECT query_id, 'whole' AS mode, ap FROM a ORDER BY ap DESC, query_id LIMIT 3""",
+        a AS (SELECT query_id, round(sum(tp / p * ctp / cn), 6) AS ap FROM r WHERE p > 0 AND q > 0 GROUP BY query_id) SELECT row_number() OVER (ORDER BY ap DESC, query_id) AS rank, query_id, 'whole' AS mode, ap FROM a""",
     ),
     "top6_cap_order": (
         _cap_order,
         f"""WITH {CELLS}, x AS (SELECT speech_id, model_id, output_format, avg(n_sub) FILTER (task = 'v1') AS c, avg(n_sub) FILTER (task = 'v1_nocap') AS u FROM cell WHERE task IN ('v1', 'v1_nocap') GROUP BY ALL),
         e AS (SELECT speech_id, round(avg(c - u), 6) AS cap_effect FROM x WHERE c IS NOT NULL AND u IS NOT NULL GROUP BY 1), k AS (SELECT DISTINCT speech_id FROM cell)
-        SELECT speech_id, cap_effect FROM k LEFT JOIN e USING (speech_id) ORDER BY cap_effect DESC NULLS LAST, speech_id LIMIT 40""",
+        SELECT row_number() OVER (ORDER BY cap_effect DESC NULLS LAST, speech_id) AS rank, speech_id, cap_effect FROM k LEFT JOIN e USING (speech_id)""",
     ),
     "top7_contested": (
         lambda s, d: reports.contested(_split_rates(s, d), "speech_id", "definition", "rate", "current", "expert"),

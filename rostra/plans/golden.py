@@ -494,7 +494,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "vec10_jaccard": (_jaccards, values({"n": "INTEGER", "j": "DOUBLE"}, [(1, 0.5), (2, 1.0), (3, 0.0), (4, 1.0)])),
     "met12_agreement": (_agreement, values({"speech_id": "BIGINT", "agreement": "DOUBLE", "pairs": "BIGINT"}, [(1, 0.666667, 3), (2, 0.0, 1)])),
     "clu1_small": (_clusters, values({"arm": "VARCHAR", "cluster": "INTEGER", "n_phrases": "BIGINT", "n_speeches": "BIGINT", "members": "VARCHAR"}, [("x", 0, 2, 3, "care; caring"), ("x", 1, 2, 1, "rail; rails")])),
-    "met20_evaluate": (_evaluated, values({"query_id": "VARCHAR", "mode": "VARCHAR", "auroc": "DOUBLE", "ap": "DOUBLE", "positives": "BIGINT", "negatives": "BIGINT"}, [("d1", "chunk", 1.0, 1.0, 1, 2), ("d1", "whole", 1.0, 1.0, 1, 2), ("other", "chunk", 1.0, 1.0, 1, 2), ("other", "whole", 1.0, 1.0, 1, 2)])),
+    "met20_evaluate": (_evaluated, values({"query_id": "VARCHAR", "mode": "VARCHAR", "auroc": "DOUBLE", "ap": "DOUBLE", "positives": "BIGINT", "negatives": "BIGINT", "rank": "BIGINT"}, [("d1", "chunk", 1.0, 1.0, 1, 2, 1), ("d1", "whole", 1.0, 1.0, 1, 2, 2), ("other", "chunk", 1.0, 1.0, 1, 2, 3), ("other", "whole", 1.0, 1.0, 1, 2, 4)])),
     "met13_fallback": (_fallback, values({"query_id": "VARCHAR", "speech_id": "BIGINT", "label": "INTEGER"}, [("d2", 1, 0), ("d2", 2, 1), ("zz", 1, 1), ("zz", 2, 0)])),
     "met21_spotcheck": (_spot, values({"band": "VARCHAR", "n_speeches": "BIGINT", "n_labelled": "BIGINT", "rate": "DOUBLE", "mean_score": "DOUBLE"}, [("top", 2, 2, 0.75, 0.85), ("bottom", 2, 1, 0.0, 0.15)])),
     "sto2_plans": (
